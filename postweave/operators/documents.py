@@ -156,7 +156,7 @@ def tex_path(out_dir: str, job_id: Column, kind: Column) -> Column:
 
 def pdf_path(path: Column) -> Column:
     """The path with its extension replaced by ``.pdf`` (a leading dot is no extension)."""
-    return F.concat(F.regexp_replace(path, r"(?<=[^/.])\.[^./]*$", ""), F.lit(".pdf"))
+    return F.concat(F.regexp_replace(path, r"([^/.][^/]*)\.[^./]*$", "$1"), F.lit(".pdf"))
 
 
 def flatten_outputs(rows: DataFrame, *paths: str) -> DataFrame:

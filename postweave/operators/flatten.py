@@ -25,12 +25,12 @@ def detail(details: Column, key: str) -> Column:
     return F.get(F.filter(details, lambda d: d.key == key), F.lit(0)).getField("value")
 
 
-def title_or_detail(details: Column = F.col("details")) -> Column:
-    return or_else(F.col("title"), detail(details, "job_title"))
+def title_or_detail() -> Column:
+    return or_else(F.col("title"), detail(F.col("details"), "job_title"))
 
 
-def company_or_detail(details: Column = F.col("details")) -> Column:
-    return or_else(F.col("company"), detail(details, "organization"))
+def company_or_detail() -> Column:
+    return or_else(F.col("company"), detail(F.col("details"), "organization"))
 
 
 def priority_values(details: Column) -> Column:
@@ -46,8 +46,9 @@ def residual_values(details: Column) -> Column:
     return F.transform(kept, lambda d: d.value)
 
 
-def posting_text(details: Column = F.col("details")) -> Column:
-    heads = F.filter(F.array(title_or_detail(details), company_or_detail(details)), is_truthy)
+def posting_text() -> Column:
+    details = F.col("details")
+    heads = F.filter(F.array(title_or_detail(), company_or_detail()), is_truthy)
     nothing = F.array().cast("array<string>")
     rest = F.concat(
         heads,

@@ -130,7 +130,8 @@ def build_index(rows: DataFrame, vec: str, job_id: Column, *order: str) -> DataF
 
 def score_all(corpus: DataFrame, query: DataFrame) -> DataFrame:
     """Add ``score``: the inner product with the one row of ``query`` (a scalar subquery)."""
-    return corpus.withColumn("score", V.dot(F.col("vec"), query.select("vec").scalar()))
+    with_query = corpus.withColumn("_query", query.select("vec").scalar())
+    return with_query.withColumn("score", V.dot(F.col("vec"), F.col("_query"))).drop("_query")
 
 
 def topk(corpus: DataFrame, query: DataFrame, k: int = DEFAULT_TOP_K, key: str = "internal_id") -> DataFrame:

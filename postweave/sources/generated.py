@@ -1,30 +1,69 @@
-"""Generated files: one per (posting, kind), and the listing of those that exist."""
+"""Generated files: one per (posting, kind), a table of those written, and the listing of a folder."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST = "_written"  # a hidden folder, so a listing of the files passes over it
+
+
+def write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Write ``(name, body)`` as files under ``root`` from the tasks; returns ``(name, path)``.
+
+    A file appears under its name only when it is whole, and a task that runs again writes the
+    same files, so a lost executor leaves nothing half done. ``root`` must be shared storage.
+    """
+    root = re.sub(r"^file:/+", "/", root).rstrip("/")
+    root = re.sub(r"^s3[an]://", "s3://", root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            paths = []
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{folder}/{name}"
+                with store.open_output_stream(f"{target}.part") as out:
+                    out.write((body or "").encode())
+                store.move(f"{target}.part", target)
+                paths.append(f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(paths, pa.string())], names=["name", "path"]
+            )
+
+    written = rows.select("name", "body").mapInArrow(run, "name string, path string")
+    written.write.mode("overwrite").parquet(f"{root}/{MANIFEST}")
+    return rows.sparkSession.read.parquet(f"{root}/{MANIFEST}")
+
+
+def write_generated(docs: DataFrame, root: str, extension: str = ".tex") -> DataFrame:
+    """Write ``(job_id, kind, body)`` to ``root/<job_id>_<kind>.tex``; returns ``(job_id, kind, path)``."""
+    named = docs.select(F.concat("job_id", F.lit("_"), "kind", F.lit(extension)).alias("name"), "body")
+    return _job_and_kind(write_files(named, root))
 
-def write_generated(docs: DataFrame, root: str) -> None:
-    """Write ``(job_id, kind, body)`` to ``root/job_id=<id>/kind=<kind>/``, one file each."""
-    placed = docs.select("job_id", "kind", "body").repartition("job_id", "kind")
-    placed.write.mode("overwrite").partitionBy("job_id", "kind").text(root)
 
+def list_generated(spark: SparkSession, root: str, extension: str = ".tex") -> DataFrame:
+    """``(job_id, kind, path)`` of the files under ``root``; contents are not read.
 
-def list_generated(spark: SparkSession, root: str) -> DataFrame:
-    """``(job_id, kind, path)`` of the files under ``root``; contents are not read."""
+    The listing goes through the driver; for very many files keep the table that
+    ``write_generated`` returns instead.
+    """
     try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(root)
     except AnalysisException:
         return spark.createDataFrame([], "job_id string, kind string, path string")
-    part = lambda name: F.url_decode(F.regexp_extract("path", f"/{name}=([^/]+)/", 1))
-    return files.select(part("job_id").alias("job_id"), part("kind").alias("kind"), "path")
+    name = F.url_decode(F.regexp_extract("path", "([^/]+)$", 1))
+    return _job_and_kind(files.select(name.alias("name"), "path"))
 
 
-def read_generated(spark: SparkSession, root: str) -> DataFrame:
-    """``(job_id, kind, body)`` read back; the text writer ends each body with one newline."""
-    schema = "value string, job_id string, kind string"
-    rows = spark.read.schema(schema).option("wholetext", "true").format("text").load(root)
-    return rows.select("job_id", "kind", F.expr("substr(value, 1, length(value) - 1)").alias("body"))
+def _job_and_kind(files: DataFrame) -> DataFrame:
+    pattern = r"^(.*?)_(resume|cover_letter)\.[^.]*$"
+    part = lambda group: F.regexp_extract("name", pattern, group)
+    return files.select(part(1).alias("job_id"), part(2).alias("kind"), "path")

@@ -97,7 +97,9 @@ def resume_state(spark: SparkSession, path: str) -> DataFrame:
     return empty if broken.take(1) else _shape(raw.drop("_corrupt_record"))
 
 
-def read_documents(spark: SparkSession, path: str, wanted: DataFrame | None = None, missing_ok: bool = False) -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, wanted: DataFrame | None = None, missing_ok: bool = False, pattern: str = "*"
+) -> DataFrame:
     """Whole files as ``(path, text)``; bytes that are not UTF-8 are left out.
 
     ``wanted``: a table ``(path)`` of requested files. A requested file that does not exist is an
@@ -105,7 +107,7 @@ def read_documents(spark: SparkSession, path: str, wanted: DataFrame | None = No
     """
     raw = F.col("content").cast("string")
     repaired = F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     texts = files.select("path", F.when(F.is_valid_utf8(raw), raw).otherwise(repaired).alias("text"))
     if wanted is None:
         return texts
