@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postweave.operators.joins import thinned_keys
 from postweave.operators.ordering import dense_ids, with_previous
 
 # Fixed values.
@@ -24,8 +25,8 @@ def success_filter(postings: DataFrame) -> DataFrame:
 
 
 def only_new(found: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
-    """Found rows whose key is not among the finished ones. Adaptive execution splits hot keys."""
-    return found.join(done.select(key).distinct(), key, "left_anti")
+    """Found rows whose key is not among the finished ones."""
+    return found.join(thinned_keys(done, key), key, "left_anti")
 
 
 def resolve_attempts(

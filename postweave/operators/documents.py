@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from postweave.functions.text import or_else, strip
 from postweave.operators.collect import last_wins
 from postweave.operators.flatten import company_or_detail, title_or_detail
+from postweave.operators.joins import even_join, thinned_keys
 
 # Kinds, prompt text, reply patterns, placeholders, file names and display defaults.
 KINDS = ["resume", "cover_letter"]
@@ -50,18 +51,23 @@ def selected_ids(matches: DataFrame) -> DataFrame:
     return matches.select("job_id", "rank")
 
 
+def _latest_selected(selection: DataFrame, postings: DataFrame, order: list[str]) -> DataFrame:
+    """Last version of the postings that are selected; the others leave before any sorting."""
+    wanted = postings.withColumnRenamed("id", "job_id").join(thinned_keys(selection, "job_id"), "job_id", "left_semi")
+    return last_wins(wanted, "job_id", order)
+
+
 def lookup_selected(selection: DataFrame, postings: DataFrame, order: list[str]) -> DataFrame:
     """Selected postings, last version each; unknown ids drop out, repeats of the selection stay."""
-    latest = last_wins(postings, "id", order)
-    return selection.join(latest, selection["job_id"] == latest["id"], "inner").drop("id")
+    return even_join(selection, _latest_selected(selection, postings, order), "job_id", "inner")
 
 
 def lookup_for_display(selection: DataFrame, postings: DataFrame, order: list[str]) -> DataFrame:
     """``job_id, rank, title, company`` with nulls for unknown ids."""
-    latest = last_wins(postings, "id", order).select(
-        F.col("id").alias("job_id"), title_or_detail().alias("title"), company_or_detail().alias("company")
+    latest = _latest_selected(selection, postings, order).select(
+        "job_id", title_or_detail().alias("title"), company_or_detail().alias("company")
     )
-    return selection.join(latest, "job_id", "left")
+    return even_join(selection, latest, "job_id", "left")
 
 
 def display_defaults(rows: DataFrame) -> DataFrame:
@@ -125,7 +131,8 @@ def generate_replies(
                 replies += generator(texts[i : i + batch_size])
             yield pd.Series(replies, dtype="object")
 
-    return prompts.withColumn("reply", run(F.col("prompt")))
+    # Called non-deterministic so that the optimizer never runs the model twice for a prompt.
+    return prompts.withColumn("reply", run.asNondeterministic()(F.col("prompt")))
 
 
 def extract_block(reply: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postweave.operators.documents import KINDS
+from postweave.operators.joins import even_join
 
 # Fixed values.
 RESUME_NAME = "Resume + "
@@ -21,7 +22,7 @@ def upload_manifest(postings: DataFrame, present: DataFrame) -> DataFrame:
     folded = present.groupBy("job_id").agg(
         path(KINDS[0]).alias("resume_path"), path(KINDS[1]).alias("cover_path")
     )
-    return postings.join(folded, "job_id", "left")
+    return even_join(postings, folded, "job_id")
 
 
 def no_directory(postings: DataFrame) -> DataFrame:

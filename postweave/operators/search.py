@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postweave.functions import vectors as V
 from postweave.functions.text import strip
+from postweave.operators.ordering import dense_ids
 
 # Fixed values.
 DEFAULT_TOP_K = 10
@@ -30,6 +30,19 @@ Encoder = Callable[[list[str]], np.ndarray]
 # ---- encoding ------------------------------------------------------------------------------
 
 
+class _TokenPlaces(dict):
+    """Token to ``2 * bucket + (1 for a negative sign)``, worked out when first seen."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode()).hexdigest()
+        place = self[token] = 2 * (int(digest[:4], 16) % self.dim) + int(digest[4], 16) % 2
+        return place
+
+
 class HashingEncoder:
     """Signed feature hashing: the offline stand-in for a neural encoder.
 
@@ -40,39 +53,45 @@ class HashingEncoder:
     def __init__(self, dim: int = 64):
         self.dim = dim
         self.name = f"hashing-{dim}"
+        self.places = _TokenPlaces(dim)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        place = _token_place
         out = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
-            hashes = [place(t) for t in re.findall("[a-z0-9]+", text.lower())]
-            if hashes:
-                pairs = np.array(hashes)
-                out[row] = np.bincount(pairs[:, 0] % self.dim, weights=pairs[:, 1], minlength=self.dim)
+            tokens = re.findall("[a-z0-9]+", text.lower())
+            places = np.fromiter(map(self.places.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+            counts = np.bincount(places, minlength=2 * self.dim)
+            out[row] = counts[0::2] - counts[1::2]
         return out
 
 
-@lru_cache(maxsize=200_000)
-def _token_place(token: str) -> tuple[int, int]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:4], 16), 1 - 2 * (int(digest[4], 16) % 2)
-
-
 def encode(
     df: DataFrame, text: str, encoder: Encoder | None = None, batch_size: int = ENCODE_BATCH, out: str = "vec"
 ) -> DataFrame:
     """Add the unit vector of a text column: a map-only stage, ``batch_size`` texts per call."""
     model = encoder or HashingEncoder()
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.fillna("").tolist()
-            parts = [model(texts[i : i + batch_size]) for i in range(0, len(texts), batch_size)]
-            yield pd.Series([v for part in parts for v in np.asarray(part, dtype=float)])
+            texts = [t or "" for t in batch.to_pylist()]
+            parts = [_unit_rows(model(texts[i : i + batch_size])) for i in range(0, len(texts), batch_size)]
+            yield _list_array(np.concatenate(parts) if parts else np.zeros((0, 1)))
 
-    encoded = df.withColumn("_raw", run(F.col(text)))
-    return l2_normalize(encoded, "_raw", out).drop("_raw")
+    # Called non-deterministic so that no filter or generator makes the optimizer run it twice.
+    return df.withColumn(out, run.asNondeterministic()(F.col(text)))
+
+
+def _unit_rows(rows: np.ndarray) -> np.ndarray:
+    rows = np.asarray(rows, dtype=np.float64)
+    lengths = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(lengths == 0, 1.0, lengths)
+
+
+def _list_array(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as one list array."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
 
 
 def l2_normalize(df: DataFrame, vec: str, out: str = "vec") -> DataFrame:
@@ -114,13 +133,14 @@ def vector_profile(index: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def build_index(rows: DataFrame, vec: str, job_id: Column, *order: str) -> DataFrame:
-    """Index table ``(internal_id, job_id, vec float32 unit)`` numbered in the given order."""
-    from postweave.operators.ordering import dense_ids
+    """Index table ``(internal_id, job_id, vec float32 unit)`` numbered in the given order.
 
+    ``order`` must be unique. Only these columns are numbered, so vectors are computed once and
+    cross the network once, in the join on the order columns.
+    """
     units = l2_normalize(rows, vec, "vec")
-    numbered = dense_ids(
-        units.select(*order, job_id.alias("job_id"), V.to_float32(F.col("vec")).alias("vec")), *order
-    )
+    slim = units.select(*order, job_id.alias("job_id"), V.to_float32(F.col("vec")).alias("vec"))
+    numbered = slim.join(dense_ids(rows.select(*order), *order), list(order))
     internal = F.col("internal_id").cast("string")
     return numbered.select("internal_id", F.coalesce("job_id", internal).alias("job_id"), "vec")
 

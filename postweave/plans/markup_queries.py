@@ -243,7 +243,7 @@ def quarantine(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(
         "event_id", F.expr("if(event_id % 7 = 0, substr(props, 1, 4), props)").alias("props")
     )
-    parsed = events.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    parsed = events.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
     marked = parsed.withColumn("error", F.when(F.col("k").isNull(), "unreadable props"))
     good, bad = markup.split_quarantine(marked)
     return good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)

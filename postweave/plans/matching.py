@@ -32,14 +32,19 @@ def match(
     k: int = search.DEFAULT_TOP_K,
     preferences: DataFrame | None = None,
     weight: Column | None = None,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Matches of one query vector: ``rank, job_id, score``. ``query``: one row ``(query_id, vec)``."""
+    """Matches of one query vector: ``rank, job_id, score``. ``query``: one row ``(query_id, vec)``.
+
+    ``ids``: ``(internal_id, job_id)`` when the index does not hold the posting ids itself. They
+    meet the k best rows only.
+    """
     units = search.l2_normalize(query, "vec")
     if preferences is not None:
         units = search.blend_queries(units, search.l2_normalize(preferences, "vec"), weight=weight)
     best = search.topk(index, units, k)
-    ids = index.select("internal_id", "job_id")
-    return best.join(ids, "internal_id").select("rank", "job_id", "score").orderBy("rank")
+    names = index.select("internal_id", "job_id") if ids is None else ids
+    return best.join(names, "internal_id").select("rank", "job_id", "score").orderBy("rank")
 
 
 def match_many(index: DataFrame, queries: DataFrame, k: int = search.DEFAULT_TOP_K) -> DataFrame:

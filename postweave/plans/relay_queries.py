@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postweave.operators import relay
+from postweave.operators.joins import even_join
 from postweave.plans.registry import query, table
 
 HOST = "workspace.example"
@@ -18,7 +19,7 @@ def requests(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     systems = turns.filter("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system"))
     names = F.array(*[F.lit(n) for n in _NAMES])
-    users = turns.filter("role = 'user'").join(systems, "conv_id", "left")
+    users = even_join(turns.filter("role = 'user'"), systems, "conv_id")
     return users.select(
         "conv_id",
         "turn",

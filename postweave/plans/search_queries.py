@@ -254,9 +254,12 @@ def match_documents(spark, sf_dir):
     known = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("internal_id"), F.concat(F.lit("job-"), "doc_id").alias("job_id")
     )
-    likes = units.filter("internal_id = 1").select(F.lit(0).cast("bigint").alias("query_id"), F.lit("near home").alias("text"), "vec")
-    index = search.map_ids(units.select("internal_id", "vec"), known)
-    return _rounded(matching.match(index, _first(units), TOP_K, likes), "rank", "job_id")
+    likes = units.filter("internal_id = 1").select(
+        F.lit(0).cast("bigint").alias("query_id"), F.lit("near home").alias("text"), "vec"
+    )
+    index = units.select("internal_id", "vec")
+    ids = search.map_ids(units.select("internal_id"), known)
+    return _rounded(matching.match(index, _first(units), TOP_K, likes, ids=ids), "rank", "job_id")
 
 
 @query(

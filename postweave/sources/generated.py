@@ -52,8 +52,8 @@ def write_generated(docs: DataFrame, root: str, extension: str = ".tex") -> Data
 def list_generated(spark: SparkSession, root: str, extension: str = ".tex") -> DataFrame:
     """``(job_id, kind, path)`` of the files under ``root``; contents are not read.
 
-    The listing goes through the driver; for very many files keep the table that
-    ``write_generated`` returns instead.
+    Spark lists files through the driver and passes over empty ones; for very many files keep the
+    table that ``write_generated`` returns instead.
     """
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{extension}").load(root)

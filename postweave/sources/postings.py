@@ -100,10 +100,10 @@ def resume_state(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(
     spark: SparkSession, path: str, wanted: DataFrame | None = None, missing_ok: bool = False, pattern: str = "*"
 ) -> DataFrame:
-    """Whole files as ``(path, text)``; bytes that are not UTF-8 are left out.
+    """Whole files as ``(path, text)``; bytes that are not UTF-8 are left out, and empty files too.
 
     ``wanted``: a table ``(path)`` of requested files. A requested file that does not exist is an
-    error, or an empty text with ``missing_ok``.
+    error (as is an empty one), or an empty text with ``missing_ok``.
     """
     raw = F.col("content").cast("string")
     repaired = F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
