@@ -99,6 +99,27 @@ def request_url(provider: Column, host: Column, base: Column | None = None) -> C
     return F.when(path.isNull(), root).otherwise(F.concat(F.rtrim(root, F.lit("/")), path))
 
 
+def build_requests(
+    rows: DataFrame, host: str | None = None, overrides: dict[str, str] | None = None
+) -> DataFrame:
+    """Resolve ``model`` and add ``url``, ``payload`` and ``error`` to request rows.
+
+    Reads ``provider, prompt, system, model, temperature, has_key, has_host``. A row with an error
+    or an unknown provider has no payload.
+    """
+    provider, system, prompt = F.col("provider"), F.col("system"), F.col("prompt")
+    resolved = rows.withColumn("model", resolve_model(provider, F.col("model"), overrides)).withColumn(
+        "error", credential_error(provider, F.col("has_key"), F.col("has_host"))
+    )
+    payload = request_payload(provider, F.col("model"), system, prompt, F.col("temperature"))
+    return resolved.withColumns(
+        {
+            "url": F.when(F.col("error").isNull(), request_url(provider, F.lit(host))),
+            "payload": F.when(F.col("error").isNull(), payload),
+        }
+    )
+
+
 # ---- replies -------------------------------------------------------------------------------
 
 

@@ -21,6 +21,7 @@ DEFAULT_TOP_K = 10
 ENCODE_BATCH = 64
 SCORE_DECIMALS = 9  # scores this close are ties, broken by id; sums in another order stay equal
 
+SMALL_TOP_K = 100_000  # rows that one task may merge
 BROADCAST_LIMIT = 64 << 20  # bytes of query vectors that may be sent to every executor
 BLOCK_BYTES = 1 << 20  # bytes of one packed block of vectors
 
@@ -159,6 +160,9 @@ def topk(corpus: DataFrame, query: DataFrame, k: int = DEFAULT_TOP_K, key: str =
     scored = score_all(corpus.select(key, "vec"), query).select(
         key, F.round("score", SCORE_DECIMALS).alias("score")
     )
+    if k > SMALL_TOP_K:  # too many for one merge: number all rows, best first
+        placed = dense_ids(scored.withColumn("_least", -F.col("score")), "_least", key, name="rank")
+        return placed.filter(F.col("rank") < k).select((F.col("rank") + 1).alias("rank"), key, "score")
     best = scored.orderBy(F.col("score").desc(), key).limit(k)
     place = F.row_number().over(Window.orderBy(F.col("score").desc(), key))  # k rows
     return best.select(place.cast("bigint").alias("rank"), key, "score")
@@ -181,8 +185,8 @@ def topk_many(
     types = [(c, d.schema[c].dataType.simpleString()) for c, d in ((query_key, queries), (key, corpus))]
     schema = ", ".join(f"{c} {t}" for c, t in types) + ", score double"
     names = [query_key, key, "score"]
-    count, dim = queries.agg(F.count("*"), F.max(F.size("vec"))).first()
-    total_bytes = count * (dim or 0) * 8
+    sample = queries.select(F.size("vec").alias("dim")).first()
+    total_bytes = queries.count() * (sample.dim if sample else 0) * 8  # counting needs no vectors
     if total_bytes <= broadcast_limit:
         kernel = _topk_against(_collect_matrix(queries, query_key), k, names)
         partial = corpus.select(key, "vec").mapInArrow(kernel, schema)

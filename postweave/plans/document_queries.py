@@ -8,6 +8,7 @@ from postweave.functions.text import WHITESPACE
 from postweave.operators import documents as docs
 from postweave.operators import flatten, manifest
 from postweave.plans import fixtures as fx
+from postweave.plans import preparing
 from postweave.plans.registry import query, table
 from postweave.plans.source_queries import presence_table
 
@@ -233,6 +234,23 @@ def suffix_count(spark, sf_dir):
     return docs.with_suffix(table(spark, sf_dir, "pages"), "url", ".html").agg(F.count("*").alias("n"))
 
 
+@query(
+    "prepare_documents",
+    f"""WITH {fx.JOBS_SQL}, {_SELECTION},
+j AS (SELECT sel.job_id, rank, kind, coalesce(nullif(title, ''), d_job_title, '') AS t,
+    coalesce(nullif(company, ''), d_organization, '') AS c, coalesce(d_job_summary, '') AS reason,
+    coalesce(d_required_skills, '') AS skills
+  FROM sel JOIN jobs ON job_id = id CROSS JOIN {_KINDS_SQL})
+SELECT job_id, rank, kind, {_filled_sql(_BASE_SQL)} AS body, '{OUT_DIR}/' || job_id || '_' || kind || '.tex' AS path,
+  '{OUT_DIR}/' || job_id || '_' || kind || '.pdf' AS pdf FROM j""",
+)
+def prepare_documents(spark, sf_dir):
+    prepared = preparing.prepare_documents(
+        _selection(spark, sf_dir), fx.jobs(spark, sf_dir), ["seq"], BASES, OUT_DIR
+    )
+    return prepared.select("job_id", "rank", "kind", "body", "path", "pdf")
+
+
 # ---- upload planning -----------------------------------------------------------------------
 
 

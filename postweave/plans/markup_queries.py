@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from postweave.functions.text import WHITESPACE, last_number, normalize_key
 from postweave.operators import flatten, markup
 from postweave.plans import fixtures as fx
+from postweave.plans import matching
 from postweave.plans.registry import query, table
 from postweave.session import spread
 
@@ -234,6 +235,23 @@ def detail_record(spark, sf_dir):
     )
 
 
+@query(
+    "collect_postings",
+    f"""{_PART}, docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 6 AS page, doc_id % 41 = 40 AS bare FROM documents),
+l AS (SELECT {_FULL} FROM p WHERE kind NOT IN (3, 4))
+SELECT l.id, title, company, deadline,
+  CAST(CASE WHEN docs.id IS NULL OR bare THEN NULL WHEN page = 1 THEN 7 WHEN page = 3 THEN 8 ELSE 9 END AS BIGINT) AS n_details,
+  CASE WHEN docs.id IS NULL THEN 'No detail page' WHEN bare THEN 'Empty detail page' END AS error
+FROM l LEFT JOIN docs ON l.id = docs.id""",
+)
+def collect_postings(spark, sf_dir):
+    """List pages of ``part`` joined with the detail pages of ``documents`` by posting id."""
+    pages = fx.detail_pages(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
+    found = matching.postings_from_pages(fx.part_pages(spark, sf_dir), pages)
+    n_details = F.when(F.col("details").isNotNull(), F.size("details").cast("bigint"))
+    return found.select("id", "title", "company", "deadline", n_details.alias("n_details"), "error")
+
+
 @query(
     "quarantine",
     """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,

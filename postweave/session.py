@@ -51,6 +51,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input arrives in fewer partitions than there are cores."""
+    """Use all cores when a plain scan arrives in fewer partitions than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

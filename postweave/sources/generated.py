@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,9 +31,10 @@ def write_files(rows: DataFrame, root: str) -> DataFrame:
             paths = []
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 target = f"{folder}/{name}"
-                with store.open_output_stream(f"{target}.part") as out:
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
                     out.write((body or "").encode())
-                store.move(f"{target}.part", target)
+                store.move(part, target)
                 paths.append(f"{root}/{name}")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(paths, pa.string())], names=["name", "path"]

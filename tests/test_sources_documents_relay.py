@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from postweave.operators import documents as D
 from postweave.operators import manifest, relay
+from postweave.plans import preparing
 from postweave.sources import generated, postings
 
 DETAILS = {"job_title": "Role", "status_tags": ["x", "y"], "job_summary": 'a "quoted"\nline', "n": ""}
@@ -201,6 +202,40 @@ def test_fill_template_without_a_value(spark):
     assert row.first().t == "x//x"
 
 
+def test_selection_to_uploads(spark, tmp_path):
+    out, seen = str(tmp_path / "out"), []
+    bases = {"resume": "RB", "cover_letter": "CB"}
+    chosen = spark.createDataFrame([("2", 1), ("9", 2), ("1", 3), ("2", 4)], "job_id string, rank int")
+    flat = [F.lit("x").alias(f) for f in ("division", "openings", "city", "level", "deadline")]
+    rows = lookup_rows(spark).select("*", *flat)
+
+    def reply(batch):
+        return [f"```latex\n{DOC}\n```" if "resume" in p else " " for p in batch]
+
+    prepared = preparing.prepare_documents(chosen, rows, ["seq"], bases, out, reply)
+    got = sorted((r.rank, r.job_id, r.kind, r.body) for r in prepared.collect())
+    assert got == [(n, j, k, DOC if k == "resume" else "CB") for n, j in ((1, "2"), (3, "1"), (4, "2")) for k in sorted(bases)]
+    assert preparing.write_documents(prepared, out).count() == 4
+    assert (tmp_path / "out" / "1_cover_letter.tex").read_text() == "CB"
+    asked = spark.createDataFrame([("1", False, True, True), ("9", False, True, True)],
+                                  "job_id string, prescreening boolean, resume_slot boolean, cover_slot boolean")
+    plans = {r.job_id: r for r in preparing.plan_uploads(spark, asked, out, ".tex").collect()}
+    assert (plans["1"].resume_action, plans["9"].cover_action) == ("upload", "skip")
+    assert plans["1"].resume_path.endswith("/1_resume.tex") and plans["1"].cover_name == "Cover letter + 1"
+    assert preparing.plan_uploads(spark, asked, None).filter("resume_action = 'upload'").count() == 0
+
+
+def test_requests(spark):
+    rows = spark.createDataFrame(
+        [("groq", "q", None, None, 0.1, True, False), ("databricks", "q", "s", "m", 0.1, True, False), ("other", "q", "", "m", 0.1, True, True)],
+        "provider string, prompt string, system string, model string, temperature double, has_key boolean, has_host boolean",
+    )
+    got = {r.provider: r for r in relay.build_requests(rows, "h").collect()}
+    assert json.loads(got["groq"].payload)["model"] == "llama-3.1-8b-instant" and got["groq"].error is None
+    assert got["databricks"].payload is None and got["databricks"].url is None and got["databricks"].error
+    assert got["other"].payload is None and got["other"].error is None
+
+
 def test_manifest_and_actions(spark):
     rows = spark.createDataFrame([("1",), ("1",), ("2",)], "job_id string")
     present = spark.createDataFrame([("1", "resume", "r"), ("2", "cover_letter", "c")], "job_id string, kind string, path string")

@@ -99,7 +99,7 @@ def brute(corpus, query, k):
 
 
 @pytest.mark.parametrize("k", [1, 3, 50, 500])
-def test_topk_with_ties_and_short_corpus(spark, k):
+def test_topk_with_ties_and_short_corpus(spark, k, monkeypatch):
     rng = np.random.default_rng(7)
     base = rng.integers(-2, 3, size=(12, 4)).astype(float)
     corpus = [(i, base[i % 12].tolist()) for i in range(90)]  # every vector comes several times
@@ -108,6 +108,8 @@ def test_topk_with_ties_and_short_corpus(spark, k):
     one = vectors(spark, queries[:1], "query_id bigint")
     got = search.topk(frame, one, k).orderBy("rank").collect()
     assert [(r.internal_id, r.score) for r in got] == brute(corpus, base[0], k)
+    monkeypatch.setattr(search, "SMALL_TOP_K", 40)  # larger k take the other way
+    assert search.topk(frame, one, k).orderBy("rank").collect() == got
     for limit in (1 << 20, 64):  # the broadcast way and the block way
         many = search.topk_many(frame, vectors(spark, queries, "query_id bigint"), k, broadcast_limit=limit)
         rows = many.orderBy("query_id", "rank").collect()
