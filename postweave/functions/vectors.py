@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,16 +20,23 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
 
 
-def scaled(v: Column, length: Column) -> Column:
-    """Divide by ``length``; a zero length counts as one."""
-    divisor = F.when(length == 0.0, F.lit(1.0)).otherwise(length)
-    return F.transform(v, lambda x: x.cast("double") / divisor)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``; inside a lambda over the elements
+    it would be evaluated for each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unit(v: Column) -> Column:
+    """Scale to unit length; a zero length counts as one."""
+    divisor = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
+    return F.when(v.isNotNull(), let(divisor, lambda d: F.transform(v, lambda x: x.cast("double") / d)))
 
 
 def blend(q: Column, c: Column, weight: Column) -> Column:
-    return F.zip_with(
-        q, c, lambda x, y: (F.lit(1.0) - weight) * x.cast("double") + weight * y.cast("double")
-    )
+    def mixed(w: Column) -> Column:
+        return F.zip_with(q, c, lambda x, y: (F.lit(1.0) - w) * x.cast("double") + w * y.cast("double"))
+
+    return let(weight, mixed)
 
 
 def to_float32(v: Column) -> Column:

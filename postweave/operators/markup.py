@@ -1,8 +1,8 @@
 """HTML pages to rows. Everything happens inside one row per page: no shuffle, no Python.
 
 Markup is taken as a browser serialises it (closed elements, quoted attributes). Tokens are
-``struct<raw, tag>`` where ``tag`` is the lower-case name, ``/name`` for a closing tag and ``''``
-for text. Helpers that start with ``_`` compose SQL text; operators map DataFrames.
+``struct<raw, tag, pos>`` where ``tag`` is the lower-case name, ``/name`` for a closing tag and
+``''`` for text, and ``pos`` counts from 1 over the page. Helpers that start with ``_`` compose SQL text; operators map DataFrames.
 """
 
 from __future__ import annotations
@@ -60,19 +60,27 @@ def _visible(html: str) -> str:
 
 
 def _tokens(html: str) -> str:
-    tag = r"regexp_extract({0}, '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)"
-    return lambda_sql(
-        "transform",
-        _all(_visible(html), _TOKEN),
-        lambda t: f"named_struct('raw', {t}, 'tag', lower({tag.format(t)}))",
-    )
+    tag = r"if(startswith(t, '<'), lower(regexp_extract(t, '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)), '')"
+    token = f"named_struct('raw', t, 'tag', {tag}, 'pos', i + 1)"
+    return f"transform({_all(_visible(html), _TOKEN)}, (t, i) -> {token})"
+
+
+def _place(tokens: str, pos: str) -> str:
+    """Where a page position lies in a slice of the tokens."""
+    return f"({pos} - get({tokens}, 0).pos + 1)"
 
 
 def rendered_text_sql(markup: str) -> str:
     """Approximate on-screen text: collapse white space, ``<br>`` to newline, no tags, stripped."""
-    flat = rf"regexp_replace({_visible(markup)}, '[ \\t\\r\\n\\f]+', ' ')"
-    lines = rf"regexp_replace({flat}, '(?i) ?<br\\s*/?> ?', '\n')"
-    return strip_sql(decode_entities_sql(f"regexp_replace({lines}, '</?[a-zA-Z!][^>]*>', '')"))
+
+    def flat(m: str) -> str:
+        return rf"regexp_replace({m}, '[ \\t\\r\\n\\f]+', ' ')"
+
+    def tagless(m: str) -> str:
+        lines = rf"regexp_replace({flat(_visible(m))}, '(?i) ?<br\\s*/?> ?', '\n')"
+        return f"if(contains({m}, '<'), regexp_replace({lines}, '</?[a-zA-Z!][^>]*>', ''), {flat(m)})"
+
+    return strip_sql(decode_entities_sql(let_sql(markup, tagless)))
 
 
 def _text_nodes(tokens: str) -> str:
@@ -87,30 +95,24 @@ def _text(tokens: str, separator: str = "") -> str:
 
 
 def _close_position(tokens: str, tag: str) -> str:
-    """Position of the closing tag that matches the opening tag at position 1."""
-
-    # Text and other tags cannot close the element, so the fold sees only tags of its kind.
-    kind = lambda_sql(
-        "filter",
-        f"transform({tokens}, (t, i) -> named_struct('tag', t.tag, 'i', i + 1))",
-        lambda t: f"{t}.tag in ('{tag}', '/{tag}')",
-    )
-    zero = "named_struct('depth', 0, 'at', 0)"
+    """Where the element opened by the first token is closed (the end when it is not)."""
+    kind = lambda_sql("filter", tokens, lambda t: f"{t}.tag in ('{tag}', '/{tag}')")
+    depth = f"(s.depth + if(t.tag = '{tag}', 1, -1))"
+    at = f"case when s.at > 0 then s.at when {depth} = 0 then t.pos else 0 end"
+    step = f"named_struct('depth', {depth}, 'at', {at})"
+    finish = f"if(s.at > 0, {_place(tokens, 's.at')}, size({tokens}))"
+    return f"aggregate({kind}, named_struct('depth', 0, 'at', 0), (s, t) -> {step}, s -> {finish})"
 
-    def fold(s: str, t: str) -> str:
-        depth = f"({s}.depth + if({t}.tag = '{tag}', 1, -1))"
-        at = f"case when {s}.at > 0 then {s}.at when {depth} = 0 then {t}.i else 0 end"
-        return f"named_struct('depth', {depth}, 'at', {at})"
 
-    return f"aggregate({kind}, {zero}, (s, t) -> {fold('s', 't')}, s -> if(s.at > 0, s.at, size({tokens})))"
+def _openings(tokens: str, tag: str, class_name: str | None = None) -> str:
+    """Where elements of a kind are opened."""
 
+    def wanted(t: str) -> str:
+        has_class = f" and {t}.raw rlike {literal('(?i)' + _class_pattern(class_name))}" if class_name else ""
+        return f"{t}.tag = '{tag}'{has_class}"
 
-def _openings(tokens: str, tag: str, class_name: str | None = None) -> str:
-    """Positions of the opening tags of a kind."""
-    wanted = f"t.tag = '{tag}'"
-    if class_name:
-        wanted += f" and t.raw rlike {literal('(?i)' + _class_pattern(class_name))}"
-    return f"array_compact(transform({tokens}, (t, i) -> if({wanted}, i + 1, null)))"
+    found = lambda_sql("filter", tokens, wanted)
+    return lambda_sql("transform", found, lambda t: _place(tokens, f"{t}.pos"))
 
 
 def _element_at(tokens: str, tag: str, start: str) -> str:
@@ -131,27 +133,44 @@ def _first_element(tokens: str, tag: str, class_name: str | None = None) -> str:
     return f"get({found}, 0)"
 
 
-def _sibling_blocks(tokens: str) -> str:
-    """Token arrays of the ``p``, ``ul`` and ``div`` elements that follow at the same level."""
+def _sibling_spans(tokens: str) -> str:
+    """``spans`` of the ``p``, ``ul`` and ``div`` elements that follow at the same level, up to the
+    next section or the end of the parent, and whether one of them is still ``open`` at the end."""
     void = ", ".join(literal(v) for v in VOID_TAGS)
     tags = lambda_sql(
-        "filter",
-        f"""transform({tokens}, (t, i) -> named_struct('tag', t.tag, 'i', i + 1, 'move',
-              case when t.tag = '' or t.tag in ({void}) or endswith(t.raw, '/>') then 0
-                   when startswith(t.tag, '/') then -1 else 1 end))""",
-        lambda t: f"{t}.move <> 0",
+        "filter", tokens, lambda t: f"{t}.tag <> '' and {t}.tag not in ({void}) and not endswith({t}.raw, '/>')"
     )
+    closing = "startswith(t.tag, '/')"
+    section = f"(t.tag = 'div' and t.raw rlike {literal('(?i)' + _class_pattern(SECTION_CLASS))})"
     zero = """named_struct('depth', 0, 'start', 0, 'block', '', 'stop', false,
                 'spans', cast(array() as array<struct<start:int,end:int>>))"""
-    step = """named_struct(
-        'depth', s.depth + if(s.stop or (t.move < 0 and s.depth = 0), 0, t.move),
-        'start', if(t.move > 0 and s.depth = 0, t.i, s.start),
-        'block', if(t.move > 0 and s.depth = 0, t.tag, s.block),
-        'stop', s.stop or (t.move < 0 and s.depth = 0),
-        'spans', if(t.move < 0 and s.depth = 1 and not s.stop and s.block in ('p', 'ul', 'div'),
-                    concat(s.spans, array(named_struct('start', s.start, 'end', t.i))), s.spans))"""
-    spans = f"aggregate({tags}, {zero}, (s, t) -> {step}, s -> s.spans)"
-    return lambda_sql("transform", spans, lambda x: f"slice({tokens}, {x}.start, {x}.end - {x}.start + 1)")
+    # Inside a block only the depth changes; at depth 0 a block starts or the search stops.
+    step = f"""case
+      when s.stop then s
+      when {closing} and s.depth = 1 then named_struct('depth', 0, 'start', 0, 'block', '', 'stop', false,
+        'spans', if(s.block in ('p', 'ul', 'div'),
+                    concat(s.spans, array(named_struct('start', s.start, 'end', t.pos))), s.spans))
+      when s.depth > 0 then named_struct('depth', s.depth + if({closing}, -1, 1), 'start', s.start,
+        'block', s.block, 'stop', false, 'spans', s.spans)
+      when {closing} or {section} then named_struct('depth', 0, 'start', 0, 'block', '', 'stop', true, 'spans', s.spans)
+      else named_struct('depth', 1, 'start', t.pos, 'block', t.tag, 'stop', false, 'spans', s.spans) end"""
+    finish = "named_struct('spans', s.spans, 'open', s.depth > 0 and not s.stop)"
+    return f"aggregate({tags}, {zero}, (s, t) -> {step}, s -> {finish})"
+
+
+def _sibling_blocks(tokens: str, rest: str) -> str:
+    """Token arrays of the blocks that follow a section in ``tokens``, which end at the next section.
+
+    A block that is still open there wraps that section: then all the ``rest`` of the page is read.
+    """
+
+    def blocks(within: str, spans: str) -> str:
+        return lambda_sql(
+            "transform", spans, lambda x: f"slice({within}, {_place(within, f'{x}.start')}, {x}.end - {x}.start + 1)"
+        )
+
+    wrapped = let_sql(rest, lambda r: blocks(r, f"{_sibling_spans(r)}.spans"))
+    return let_sql(_sibling_spans(tokens), lambda x: f"if({x}.open, {wrapped}, {blocks(tokens, f'{x}.spans')})")
 
 
 # ---- token table ---------------------------------------------------------------------------
@@ -284,19 +303,21 @@ def _sections(tokens: str) -> str:
 
     def cut(starts: str) -> str:
         following = f"coalesce(get({starts}, i + 1), size({tokens}) + 1)"
-        return f"transform({starts}, (start, i) -> slice({tokens}, start, {following} - start))"
+        section = f"slice({tokens}, start, {following} - start)"
+        return f"transform({starts}, (start, i) -> named_struct('start', start, 'tokens', {section}))"
 
     def halves(section: str) -> str:
         return let_sql(
-            _close_position(section, "div"),
-            lambda at: f"""named_struct('inside', slice({section}, 1, {at}),
-              'after', slice({section}, {at} + 1, size({section})))""",
+            _close_position(f"{section}.tokens", "div"),
+            lambda at: f"""named_struct('inside', slice({section}.tokens, 1, {at}), 'next', {section}.start + {at},
+              'after', slice({section}.tokens, {at} + 1, size({section}.tokens)))""",
         )
 
     def parts(half: str) -> str:
         label = _first_element(f"{half}.inside", "span", LABEL_CLASS)
+        rest = f"slice({tokens}, {half}.next, size({tokens}))"
         return f"""named_struct('key', {normalize_key_sql(_text(label))},
-          'p', {_first_element(f"{half}.inside", "p")}, 'blocks', {_sibling_blocks(f"{half}.after")})"""
+          'p', {_first_element(f"{half}.inside", "p")}, 'blocks', {_sibling_blocks(f"{half}.after", rest)})"""
 
     def texts(x: str) -> str:
         later = lambda_sql("transform", f"{x}.blocks", lambda b: _text(b, "\n"))

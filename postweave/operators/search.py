@@ -97,7 +97,7 @@ def _list_array(rows: np.ndarray) -> pa.Array:
 
 def l2_normalize(df: DataFrame, vec: str, out: str = "vec") -> DataFrame:
     """Scale to unit length; a zero vector stays zero."""
-    return df.withColumn("_norm", V.norm(F.col(vec))).withColumn(out, V.scaled(F.col(vec), F.col("_norm"))).drop("_norm")
+    return df.withColumn(out, V.unit(F.col(vec)))
 
 
 def blend_queries(

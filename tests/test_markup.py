@@ -125,6 +125,16 @@ def test_siblings(spark):
     assert details(spark, html)[0] == [("a", "in\nside\n\none\n\nx\ny\nz\n\nd\ne\nf")]
 
 
+def test_block_that_wraps_a_section_is_read_in_both(spark):
+    html = (
+        "<main>" + SECTION.format("A:", "<p>in</p>") + "<p>first</p><div>text "
+        + SECTION.format("B:", "<p>x</p>") + "<p>y</p></div><p>z</p>" + SECTION.format("C:", "<p>c</p>") + "<p>d</p></main>"
+    )
+    assert details(spark, html)[0] == [
+        ("a", "in\n\nfirst\n\ntext\nB:\nx\ny\n\nz"), ("b", "x\n\ny"), ("c", "c\n\nd"),
+    ]
+
+
 @pytest.mark.parametrize(
     "label, inside, wanted",
     [
