@@ -85,6 +85,20 @@ def normalize_key_sql(label: str) -> str:
     return f"translate(lower({strip_sql(label)}), ' /:', '__')"
 
 
+def json_string_sql(text: str) -> str:
+    """A JSON string in ASCII: the short escapes, all else outside ``space`` to ``~`` as ``\\uXXXX``."""
+    for char, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        text = f"replace({text}, {literal(char)}, {literal(escape)})"
+
+    def escaped(piece: str) -> str:
+        units = f"lower(hex(encode({piece}, 'UTF-16BE')))"
+        codes = lambda_sql("transform", f"regexp_extract_all({units}, '.{{4}}', 0)", lambda u: f"concat('\\\\u', {u})")
+        return f"if({piece} rlike '^[ -~]', {piece}, array_join({codes}, ''))"
+
+    pieces = lambda_sql("transform", f"regexp_extract_all({text}, '[ -~]+|[^ -~]', 0)", escaped)
+    return f"concat('\"', array_join({pieces}, ''), '\"')"
+
+
 def _code_point_sql(number: str) -> str:
     known = f"if(cast({number} as bigint) between 1 and 1114111, cast({number} as bigint), 65533)"
     return f"decode(unhex(lpad(hex({known}), 8, '0')), 'UTF-32')"

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postweave.functions.text import strip
+
 # Fixed value: weight used when none can be read.
 DEFAULT_WEIGHT = 0.2
 
+_DIGITS = "[0-9]+(_[0-9]+)*"
+_NUMBER = rf"(?i)^[+-]?({_DIGITS}\.?({_DIGITS})?(e[+-]?{_DIGITS})?|\.{_DIGITS}(e[+-]?{_DIGITS})?|inf(inity)?|nan)$"
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -45,5 +50,6 @@ def to_float32(v: Column) -> Column:
 
 def clamp_weight(text: Column) -> Column:
     """Read a weight: 0.2 when it is no number, then held within 0 and 1 (NaN gives 1)."""
-    number = F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
+    plain = strip(text)
+    number = F.when(plain.rlike(_NUMBER), F.regexp_replace(plain, "_", "").try_cast("double"))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(DEFAULT_WEIGHT))))

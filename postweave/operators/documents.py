@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postweave.functions.text import or_else, strip
+from postweave.functions.text import json_string_sql, lambda_sql, let_sql, or_else, strip
 from postweave.operators.collect import last_wins
 from postweave.operators.flatten import company_or_detail, title_or_detail
 from postweave.operators.joins import even_join, thinned_keys
 
-# Kinds, prompt text, reply patterns, placeholders, file names and display defaults.
+# Posting fields, kinds, prompt text, reply patterns, placeholders, file names and display defaults.
+FLAT_FIELDS = ["id", "title", "company", "division", "openings", "city", "level", "deadline"]
 KINDS = ["resume", "cover_letter"]
 KIND_WORDS = {"resume": "resume", "cover_letter": "cover letter"}
 PROMPT_HEAD = (
@@ -86,10 +87,40 @@ def application_count(rows: DataFrame) -> DataFrame:
 # ---- prompts and replies -------------------------------------------------------------------
 
 
-def record_json(columns: list[str], pretty: bool = False) -> Column:
-    """A record as JSON, nulls kept; ``pretty`` indents it."""
-    options = {"ignoreNullFields": "false", "pretty": str(pretty).lower()}
-    return F.to_json(F.struct(*columns), options)
+def record_json(columns: list[str]) -> Column:
+    """A record as compact JSON, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def posting_json() -> Column:
+    """A posting as JSON indented by two, ASCII only, details in page order (tags after the header)."""
+
+    def member(name: str, value: str, depth: int) -> str:
+        return f"concat('{' ' * depth}', {name}, ': ', {value})"
+
+    def block(lines: str, depth: int, ends: str) -> str:
+        joined = f"concat('{ends[0]}\n', array_join({lines}, ',\n'), '\n{' ' * depth}{ends[1]}')"
+        return f"if(size({lines}) = 0, '{ends}', {joined})"
+
+    def nullable(text: str) -> str:
+        return f"coalesce({json_string_sql(text)}, 'null')"
+
+    tag_lines = lambda_sql("transform", "status_tags", lambda t: f"concat('      ', {json_string_sql(t)})")
+    tags = f"if(status_tags is null, array(), array({member(_quoted('status_tags'), block(tag_lines, 4, '[]'), 4)}))"
+    pairs = lambda_sql(
+        "transform", "details", lambda d: member(json_string_sql(f"{d}.key"), nullable(f"{d}.value"), 4)
+    )
+    heads = lambda_sql("filter", "details", lambda d: f"{d}.key in ('job_title', 'organization')")
+    header = f"size({heads}) + if(size({heads}) = 2 and get(details, 2).key = 'division', 1, 0)"
+    lines = f"concat(slice({pairs}, 1, {header}), {tags}, slice({pairs}, 1 + {header}, size(details)))"
+    details = f"coalesce({let_sql(lines, lambda x: block(x, 2, '{}'))}, 'null')"
+    flat = [member(_quoted(f), nullable(f), 2) for f in FLAT_FIELDS]
+    members = ", ".join([*flat, member(_quoted("details"), details, 2)])
+    return F.expr(f"concat('{{\n', array_join(array({members}), ',\n'), '\n}}')")
+
+
+def _quoted(name: str) -> str:
+    return f"'\"{name}\"'"
 
 
 def with_kinds(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from postweave.functions.text import WHITESPACE, last_number, normalize_key
 from postweave.operators import flatten, markup
+from postweave.plans import collecting
 from postweave.plans import fixtures as fx
-from postweave.plans import matching
 from postweave.plans.registry import query, table
 from postweave.session import spread
 
@@ -247,7 +247,7 @@ FROM l LEFT JOIN docs ON l.id = docs.id""",
 def collect_postings(spark, sf_dir):
     """List pages of ``part`` joined with the detail pages of ``documents`` by posting id."""
     pages = fx.detail_pages(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
-    found = matching.postings_from_pages(fx.part_pages(spark, sf_dir), pages)
+    found = collecting.postings_from_pages(fx.part_pages(spark, sf_dir), pages)
     n_details = F.when(F.col("details").isNotNull(), F.size("details").cast("bigint"))
     return found.select("id", "title", "company", "deadline", n_details.alias("n_details"), "error")
 

@@ -1,23 +1,35 @@
-"""Whole plans: postings to an index, documents to matches, pages to postings."""
+"""Whole plans: postings to an index, documents to matches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.operators import markup, search
+from postweave.functions.vectors import clamp_weight, to_float32
+from postweave.operators import search
 from postweave.operators.collect import last_wins
 from postweave.operators.flatten import with_posting_text
+from postweave.operators.ordering import dense_ids
 from postweave.sources import vector_store
+from postweave.sources.postings import read_documents
 
 
 def index_postings(
     postings: DataFrame, order: list[str], encoder=None, batch_size: int = search.ENCODE_BATCH, drop_failed: bool = False
 ) -> DataFrame:
-    """Last version of each posting, flattened, encoded and numbered."""
-    texts = with_posting_text(last_wins(postings, "id", order), drop_failed).select("id", *order, "text")
-    encoded = search.encode(texts, "text", encoder, batch_size)
-    return search.build_index(encoded, "vec", F.col("id"), *order)
+    """Last version of each posting, flattened, encoded and numbered; ``order`` must be unique.
+
+    Versions are settled and numbered on their keys alone. The texts cross the network once, to
+    meet their number, and only texts that stay are encoded. Postings without an id all stay.
+    """
+    texts = with_posting_text(postings, drop_failed).select("id", *order, "text")
+    version_key = F.coalesce("id", F.concat_ws("\x01", F.lit("no id"), *order))
+    latest = last_wins(texts.select(version_key.alias("key"), *order), "key", order)
+    numbered = texts.join(dense_ids(latest.select(*order), *order), list(order))
+    encoded = search.encode(numbered, "text", encoder, batch_size)
+    job_id = F.coalesce("id", F.col("internal_id").cast("string"))
+    return encoded.select("internal_id", job_id.alias("job_id"), to_float32(F.col("vec")).alias("vec"))
 
 
 def vectorize_postings(postings: DataFrame, prefix: str, source: str, order: list[str], encoder=None) -> DataFrame:
@@ -54,12 +66,37 @@ def match_many(index: DataFrame, queries: DataFrame, k: int = search.DEFAULT_TOP
     return best.join(ids, "internal_id").select("query_id", "rank", "job_id", "score")
 
 
-def postings_from_pages(list_pages: DataFrame, detail_pages: DataFrame) -> DataFrame:
-    """Rows of the list pages with the details of their detail page (``id`` names the posting).
+def match_files(
+    spark: SparkSession,
+    documents: str,
+    prefix: str,
+    k: int = search.DEFAULT_TOP_K,
+    preferences: str | None = None,
+    weight: str | None = None,
+    encoder=None,
+) -> DataFrame:
+    """Matches of each document file: ``query_id`` (its path), ``rank, job_id, score``.
 
-    A posting without a detail page, or with a bad one, carries an error.
+    ``preferences``: one file whose text is blended in, unless it is missing or blank. The index
+    must come from the same encoder.
     """
-    rows = markup.list_rows_dispatch(markup.list_rows(list_pages))
-    joined = rows.join(markup.detail_records(detail_pages), "id", "left")
-    missing = F.col("details").isNull() & F.col("error").isNull()
-    return joined.withColumn("error", F.when(missing, "No detail page").otherwise(F.col("error")))
+    model = encoder or search.HashingEncoder()
+    index, meta = vector_store.load_index(spark, prefix)
+    texts = read_documents(spark, documents).withColumnRenamed("path", "query_id")
+    queries = search.encode(texts, "text", model).select("query_id", "vec")
+    sample = queries.select(F.size("vec").alias("dim")).first()
+    vector_store.check_model(meta, model.name, sample.dim if sample else meta.first().dim)
+    likes = None if preferences is None else _read_if_there(spark, preferences)
+    if likes is not None:
+        likes = search.encode(likes, "text", model)
+        wanted = {c: likes.select(c).scalar() for c in ("text", "vec")}
+        each = queries.select("query_id", *[v.alias(c) for c, v in wanted.items()])
+        queries = search.blend_queries(queries, each, weight=clamp_weight(F.lit(weight).cast("string")))
+    return match_many(index, queries, k)
+
+
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return read_documents(spark, path)
+    except AnalysisException:
+        return None

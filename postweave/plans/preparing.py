@@ -10,9 +10,6 @@ from postweave.operators import manifest
 from postweave.operators.flatten import company_or_detail, detail, title_or_detail
 from postweave.sources import generated
 
-RECORD_FIELDS = ["id", "title", "company", "division", "openings", "city", "level", "deadline", "details"]
-
-
 def base_template(bases: dict[str, str]) -> Column:
     """The base template of the row's ``kind``."""
     first, second = D.KINDS
@@ -43,9 +40,8 @@ def prepare_documents(
     The reply is cleaned; an empty one gives the base template.
     """
     chosen = D.lookup_selected(D.selected_ids(selection), postings, order).withColumn("id", F.col("job_id"))
-    record = D.record_json(RECORD_FIELDS, pretty=True)
     base = base_template(bases)
-    prompts = D.build_prompts(chosen, record, base)
+    prompts = D.build_prompts(chosen, D.posting_json(), base)
     replies = D.generate_replies(prompts, generator, D.fill_template(base, template_values()))
     documents = replies.withColumn("body", D.or_base(D.extract_block(F.col("reply")), base))
     placed = documents.withColumn("path", D.tex_path(out_dir, F.col("job_id"), F.col("kind")))

@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave.functions.text import lambda_sql
+from postweave.operators.documents import FLAT_FIELDS
 from postweave.operators.markup import merge_pairs_sql
 
-# The flat fields of a posting.
-FLAT_FIELDS = ["id", "title", "company", "division", "openings", "city", "level", "deadline"]
-
 _RAW = ", ".join(f"{f} string" for f in FLAT_FIELDS) + ", details string"
 _POSTING = (
     ", ".join(f"{f} string" for f in FLAT_FIELDS)

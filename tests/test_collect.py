@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postweave.operators import collect as C
 from postweave.operators.joins import even_join
 from postweave.operators.ordering import dense_ids, with_previous
+from postweave.plans import collecting
 from postweave.streaming import progress
 
 
@@ -127,6 +128,35 @@ def test_even_join_keeps_repeats(spark):
     assert got == [("1", "a"), ("1", "a"), ("2", "None"), ("None", "None")]
 
 
+def page(rows):
+    cells = "".join(f"<td>{c}</td>" for c in "cdefgh")
+    body = "".join(f"<tr class='table__row--body'><th>{i}</th><td><a>{t}</a></td><td></td>{cells}</tr>" for i, t in rows)
+    return f"<table><tbody>{body}</tbody></table>"
+
+
+@pytest.mark.parametrize("cap, wanted", [(None, 6), (5, 5), (1, 4), (100, 6)])
+def test_collect_round(spark, cap, wanted):
+    pages = spark.createDataFrame(
+        [(0, "u", page([(1, "one"), (2, "two")])), (1, "u", page([(3, "three"), (4, "four")]))],
+        "page_id bigint, url string, html string",
+    )
+    details = spark.createDataFrame(
+        [(str(i), f'<div class="dashboard-header--mini"><h2>T{i}</h2></div>') for i in (2, 3)], "id string, html string"
+    )
+    schema = ", ".join(f"{f} string" for f in collecting.FLAT_FIELDS) + (
+        ", details array<struct<key:string,value:string>>, status_tags array<string>, error string, seq bigint"
+    )
+    flat = ["x"] * 7
+    saved = spark.createDataFrame(
+        [("1", *flat, [("k", "v")], [], None, 0), ("2", *flat, [("error", "x")], None, "x", 1), ("9", *flat, [], [], None, 2)],
+        schema,
+    )
+    found = collecting.collect_round(saved, pages, details, cap).orderBy("seq").collect()
+    every = [("1", None), ("2", "x"), ("9", None), ("2", None), ("3", None), ("4", "No detail page")]
+    assert [(r.id, r.error) for r in found] == every[:wanted]
+    assert [r.seq for r in found] == list(range(wanted))
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     folder, sink, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
     schema = "id bigint, seq bigint"

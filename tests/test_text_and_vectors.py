@@ -54,7 +54,8 @@ def test_posting_text_without_details(spark):
     "text, wanted",
     [
         (None, 0.2), ("x", 0.2), ("", 0.2), ("-1", 0.0), ("7", 1.0), ("nan", 1.0), ("inf", 1.0), ("-inf", 0.0),
-        (" 0.3 ", 0.3), ("0.5d", 0.2), ("1e-1", 0.1), ("0", 0.0),
+        (" 0.3 ", 0.3), ("0.5d", 0.2), ("1e-1", 0.1), ("0", 0.0), ("0_0.5", 0.5), ("_1", 0.2), ("0x1p3", 0.2),
+        (".5", 0.5), ("1.", 1.0), ("\xa00.4\u2003", 0.4), ("+Infinity", 1.0), ("-.25e0", 0.0), (".", 0.2),
     ],
 )
 def test_weight(spark, text, wanted):
@@ -171,6 +172,7 @@ def postings(spark):
         ("b", "nurse", "y", [("job_summary", "care")], None, None, 1),
         ("a", "data engineer two", "x", [("job_summary", "spark sql tuning")], None, None, 2),
         (None, "no id", "z", [], None, None, 3),
+        (None, "no id either", "z", [], None, None, 4),
     ]
     return spark.createDataFrame(rows, POSTING)
 
@@ -178,10 +180,10 @@ def postings(spark):
 def test_text_to_match(spark, tmp_path):
     prefix = str(tmp_path / "index")
     meta = matching.vectorize_postings(postings(spark), prefix, "test", ["seq"]).first()
-    assert (meta.num_vectors, meta.dim, meta.model_name) == (3, 64, "hashing-64")
+    assert (meta.num_vectors, meta.dim, meta.model_name) == (4, 64, "hashing-64")
     assert meta.created_at.endswith("Z")
     index, _ = vector_store.load_index(spark, prefix)
-    assert sorted((r.internal_id, r.job_id) for r in index.collect()) == [(0, "b"), (1, "a"), (2, "2")]
+    assert sorted((r.internal_id, r.job_id) for r in index.collect()) == [(0, "b"), (1, "a"), (2, "2"), (3, "3")]
     query = search.encode(spark.createDataFrame([(0, "spark sql")], "query_id int, text string"), "text")
     assert matching.match(index, query, 2).first().job_id == "a"
     likes = search.encode(spark.createDataFrame([(0, "nurse care")], "query_id int, text string"), "text")
@@ -190,6 +192,29 @@ def test_text_to_match(spark, tmp_path):
     assert [r.job_id for r in many][0] == "a" and len(many) == 2
 
 
+def test_files_to_matches(spark, tmp_path):
+    prefix = str(tmp_path / "index")
+    matching.vectorize_postings(postings(spark), prefix, "test", ["seq"])
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "one.tex").write_text("spark sql")
+    (tmp_path / "docs" / "two.txt").write_text("nurse care")
+    (tmp_path / "likes.txt").write_text("nurse care")
+    (tmp_path / "blank.txt").write_text(" \n")
+
+    def best(**options):
+        found = matching.match_files(spark, str(tmp_path / "docs"), prefix, 1, **options)
+        return {r.query_id.rsplit("/", 1)[1]: r.job_id for r in found.collect()}
+
+    alone = {"one.tex": "a", "two.txt": "b"}
+    assert best() == alone
+    assert best(preferences=str(tmp_path / "none.txt")) == alone
+    assert best(preferences=str(tmp_path / "blank.txt"), weight="1") == alone
+    assert best(preferences=str(tmp_path / "likes.txt"), weight="1") == {"one.tex": "b", "two.txt": "b"}
+    assert best(preferences=str(tmp_path / "likes.txt"), weight="?") == alone
+    with pytest.raises(ValueError):
+        best(encoder=search.HashingEncoder(32))
+
+
 def test_index_needs_both_parts_and_one_model(spark, tmp_path):
     prefix = str(tmp_path / "index")
     with pytest.raises(FileNotFoundError):
