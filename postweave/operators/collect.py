@@ -52,20 +52,27 @@ def resolve_attempts(
     )
 
 
-def cap_rows(old: DataFrame, new: DataFrame, max_rows: int, order: list[str], strict: bool = False) -> DataFrame:
-    """Old rows plus new ones until ``max_rows`` is reached.
+def within_cap(
+    new: DataFrame, n_old: Column, max_rows: int, order: list[str], strict: bool = False
+) -> DataFrame:
+    """The new rows that still find room when ``n_old`` are there already.
 
     The limit is tested after each append, so a full collection still gains one row; ``strict``
     turns that off.
     """
-    n_old = old.select(F.count("*").alias("n")).scalar()
     room = F.greatest(F.lit(max_rows) - n_old, F.lit(0 if strict else 1))
     if max_rows <= _SMALL_LIMIT:
         first = new.orderBy(*order).limit(max(max_rows, 1))  # top-n, not a full sort
         ranked = first.withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
     else:
         ranked = dense_ids(new, *order, name="_place")
-    return old.unionByName(ranked.filter(F.col("_place") < room).drop("_place"))
+    return ranked.filter(F.col("_place") < room).drop("_place")
+
+
+def cap_rows(old: DataFrame, new: DataFrame, max_rows: int, order: list[str], strict: bool = False) -> DataFrame:
+    """Old rows plus new ones until ``max_rows`` is reached."""
+    n_old = old.select(F.count("*").alias("n")).scalar()
+    return old.unionByName(within_cap(new, n_old, max_rows, order, strict))
 
 
 def failure_runs(
@@ -90,9 +97,16 @@ def page_advance(log: DataFrame, key: str, order: list[str], first_key: Column)
 
 
 def append_union(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """Old rows first, then the new ones, with their place ``seq``."""
-    tagged = old.withColumn("_part", F.lit(0)).unionByName(new.withColumn("_part", F.lit(1)))
-    return dense_ids(tagged, "_part", *order, name="place").drop("_part")
+    """Old rows first, then the new ones, both in the given order, with their ``place``."""
+    placed = dense_ids(old, *order, name="place")
+    return placed.unionByName(placed_after(placed, new, order, "place"))
+
+
+def placed_after(old: DataFrame, new: DataFrame, order: list[str], place: str) -> DataFrame:
+    """New rows with their ``place``, counted from the last place of the old ones on."""
+    following = old.select((F.max(place) + 1).alias("n")).scalar()
+    numbered = dense_ids(new, *order, name="_place")
+    return numbered.withColumn(place, F.col("_place") + F.coalesce(following, F.lit(0))).drop("_place")
 
 
 def outcome_summary(postings: DataFrame) -> DataFrame:

@@ -34,18 +34,16 @@ def collect_round(
     """Saved postings, then the listed ones that no earlier round collected successfully.
 
     ``list_pages``: ``(page_id, url, html)`` in the order of ``page_id``. Postings that failed
-    before are tried again, so their ids repeat; the last version counts later on. The cap is
-    applied before any detail page is parsed. ``seq`` keeps the order.
+    before are tried again, so their ids repeat; the last version counts later on. Places (``seq``)
+    and the cap are settled on the list rows, before any detail page is parsed.
     """
     order = ["page_id", "row_no"]
     listed = markup.list_rows_dispatch(markup.list_rows(list_pages)).select(*order, *FLAT_FIELDS)
     new = collect.only_new(listed, collect.success_filter(saved), "id")
     if max_rows is not None:
-        blank = {f.name: F.lit(None).cast(f.dataType) for f in new.schema if f.name != "id"}
-        capped = collect.cap_rows(saved.select("id").withColumns(blank), new, max_rows, order, strict)
-        new = capped.filter(F.col("page_id").isNotNull())
-    pages = detail_pages.join(thinned_keys(new, "id"), "id", "left_semi")
-    detailed = with_details(new, pages).select(*order, *POSTING_COLUMNS)
-    earlier = saved.withColumns({"page_id": F.lit(None).cast("bigint"), "row_no": F.col("seq").cast("int")})
-    rows = earlier.select("page_id", "row_no", *POSTING_COLUMNS)
-    return collect.append_union(rows, detailed, order).withColumnRenamed("place", "seq").drop(*order)
+        n_saved = saved.select(F.count("*").alias("n")).scalar()
+        new = collect.within_cap(new, n_saved, max_rows, order, strict)
+    placed = collect.placed_after(saved, new, order, "seq")  # checkpointed, so read twice below
+    pages = detail_pages.join(thinned_keys(placed, "id"), "id", "left_semi")
+    detailed = with_details(placed, pages).select(*POSTING_COLUMNS, "seq")
+    return saved.select(*POSTING_COLUMNS, "seq").unionByName(detailed)

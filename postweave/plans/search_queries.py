@@ -255,7 +255,7 @@ def match_documents(spark, sf_dir):
         F.col("doc_id").alias("internal_id"), F.concat(F.lit("job-"), "doc_id").alias("job_id")
     )
     likes = units.filter("internal_id = 1").select(
-        F.lit(0).cast("bigint").alias("query_id"), F.lit("near home").alias("text"), "vec"
+        (F.col("internal_id") - 1).alias("query_id"), F.lit("near home").alias("text"), "vec"
     )
     index = units.select("internal_id", "vec")
     ids = search.map_ids(units.select("internal_id"), known)
