@@ -2,7 +2,8 @@
 
 Markup is taken as a browser serialises it (closed elements, quoted attributes). Tokens are
 ``struct<raw, tag, pos>`` where ``tag`` is the lower-case name, ``/name`` for a closing tag and
-``''`` for text, and ``pos`` counts from 1 over the page. Helpers that start with ``_`` compose SQL text; operators map DataFrames.
+``''`` for text, and ``pos`` counts from 1 over the page; detail pages add the ``text`` of text
+tokens. Helpers that start with ``_`` compose SQL text; operators map DataFrames.
 """
 
 from __future__ import annotations
@@ -65,6 +66,14 @@ def _tokens(html: str) -> str:
     return f"transform({_all(_visible(html), _TOKEN)}, (t, i) -> {token})"
 
 
+def _with_texts(tokens: str) -> str:
+    """Tokens with ``text``: the stripped text of a text token, else empty."""
+    text = strip_sql(decode_entities_sql("t.raw"))
+    is_text = "t.tag = '' and not startswith(t.raw, '<!')"
+    token = f"named_struct('raw', t.raw, 'tag', t.tag, 'pos', t.pos, 'text', if({is_text}, {text}, ''))"
+    return f"transform({tokens}, t -> {token})"
+
+
 def _place(tokens: str, pos: str) -> str:
     """Where a page position lies in a slice of the tokens."""
     return f"({pos} - get({tokens}, 0).pos + 1)"
@@ -85,9 +94,8 @@ def rendered_text_sql(markup: str) -> str:
 
 def _text_nodes(tokens: str) -> str:
     """Stripped, non-empty text nodes in order."""
-    texts = lambda_sql("filter", tokens, lambda t: f"{t}.tag = '' and not startswith({t}.raw, '<!')")
-    stripped = lambda_sql("transform", texts, lambda t: strip_sql(decode_entities_sql(f"{t}.raw")))
-    return lambda_sql("filter", stripped, lambda x: f"{x} <> ''")
+    texts = lambda_sql("filter", tokens, lambda t: f"{t}.text <> ''")
+    return lambda_sql("transform", texts, lambda t: f"{t}.text")
 
 
 def _text(tokens: str, separator: str = "") -> str:
@@ -207,27 +215,29 @@ def has_title_link(title_cell: Column) -> Column:
     return title_cell.rlike(r"(?i)<a[\s>]")
 
 
+# Row ids and title cells by layout, over ``texts`` (rendered cells), ``cells`` and ``heads`` (markup).
 _FULL_ID = (
     "if(size(heads) >= 1, "
     + let_sql(
         rendered_text_sql("get(heads, 0)"),
         lambda x: f"coalesce(try_element_at(regexp_extract_all({x}, '[0-9]+', 0), -1), {x})",
     )
-    + f", {rendered_text_sql('get(cells, 0)')})"
+    + ", get(texts, 0))"
 )
 _FULL_TITLE = "if(size(heads) >= 1, get(cells, 0), get(cells, 1))"
-_DIRECT_ID = rendered_text_sql("get(cells, 0)")
+_DIRECT_ID = "get(texts, 0)"
 _DIRECT_TITLE = "get(cells, 1)"
 
 
 def _project(rows: DataFrame, posting_id: str, title_cell: str) -> DataFrame:
     kept = [c for c in rows.columns if c not in ("cells", "heads")]
     linked = enough_cells(rows).filter(has_title_link(F.expr(title_cell)))
-    return linked.select(
+    texts = F.expr(lambda_sql("transform", "cells", rendered_text_sql))
+    return linked.withColumn("texts", texts).select(
         *kept,
         F.expr(posting_id).alias("id"),
         F.expr(rendered_text_sql(f"regexp_extract({title_cell}, {literal(_LINK)}, 1)")).alias("title"),
-        *[F.expr(rendered_text_sql(f"get(cells, {i})")).alias(f) for i, f in enumerate(CELL_FIELDS, 2)],
+        *[F.get("texts", F.lit(i)).alias(f) for i, f in enumerate(CELL_FIELDS, 2)],
     )
 
 
@@ -355,7 +365,9 @@ def _with_tokens(pages: DataFrame, html: str) -> DataFrame:
     others = [c for c in pages.columns if c != html]
     empty = f"{strip_sql(f'coalesce({html}, {literal("")})')} = ''"
     return pages.select(
-        *others, F.expr(f"if({empty}, 'Empty detail page', null)").alias("error"), F.expr(_tokens(html)).alias("tokens")
+        *others,
+        F.expr(f"if({empty}, 'Empty detail page', null)").alias("error"),
+        F.expr(_with_texts(_tokens(html))).alias("tokens"),
     )
 
 

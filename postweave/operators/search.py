@@ -283,9 +283,10 @@ def _block_pairs(corpus: DataFrame, queries: DataFrame, slices: int) -> DataFram
     """Packed corpus and query blocks joined on (slice, part).
 
     Each query block lies in one slice and is copied to every part; each corpus block lies in one
-    part and is copied to every slice. Both are even by construction, so no key is hot.
+    part and is copied to every slice. Both are even by construction, so no key is hot. There are
+    as many pairs (slice, part) as shuffle partitions, so queries are not copied more than needed.
     """
-    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slices))
     q = _packed(queries, "q").withColumn("slice", F.pmod(F.xxhash64("q_ids"), F.lit(slices)))
     c = _packed(corpus, "c").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(parts)))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
