@@ -15,12 +15,12 @@ POSTING_COLUMNS = [*FLAT_FIELDS, "details", "status_tags", "error"]
 def with_details(rows: DataFrame, detail_pages: DataFrame) -> DataFrame:
     """Add the details found on the page ``(id, html)`` of each posting; an error where there is none.
 
-    Pages are parsed after the join, so those of other postings are not parsed at all.
+    Pages are parsed before the join: once each, however often a posting is listed, and spread as
+    they are read.
     """
-    joined = rows.join(detail_pages.select("id", "html", F.lit(True).alias("_page")), "id", "left")
-    parsed = markup.detail_records(joined)
-    error = F.when(F.col("_page").isNull(), "No detail page").otherwise(F.col("error"))
-    return parsed.withColumn("error", error).drop("_page")
+    joined = rows.join(markup.detail_records(detail_pages.select("id", "html")), "id", "left")
+    missing = F.col("details").isNull() & F.col("error").isNull()
+    return joined.withColumn("error", F.when(missing, "No detail page").otherwise(F.col("error")))
 
 
 def postings_from_pages(list_pages: DataFrame, detail_pages: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def collect_round(
 
     ``list_pages``: ``(page_id, url, html)`` in the order of ``page_id``. Postings that failed
     before are tried again, so their ids repeat; the last version counts later on. Places (``seq``)
-    and the cap are settled on the list rows, before any detail page is parsed.
+    and the cap are settled on the list rows, and only detail pages of new postings are parsed.
     """
     order = ["page_id", "row_no"]
     listed = markup.list_rows_dispatch(markup.list_rows(list_pages)).select(*order, *FLAT_FIELDS)
