@@ -5,8 +5,8 @@ from check_oracle import compare, connect
 from conftest import SF_DIR
 
 import __spark_entry__ as contract
-
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+from postweave.plans.registry import ORACLES as SQL
+from postweave.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -28,4 +28,5 @@ def test_entry(spark):
 
 
 def test_sql_belongs_to_queries():
-    assert set(SQL) <= set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
