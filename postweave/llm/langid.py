@@ -31,6 +31,7 @@ SAMPLE_BYTES = 24_000
 BLOCK = 256
 UNKNOWN = "und"
 KNOWN_BITS = 6.0  # a text that takes more bits a byte in every language is in none of them
+KNOWN_BYTES = 200  # shorter texts are not judged by that
 _LANES = 1 << 13
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -38,7 +39,7 @@ _NO_LETTERS = re.compile(r"[\W\d_]+")
 class Model(NamedTuple):
     names: list[str]
     symbols: np.ndarray  # byte -> symbol; the last two are unknown and end of text
-    tables: list[np.ndarray]  # state row + symbol -> next state row, or its complement where a phrase ends
+    tables: list[np.ndarray]  # state row + symbol -> next state row, or its complement where a phrase begins
     bits: np.ndarray  # log2 of the sample sizes
 
 
@@ -89,11 +90,12 @@ def build(samples: dict[str, bytes]) -> Model:
     tables = []
     for name in names:
         moves = suffix_automaton(samples[name])
-        restart = np.full(width, ~0, np.int32)  # a phrase ends, the next one begins with this symbol
+        between = len(moves) * width  # the last row: no phrase is open, so any symbol begins one
+        restart = np.full(width, ~between, np.int32)  # a phrase begins here; an unknown symbol is one alone
         for byte, target in moves[0].items():
             restart[symbols[byte]] = ~(target * width)
-        table = np.tile(restart, (len(moves), 1))
-        table[:, width - 1] = 0  # after the end nothing is counted
+        table = np.tile(restart, (len(moves) + 1, 1))
+        table[:, width - 1] = between  # after the end nothing is counted
         states = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
         table[states, symbols[[b for m in moves for b in m]]] = [t * width for m in moves for t in m.values()]
         tables.append(table.ravel())
@@ -115,13 +117,14 @@ def entropies(texts: list[bytes], model: Model) -> np.ndarray:
     for at in range(0, len(lanes), _LANES):
         steps = np.ascontiguousarray(lanes[at : at + _LANES].T)
         for number, table in enumerate(model.tables):
-            state, ended = np.zeros(steps.shape[1], np.int32), np.ones(steps.shape[1], np.int32)
+            state = np.full(steps.shape[1], len(table) - width, np.int32)
+            begun = np.zeros(steps.shape[1], np.int32)
             for symbol in steps:
                 state = table[state + symbol]
-                end = state >> 31
-                ended -= end
-                state ^= end
-            phrases[:, number] += np.bincount(owner[at : at + _LANES], ended, len(texts))
+                begin = state >> 31
+                begun -= begin
+                state ^= begin
+            phrases[:, number] += np.bincount(owner[at : at + _LANES], begun, len(texts))
     return phrases * model.bits / np.maximum(sizes, 1)[:, None]
 
 
@@ -188,8 +191,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_known(docs: DataFrame, known_bits: float = KNOWN_BITS, text_col: str = "text", **options) -> DataFrame:
     """Documents in one of the learned languages, columns as they are.
 
-    Rejected: ``und``, and texts that no language explains with ``known_bits`` bits a byte.
+    Rejected: ``und``, and texts of ``KNOWN_BYTES`` or more that no language explains with ``known_bits`` bits a byte.
     """
     language = language_udf(docs, fit(docs, text_col=text_col, **options))
     found = language(F.col(text_col))
-    return docs.where((found["lang"] != UNKNOWN) & (found["bits"] <= known_bits))
+    explained = (found["bits"] <= known_bits) | (F.octet_length(text_col) < KNOWN_BYTES)
+    return docs.where((found["lang"] != UNKNOWN) & explained)

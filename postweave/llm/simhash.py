@@ -122,7 +122,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, dense_cell: int = DENSE_CELL
         raise ValueError("two halves with radius 1 cover three differing bits at most")
     spark = fps.sparkSession
     path = scratch_path(spark, "anchors")
-    _anchors(fps).write.parquet(path)
+    # each fingerprint becomes about 34 rows, so a few small partitions are dealt out first
+    _anchors(fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")).write.parquet(path)
     rows = spark.read.parquet(path)
     sizes = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
     dense = sizes.where(F.col("homes") * F.col("n") > dense_cell)
@@ -138,8 +139,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, dense_cell: int = DENSE_CELL
         hot = rows.join(dense.select("cell", blocks.alias("blocks")), "cell")
         own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        as_home = hot.where("home").select("cell", "fp", F.lit(True).alias("home"), own.alias("i"), other.cast("long").alias("j"))
-        as_visit = hot.select("cell", "fp", F.lit(False).alias("home"), other.cast("long").alias("i"), own.alias("j"))
+        as_home = hot.where("home").select("cell", "fp", F.lit(True).alias("home"), own.alias("i"), other.alias("j"))
+        as_visit = hot.select("cell", "fp", F.lit(False).alias("home"), other.alias("i"), own.alias("j"))
         grouped = as_home.unionByName(as_visit).groupBy("cell", "i", "j")
         forest = grouped.applyInArrow(lambda t: _forest(t, max_bits), "a long, b long")
         pairs = pairs.unionByName(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))

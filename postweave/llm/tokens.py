@@ -2,12 +2,15 @@
 
 Byte-level tokenizers cut a text before they merge, and always in front of white space that follows
 a printed character. Such stretches can be encoded alone, so each task keeps the ids of the
-stretches it has met and calls the tokenizer only for new ones. Texts with other white space than
-single spaces and newlines between words go through the tokenizer whole.
+stretches it has met and gives only the pieces of new ones to the tokenizer's model. Texts with
+other white space than single spaces and newlines between words, and tokenizers that cut
+differently, go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
+import struct
 from collections.abc import Callable
 from functools import cache
 
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 300_000  # of each of the two generations a worker keeps
+CACHE_ENTRIES = 400_000  # of each of the two generations a worker keeps
 
 
 def default_tokenizer() -> str:
@@ -25,6 +28,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+# How byte-level tokenizers cut a text, and the characters that stand for bytes in them.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(_HIDDEN)}
+_SPACE = chr(BYTE_CHARS[0x20])
+_MARKS = frozenset(".,;:!?")
+
+
 class CachedEncoder:
     """Ids of texts by a byte-level tokenizer file; memory is bounded by two cache generations."""
 
@@ -32,9 +44,15 @@ class CachedEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        cut = parts["pre_tokenizer"] or {}
+        self.by_stretch = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not parts["normalizer"]
+        self.pieces = regex.compile(PIECES).findall
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = cache_entries
         self.young: dict[str, bytes] = {}
@@ -48,31 +66,53 @@ class CachedEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _look_up(self, stretches: list[str]) -> list[bytes]:
-        found = list(map(self.young.get, stretches))
-        if None in found:
-            unknown = []
-            for stretch in {s for s, ids in zip(stretches, found) if ids is None}:
-                if stretch in self.old:
-                    self.young[stretch] = self.old[stretch]
-                else:
-                    unknown.append(stretch)
-            if unknown:
-                self.young.update(zip(unknown, self._encode(unknown)))
-            found = list(map(self.young.__getitem__, stretches))
-            if len(self.young) > self.limit:
-                self.old, self.young = self.young, {}
-        return found
+    def _merge(self, stretch: str) -> bytes:
+        """Ids of one stretch: its pieces, in the characters that stand for their bytes, through the model."""
+        word = stretch[1:]
+        if stretch[:1] == " " and word.isalpha():  # the most common pieces need no pattern
+            pieces = [stretch]
+        elif stretch[:1] == " " and word[-1:] in _MARKS and word[:-1].isalpha():
+            pieces = [stretch[:-1], word[-1:]]
+        else:
+            pieces = self.pieces(stretch)
+        ids: list[int] = []
+        for piece in pieces:
+            if piece.isascii() and piece[1:].isalpha() and piece[0] > "\x1f":
+                shown = _SPACE + piece[1:] if piece[0] == " " else piece
+            else:
+                shown = piece.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids += [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, stretches: set[str]) -> bool:
+        """Take new stretches into the cache; false if one of them holds other white space."""
+        young, old = self.young, self.old
+        for stretch in stretches:
+            known = old.get(stretch)
+            if known is None:
+                newline = stretch[:1] == "\n"
+                if (stretch[1:] if newline else stretch).split() != [stretch[newline:]]:
+                    return False
+                # a stretch follows a space unless it begins with a newline
+                known = self._merge(stretch if newline else " " + stretch)
+            young[stretch] = known
+        return True
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers; none for null and for the empty text."""
         if not text:
             return b""
-        stretches = text.replace("\n", " \n").split(" ")
-        if "" in stretches or "\n" in stretches or len(stretches) != len(text.split()):
+        head, *stretches = text.replace("\n", " \n").split(" ")
+        if not self.by_stretch or head.split() != [head]:
             return self._encode([text])[0]
-        stretches[1:] = [x if x[0] == "\n" else " " + x for x in stretches[1:]]
-        return b"".join(self._look_up(stretches))
+        found = list(map(self.young.get, stretches))
+        if None in found:
+            if not self._learn({x for x, ids in zip(stretches, found) if ids is None}):
+                return self._encode([text])[0]
+            found = list(map(self.young.__getitem__, stretches))
+            if len(self.young) > self.limit:
+                self.old, self.young = self.young, {}
+        return self._merge(head) + b"".join(found)
 
 
 @cache
