@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postweave.llm.quality import held_out
+from postweave.llm.words import batches_of
 
 SAMPLE_ROWS = 32
 SAMPLE_BYTES = 24_000
@@ -32,7 +33,7 @@ BLOCK = 256
 UNKNOWN = "und"
 KNOWN_BITS = 6.0  # a text that takes more bits a byte in every language is in none of them
 KNOWN_BYTES = 200  # shorter texts are not judged by that
-_LANES = 1 << 13
+_STRETCH = BLOCK << 12  # bytes parsed at once
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -102,30 +103,39 @@ def build(samples: dict[str, bytes]) -> Model:
     return Model(names, symbols, tables, np.log2([max(2, len(samples[n])) for n in names]))
 
 
-def entropies(texts: list[bytes], model: Model) -> np.ndarray:
-    """Bits per byte of each text (row) in each language (column)."""
-    width = int(model.symbols.max(initial=0)) + 2 if len(model.names) else 2
+def _phrases(texts: list[bytes], model: Model) -> np.ndarray:
+    """Phrases of each text (row) in each language (column), parsed in blocks side by side."""
+    width = int(model.symbols.max(initial=0)) + 2
     sizes = np.array([len(t) for t in texts], np.int64)
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(texts)), blocks)
-    phrases = np.zeros((len(texts), len(model.names)))
     padded = np.full(int(blocks.sum()) * BLOCK, width - 1, np.int32)
-    data = model.symbols[np.frombuffer(b"".join(texts), np.uint8)]
-    shift = np.cumsum(blocks * BLOCK - sizes) - (blocks * BLOCK - sizes)
-    padded[np.arange(len(data)) + np.repeat(shift, sizes)] = data
-    lanes = padded.reshape(-1, BLOCK)
-    for at in range(0, len(lanes), _LANES):
-        steps = np.ascontiguousarray(lanes[at : at + _LANES].T)
-        for number, table in enumerate(model.tables):
-            state = np.full(steps.shape[1], len(table) - width, np.int32)
-            begun = np.zeros(steps.shape[1], np.int32)
-            for symbol in steps:
-                state = table[state + symbol]
-                begin = state >> 31
-                begun -= begin
-                state ^= begin
-            phrases[:, number] += np.bincount(owner[at : at + _LANES], begun, len(texts))
-    return phrases * model.bits / np.maximum(sizes, 1)[:, None]
+    at = 0
+    for text, n in zip(texts, blocks.tolist()):
+        padded[at : at + len(text)] = model.symbols[np.frombuffer(text, np.uint8)]
+        at += n * BLOCK
+    steps = np.ascontiguousarray(padded.reshape(-1, BLOCK).T)
+    phrases = np.zeros((len(texts), len(model.names)), np.int64)
+    for number, table in enumerate(model.tables):
+        state = np.full(steps.shape[1], len(table) - width, np.int32)
+        begun = np.zeros(steps.shape[1], np.int32)
+        for symbol in steps:
+            state = table[state + symbol]
+            begin = state >> 31
+            begun -= begin
+            state ^= begin
+        phrases[:, number] = np.bincount(owner, begun, len(texts))
+    return phrases
+
+
+def entropies(texts: list[bytes], model: Model) -> np.ndarray:
+    """Bits per byte of each text (row) in each language (column); a bounded stretch at a time."""
+    parts = [(i, t[at : at + _STRETCH]) for i, t in enumerate(texts) for at in range(0, len(t), _STRETCH)]
+    phrases = np.zeros((len(texts), len(model.names)))
+    for first, stop in batches_of([part for _, part in parts], _STRETCH):
+        found = _phrases([part for _, part in parts[first:stop]], model)
+        np.add.at(phrases, [i for i, _ in parts[first:stop]], found)
+    return phrases * model.bits / np.maximum([len(t) for t in texts], 1)[:, None]
 
 
 def judge(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:

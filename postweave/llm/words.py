@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
