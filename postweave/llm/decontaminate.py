@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postweave.llm.words import byte_classes, tokenize
+from postweave.llm.words import byte_classes, slices, tokenize
 from postweave.session import scratch_path
 
 WINDOW = 10
@@ -92,7 +92,8 @@ def build_index(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for doc_id, terms in zip(batch.column(0).to_pylist(), words_of(batch.column(1).to_pylist())):
+            found = (terms for part in slices(batch.column(1)) for terms in words_of(part))
+            for doc_id, terms in zip(batch.column(0).to_pylist(), found):
                 ids.append(doc_id)
                 words.append(terms)
                 size += len(terms) + 1

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postweave.llm.quality import held_out
-from postweave.llm.words import batches_of
+from postweave.llm.words import batches_of, slices
 
 SAMPLE_ROWS = 32
 SAMPLE_BYTES = 24_000
@@ -185,8 +185,10 @@ def language_udf(docs: DataFrame, model: Model):
 
     @F.arrow_udf("struct<lang: string, score: double, bits: double>")
     def language(texts: pa.Array) -> pa.Array:
-        names, score, bits = judge(texts.to_pylist(), shared.value)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(bits)], ["lang", "score", "bits"])
+        found = [judge(part, shared.value) for part in slices(texts)]
+        names = pa.array([name for part in found for name in part[0]], pa.string())
+        score, bits = (np.concatenate([np.empty(0), *[part[i] for part in found]]) for i in (1, 2))
+        return pa.StructArray.from_arrays([names, pa.array(score), pa.array(bits)], ["lang", "score", "bits"])
 
     return language
 

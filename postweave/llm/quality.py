@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postweave.llm.words import byte_classes, tokenize
+from postweave.llm.words import byte_classes, slices, tokenize
 
 SAMPLE_ROWS = 2000  # of each class
 SAMPLE_PARTS = 8
@@ -173,12 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most 2 x sample_rows ids, so they may be broadcast; copies of one id are ordered by hash
     rows = read.join(F.broadcast(ids), "id").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id"])
-    rows = rows.repartition(SAMPLE_PARTS, "id").sortWithinPartitions("id")
+    rows = rows.coalesce(SAMPLE_PARTS).sortWithinPartitions("id")  # each part sends one matrix of sums
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         total = np.zeros((WORDS + SHAPES, DIM), np.float32)
         for batch in batches:
-            total += context_sums(batch.column("text").to_pylist())
+            for part in slices(batch.column("text")):
+                total += context_sums(part)
         yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
 
     sums = rows.select("text").mapInArrow(add_up, "sums binary").toPandas()["sums"]  # SAMPLE_PARTS rows
@@ -206,7 +207,8 @@ def score_udf(docs: DataFrame, model: Model | float):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(predict(texts.to_pylist(), shared.value), pa.float64())
+        found = [predict(part, shared.value) for part in slices(texts)]
+        return pa.array(np.concatenate([np.empty(0), *found]), pa.float64())
 
     return score
 

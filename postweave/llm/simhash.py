@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postweave.llm.words import slices
 from postweave.operators.joins import even_join
 from postweave.session import cut_lineage, scratch_path
 
@@ -58,7 +59,7 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprint_udf(shingle_words: int = SHINGLE_WORDS):
     @F.arrow_udf("long")
     def simhash(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(text, shingle_words) for text in texts.to_pylist()], pa.int64())
+        return pa.array((fingerprint(text, shingle_words) for part in slices(texts) for text in part), pa.int64())
 
     return simhash
 
@@ -123,7 +124,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, dense_cell: int = DENSE_CELL
     spark = fps.sparkSession
     path = scratch_path(spark, "anchors")
     # each fingerprint becomes about 34 rows, so a few small partitions are dealt out first
-    _anchors(fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")).write.parquet(path)
+    _anchors(fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))).write.parquet(path)
     rows = spark.read.parquet(path)
     sizes = rows.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("n"))
     dense = sizes.where(F.col("homes") * F.col("n") > dense_cell)

@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000  # of each of the two generations a worker keeps
+from postweave.llm.words import slices
+
+CACHE_ENTRIES = 250_000  # of each of the two generations a worker keeps
 
 
 def default_tokenizer() -> str:
@@ -128,6 +130,6 @@ def ids_udf(path: str, end_id: int | None = None) -> Callable[[Column], Column]:
     @F.arrow_udf("binary")
     def token_ids(texts: pa.Array) -> pa.Array:
         encode = encoder(path).encode
-        return pa.array([encode(text) + tail for text in texts.to_pylist()], pa.binary())
+        return pa.array((encode(text) + tail for part in slices(texts) for text in part), pa.binary())
 
     return token_ids

@@ -11,6 +11,7 @@ from functools import cache
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
 PIECE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -98,6 +99,12 @@ def batches_of(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[i
         yield first, len(texts)
 
 
+def slices(column: pa.Array, rows: int = 256) -> Iterator[list]:
+    """The values of an Arrow column, few at a time."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def tokenize(texts: list[bytes], classes: np.ndarray, separator: bytes = b"\0") -> Iterator[tuple[np.ndarray, Tokens]]:
     """(index of the text of each token, tokens) over all texts, a bounded stretch at a time."""
     for first, stop in batches_of(texts):
