@@ -33,8 +33,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def unit(v: Column) -> Column:
     """Scale to unit length; a zero length counts as one."""
-    divisor = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
-    return F.when(v.isNotNull(), let(divisor, lambda d: F.transform(v, lambda x: x.cast("double") / d)))
+
+    def scaled(n: Column) -> Column:  # the length is worked out once, its tests are cheap
+        divisor = F.when(n == 0.0, F.lit(1.0)).otherwise(F.coalesce(n, F.lit(1.0)))
+        return F.transform(v, lambda x: x.cast("double") / divisor)
+
+    return F.when(v.isNotNull(), let(norm(v), scaled))
 
 
 def blend(q: Column, c: Column, weight: Column) -> Column:

@@ -48,7 +48,7 @@ def upload_actions(manifest: DataFrame) -> DataFrame:
     def action(slot: str, path: str) -> Column:
         return (
             F.when(F.col("prescreening"), "none")
-            .when(~F.col(slot), "none")
+            .when(~F.coalesce(slot, F.lit(False)), "none")
             .when(F.col(path).isNotNull(), "upload")
             .otherwise("skip")
         )

@@ -55,7 +55,7 @@ def resolve_model(provider: Column, model: Column, overrides: dict[str, str] | N
 
 def credential_error(provider: Column, has_key: Column, has_host: Column) -> Column:
     """Message when a credential is missing; one provider needs a host as well."""
-    present = has_key & (has_host | (provider != NEEDS_HOST))
+    present = F.coalesce(has_key, F.lit(False)) & (F.coalesce(has_host, F.lit(False)) | (provider != NEEDS_HOST))
     return F.when(provider_field(provider, 5).isNotNull() & ~present, provider_field(provider, 5))
 
 
@@ -100,10 +100,12 @@ def request_url(provider: Column, host: Column, base: Column | None = None) -> C
 
 
 def build_requests(
-    rows: DataFrame, host: str | None = None, overrides: dict[str, str] | None = None
+    rows: DataFrame, host: str | None = None, overrides: dict[str, str] | None = None, base: Column | None = None
 ) -> DataFrame:
     """Resolve ``model`` and add ``url``, ``payload`` and ``error`` to request rows.
 
+    ``base`` replaces the provider's address where it is not null.
+
     Reads ``provider, prompt, system, model, temperature, has_key, has_host``. A row with an error
     or an unknown provider has no payload.
     """
@@ -114,7 +116,7 @@ def build_requests(
     payload = request_payload(provider, F.col("model"), system, prompt, F.col("temperature"))
     return resolved.withColumns(
         {
-            "url": F.when(F.col("error").isNull(), request_url(provider, F.lit(host))),
+            "url": F.when(F.col("error").isNull(), request_url(provider, F.lit(host), base)),
             "payload": F.when(F.col("error").isNull(), payload),
         }
     )
@@ -123,21 +125,30 @@ def build_requests(
 # ---- replies -------------------------------------------------------------------------------
 
 
+_EMPTY = ["null", "false", "0", "0.0", "-0", "-0.0", "[]", "{}", '""']  # as JSON
+
+
 def reply_chat(raw: Column) -> Column:
     return F.get_json_object(raw, "$.choices[0].message.content")
 
 
+def _filled(raw: Column, field: str) -> Column:
+    """Text of a field; null when it is absent, empty, false, zero, or an empty list or object."""
+    value = F.to_json(F.try_variant_get(F.try_parse_json(raw), f"$.{field}", "variant"))
+    empty = F.coalesce(value, F.lit("null")).isin(_EMPTY)
+    return F.when(~empty, F.get_json_object(raw, f"$.{field}"))
+
+
 def reply_text_chain(raw: Column) -> Column:
     """``text``, else ``output_text`` even when empty, else the text of the first generation."""
-    text = F.nullif(F.get_json_object(raw, "$.text"), F.lit(""))
     return F.coalesce(
-        text, F.get_json_object(raw, "$.output_text"), F.get_json_object(raw, "$.generations[0].text")
+        _filled(raw, "text"), F.get_json_object(raw, "$.output_text"), F.get_json_object(raw, "$.generations[0].text")
     )
 
 
 def reply_output_chain(raw: Column) -> Column:
     """``text``, else ``output``, else ``message``, which may be an object."""
-    return or_else(*[F.get_json_object(raw, f"$.{field}") for field in ("text", "output", "message")])
+    return F.coalesce(_filled(raw, "text"), _filled(raw, "output"), F.get_json_object(raw, "$.message"))
 
 
 def route_replies(rows: DataFrame, provider: str = "provider", raw: str = "raw", error: str = "error") -> DataFrame:

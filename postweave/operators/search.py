@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from postweave.functions import vectors as V
 from postweave.functions.text import strip
 from postweave.operators.ordering import dense_ids
+from postweave.session import cut_lineage
 
 # Fixed values.
 DEFAULT_TOP_K = 10
@@ -23,6 +24,7 @@ SCORE_DECIMALS = 9  # scores this close are ties, broken by id; sums in another
 
 SMALL_TOP_K = 100_000  # rows that one task may merge
 BROADCAST_LIMIT = 64 << 20  # bytes of query vectors that may be sent to every executor
+PART_LIMIT = 256 << 20  # bytes of corpus vectors that meet one slice of the queries in one task
 BLOCK_BYTES = 1 << 20  # bytes of one packed block of vectors
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -160,6 +162,7 @@ def topk(corpus: DataFrame, query: DataFrame, k: int = DEFAULT_TOP_K, key: str =
     scored = score_all(corpus.select(key, "vec"), query).select(
         key, F.round("score", SCORE_DECIMALS).alias("score")
     )
+    scored = scored.filter(F.col("score").isNotNull() & ~F.isnan("score"))  # no vector or no query: no match
     if k > SMALL_TOP_K:  # too many for one merge: number all rows, best first
         placed = dense_ids(scored.withColumn("_least", -F.col("score")), "_least", key, name="rank")
         return placed.filter(F.col("rank") < k).select((F.col("rank") + 1).alias("rank"), key, "score")
@@ -175,24 +178,31 @@ def topk_many(
     key: str = "internal_id",
     query_key: str = "query_id",
     broadcast_limit: int = BROADCAST_LIMIT,
+    part_limit: int = PART_LIMIT,
 ) -> DataFrame:
     """Top-k rows for every query: ``query_id, rank, key, score``.
 
     A query matrix whose size is checked goes to every executor and the corpus stays where it is;
     each task hands on k rows per query. Beyond the limit both sides travel as packed blocks
-    that meet in matrix products, again with k rows per query handed on.
+    that meet in matrix products, again with k rows per query handed on; a part holds
+    ``part_limit`` bytes of the corpus. Rows without a vector match nothing.
     """
     types = [(c, d.schema[c].dataType.simpleString()) for c, d in ((query_key, queries), (key, corpus))]
     schema = ", ".join(f"{c} {t}" for c, t in types) + ", score double"
     names = [query_key, key, "score"]
-    sample = queries.select(F.size("vec").alias("dim")).first()
-    total_bytes = queries.count() * (sample.dim if sample else 0) * 8  # counting needs no vectors
+    corpus = corpus.filter(F.col("vec").isNotNull())
+    # written once, so that a model behind the vectors sees each query text once
+    queries = cut_lineage(queries.select(query_key, "vec").filter(F.col("vec").isNotNull()))
+    held = F.size("vec") * 8 + F.octet_length(F.col(query_key).cast("string"))
+    total_bytes = queries.agg(F.sum(held).alias("n")).first().n or 0
     if total_bytes <= broadcast_limit:
         kernel = _topk_against(_collect_matrix(queries, query_key), k, names)
         partial = corpus.select(key, "vec").mapInArrow(kernel, schema)
     else:
         slices = -(-total_bytes // broadcast_limit)
-        pairs = _block_pairs(corpus.select(key, "vec"), queries.select(query_key, "vec"), slices)
+        corpus_bytes = corpus.agg(F.sum(F.size("vec") * 8).alias("n")).first().n or 0
+        parts = -(-corpus_bytes // part_limit)
+        pairs = _block_pairs(corpus.select(key, "vec"), queries, slices, parts)
         partial = pairs.mapInArrow(_topk_of_pairs(k, names), schema)
     best = Window.partitionBy(query_key).orderBy(F.col("score").desc(), key)
     ranked = partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -279,14 +289,15 @@ def _topk_against(shared, k: int, names: list[str]):
     return run
 
 
-def _block_pairs(corpus: DataFrame, queries: DataFrame, slices: int) -> DataFrame:
+def _block_pairs(corpus: DataFrame, queries: DataFrame, slices: int, least_parts: int = 1) -> DataFrame:
     """Packed corpus and query blocks joined on (slice, part).
 
     Each query block lies in one slice and is copied to every part; each corpus block lies in one
     part and is copied to every slice. Both are even by construction, so no key is hot. There are
-    as many pairs (slice, part) as shuffle partitions, so queries are not copied more than needed.
+    as many pairs (slice, part) as shuffle partitions, so queries are not copied more than needed,
+    but never fewer parts than the size of the corpus asks for.
     """
-    parts = max(1, -(-int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slices))
+    parts = max(1, least_parts, -(-int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slices))
     q = _packed(queries, "q").withColumn("slice", F.pmod(F.xxhash64("q_ids"), F.lit(slices)))
     c = _packed(corpus, "c").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(parts)))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))

@@ -12,6 +12,7 @@ from postweave.operators.collect import last_wins
 from postweave.operators.flatten import with_posting_text
 from postweave.operators.ordering import dense_ids
 from postweave.sources import vector_store
+from postweave.session import cut_lineage
 from postweave.sources.postings import read_documents
 
 
@@ -49,14 +50,14 @@ def match(
     """Matches of one query vector: ``rank, job_id, score``. ``query``: one row ``(query_id, vec)``.
 
     ``ids``: ``(internal_id, job_id)`` when the index does not hold the posting ids itself. They
-    meet the k best rows only.
+    meet the k best rows only; a match without a known id is named by its internal id.
     """
     units = search.l2_normalize(query, "vec")
     if preferences is not None:
         units = search.blend_queries(units, search.l2_normalize(preferences, "vec"), weight=weight)
     best = search.topk(index, units, k)
-    names = index.select("internal_id", "job_id") if ids is None else ids
-    return best.join(names, "internal_id").select("rank", "job_id", "score").orderBy("rank")
+    known = index.select("internal_id", "job_id") if ids is None else ids
+    return search.map_ids(best, known).select("rank", "job_id", "score").orderBy("rank")
 
 
 def match_many(index: DataFrame, queries: DataFrame, k: int = search.DEFAULT_TOP_K) -> DataFrame:
@@ -83,7 +84,7 @@ def match_files(
     model = encoder or search.HashingEncoder()
     index, meta = vector_store.load_index(spark, prefix)
     texts = read_documents(spark, documents).withColumnRenamed("path", "query_id")
-    queries = search.encode(texts, "text", model).select("query_id", "vec")
+    queries = cut_lineage(search.encode(texts, "text", model).select("query_id", "vec"))  # encoded once
     sample = queries.select(F.size("vec").alias("dim")).first()
     vector_store.check_model(meta, model.name, sample.dim if sample else meta.first().dim)
     likes = None if preferences is None else _read_if_there(spark, preferences)

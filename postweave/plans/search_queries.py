@@ -258,8 +258,7 @@ def match_documents(spark, sf_dir):
         (F.col("internal_id") - 1).alias("query_id"), F.lit("near home").alias("text"), "vec"
     )
     index = units.select("internal_id", "vec")
-    ids = search.map_ids(units.select("internal_id"), known)
-    return _rounded(matching.match(index, _first(units), TOP_K, likes, ids=ids), "rank", "job_id")
+    return _rounded(matching.match(index, _first(units), TOP_K, likes, ids=known), "rank", "job_id")
 
 
 @query(

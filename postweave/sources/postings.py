@@ -44,13 +44,17 @@ def read_jobs_json(spark: SparkSession, path: str, layout: str = "array") -> Dat
     """
     if layout == "lines":
         return _shape(spark.read.schema(_RAW).json(path))
+    message = F.lit("expected the jobs file to hold a JSON list of postings")
+    checked = _listed(spark, path).select(F.coalesce("jobs", F.raise_error(message)).alias("jobs"))
+    return _shape(checked.select(F.inline("jobs")))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """The list of postings in each file, null where a file holds anything else."""
     files = spark.read.text(path, wholetext=True)
     fields = _RAW.replace(" string", ":string")
     listed = F.from_json("value", f"array<struct<{fields}>>")
-    is_list = F.ltrim("value").startswith("[") & listed.isNotNull()
-    message = F.lit("expected the jobs file to hold a JSON list of postings")
-    checked = files.select(F.when(is_list, listed).otherwise(F.raise_error(message)).alias("jobs"))
-    return _shape(checked.select(F.inline("jobs")))
+    return files.select(F.when(F.ltrim("value").startswith("["), listed).alias("jobs"))
 
 
 def _details_json() -> Column:
@@ -58,7 +62,9 @@ def _details_json() -> Column:
     opened = F.expr("substr(_pairs, 1, length(_pairs) - 1)")
     comma = F.when(F.size("details") > 0, ",").otherwise("")
     tagged = F.concat(opened, comma, F.lit('"status_tags":'), F.to_json("status_tags"), F.lit("}"))
-    return F.when(F.col("status_tags").isNull(), F.col("_pairs")).otherwise(tagged)
+    failed = F.col("details").isNull() & F.col("error").isNotNull()
+    error = F.to_json(F.struct("error"))  # a failed posting keeps its message as its only detail
+    return F.when(failed, error).when(F.col("status_tags").isNull(), F.col("_pairs")).otherwise(tagged)
 
 
 def postings_as_json(postings: DataFrame) -> DataFrame:
@@ -85,14 +91,20 @@ def write_snapshot(postings: DataFrame, path: str, fmt: str = "parquet") -> None
 
 
 def resume_state(spark: SparkSession, path: str) -> DataFrame:
-    """Earlier results to go on from; a missing or corrupt file means an empty start."""
+    """Earlier results to go on from: one posting per line, or one JSON list per file.
+
+    A missing or corrupt file means an empty start.
+    """
     empty = spark.createDataFrame([], _POSTING)
     try:
         raw = spark.read.schema(_RAW + ", _corrupt_record string").json(path)
     except AnalysisException:
         return empty
     broken = raw.select("id", "_corrupt_record").filter(F.col("_corrupt_record").isNotNull())
-    return empty if broken.take(1) else _shape(raw.drop("_corrupt_record"))
+    if not broken.take(1):
+        return _shape(raw.drop("_corrupt_record"))
+    listed = _listed(spark, path)
+    return empty if listed.filter("jobs is null").take(1) else _shape(listed.select(F.inline("jobs")))
 
 
 def read_documents(
@@ -106,7 +118,8 @@ def read_documents(
     raw = F.col("content").cast("string")
     repaired = F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    texts = files.select("path", F.when(F.is_valid_utf8(raw), raw).otherwise(repaired).alias("text"))
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(repaired)
+    texts = files.select("path", F.regexp_replace(text, "\r\n?", "\n").alias("text"))  # as text files are read
     if wanted is None:
         return texts
     joined = wanted.select("path").join(texts, "path", "left")

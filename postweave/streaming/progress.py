@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.operators.collect import last_wins, only_new
+from postweave.operators.collect import last_wins, only_new, success_filter
 
 
 def saved_rows(spark: SparkSession, sink: str) -> DataFrame | None:
@@ -18,18 +18,30 @@ def saved_rows(spark: SparkSession, sink: str) -> DataFrame | None:
 
 
 def append_unseen(batch: DataFrame, batch_id: int, sink: str, key: str, order: list[str]) -> None:
-    """Save the rows of one batch whose key no other batch has saved.
+    """Save the rows of one batch whose key no other batch has saved successfully.
 
+    Rows that carry ``details`` and ``error`` are successful as :func:`succeeded` says; a posting that
+    was saved as failed is collected again, and :func:`latest_saved` gives its last version. Rows
+    of other shapes are all successful.
     The batch overwrites its own folder only, so a batch that runs again after a failure leaves
     the same rows behind.
     """
     rows = last_wins(batch, key, order)
     saved = saved_rows(batch.sparkSession, sink)
     if saved is not None:
-        rows = only_new(rows, saved.filter(F.col("batch_id") != batch_id), key)
+        done = saved.filter(F.col("batch_id") != batch_id)
+        if {"details", "error"} <= set(saved.columns):
+            done = success_filter(done)
+        rows = only_new(rows, done, key)
     rows.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
 
+def latest_saved(spark: SparkSession, sink: str, key: str) -> DataFrame | None:
+    """One row per key: what the last batch that saved it found."""
+    saved = saved_rows(spark, sink)
+    return None if saved is None else last_wins(saved, key, ["batch_id"])
+
+
 def collect_available(stream: DataFrame, sink: str, checkpoint: str, key: str, order: list[str]) -> None:
     """Process all files that are there now, then stop; the next call goes on from there."""
 
