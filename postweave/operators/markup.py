@@ -37,19 +37,31 @@ VOID_TAGS = [
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr",
 ]
 
-_HIDDEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
-_TOKEN = r"</?[a-zA-Z!][^>]*>|[^<]+|<"
-_BODY = r"(?is)<tbody\b[^>]*>(.*?)</tbody\s*>"
-_CELL = r"(?is)<td\b[^>]*>(.*?)(?:</td\s*>|(?=<t[dh]\b)|$)"
-_HEAD_CELL = r"(?is)<th\b[^>]*>(.*?)(?:</th\s*>|(?=<t[dh]\b)|$)"
-_LINK = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
+# The rest of a tag: a quoted value, which follows "=", may hold ">". Possessive, so that a tag with
+# any number of attributes is read without going back or deep.
+_REST = r"""[^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*')?+[^>=]*+)*+>"""
+_HIDDEN = rf"(?is)<script\b{_REST}.*?</script\s*>|<style\b{_REST}.*?</style\s*>|<!--.*?-->"
+_TOKEN = rf"</?[a-zA-Z!]{_REST}|[^<]+|<"
+_BODY = rf"(?is)<tbody\b{_REST}(.*?)</tbody\s*>"
+_CELL = rf"(?is)<td\b{_REST}(.*?)(?:</td\s*>|(?=<t[dh]\b)|$)"
+_HEAD_CELL = rf"(?is)<th\b{_REST}(.*?)(?:</th\s*>|(?=<t[dh]\b)|$)"
+_LINK = rf"(?is)<a\b{_REST}(.*?)</a\s*>"
+_BLOCKS = (
+    "address|article|aside|blockquote|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|"
+    "pre|section|table|tr|ul"
+)
 
 
 def _class_pattern(name: str) -> str:
     return rf"""\bclass\s*=\s*["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']"""
 
 
-_ROW = rf"(?is)<tr\b[^>]*{_class_pattern(ROW_CLASS)}[^>]*>(.*?)</tr\s*>"
+# The row's own class attribute: the quoted values before it are passed over whole.
+_ROW_CLASS_PATTERN = _class_pattern(ROW_CLASS)
+_ROW_START = (
+    rf"""<tr\b(?=(?:(?!{_ROW_CLASS_PATTERN})(?:=\s*+(?:"[^"]*"|'[^']*')?+|[^>=]))*+{_ROW_CLASS_PATTERN})"""
+)
+_ROW = rf"(?is){_ROW_START}{_REST}(.*?)</tr\s*>"
 
 
 def _all(text: str, pattern: str, group: int = 0) -> str:
@@ -80,14 +92,24 @@ def _place(tokens: str, pos: str) -> str:
 
 
 def rendered_text_sql(markup: str) -> str:
-    """Approximate on-screen text: collapse white space, ``<br>`` to newline, no tags, stripped."""
+    """Approximate on-screen text: collapse white space, ``<br>`` to newline, no tags, stripped.
+
+    Blocks stand on lines of their own, paragraphs with a blank line around them.
+    """
 
     def flat(m: str) -> str:
         return rf"regexp_replace({m}, '[ \\t\\r\\n\\f]+', ' ')"
 
+    def replaced(m: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({m}, {literal(pattern)}, {literal(by)})"
+
     def tagless(m: str) -> str:
-        lines = rf"regexp_replace({flat(_visible(m))}, '(?i) ?<br\\s*/?> ?', '\n')"
-        return f"if(contains({m}, '<'), regexp_replace({lines}, '</?[a-zA-Z!][^>]*>', ''), {flat(m)})"
+        lines = replaced(flat(_visible(m)), rf"(?i) ?<br\b{_REST} ?", "\n")
+        blocks = replaced(replaced(lines, rf"(?i)</?p\b{_REST}", "\x02"), rf"(?i)</?(?:{_BLOCKS})\b{_REST}", "\x01")
+        plain = replaced(blocks, rf"</?[a-zA-Z!]{_REST}", "")
+        # the widest break of neighbouring blocks counts, once
+        broken = replaced(replaced(plain, "[\x01 ]*\x02[\x01\x02 ]*", "\n\n"), "[ ]*\x01[\x01 ]*", "\n")
+        return f"if(contains({m}, '<'), {broken}, {flat(m)})"
 
     return strip_sql(decode_entities_sql(let_sql(markup, tagless)))
 
@@ -181,6 +203,30 @@ def _sibling_blocks(tokens: str, rest: str) -> str:
     return let_sql(_sibling_spans(tokens), lambda x: f"if({x}.open, {wrapped}, {blocks(tokens, f'{x}.spans')})")
 
 
+_TABLE_EDGE = rf"(?is)(?=</?table\b|{_ROW_START})"
+_TABLE_PART = r"(?i)<(/?)(tr|td|th|tbody)\b"
+
+
+def _outer_tables(html: str) -> str:
+    """The page with the rows and cells of tables inside a result row renamed, so that they end none."""
+    kind = f"""case when rlike(p, '(?i)^</table') then 'end' when rlike(p, '(?i)^<table') then 'table'
+      when startswith(p, '<') and rlike(p, {literal("(?is)^" + _ROW_START)}) then 'row' else '' end"""
+    # depth -1: outside a result row; 0: in one; above: tables opened in it
+    depth = f"""case {kind} when 'row' then greatest(s.depth, 0)
+      when 'table' then if(s.depth >= 0, s.depth + 1, -1)
+      when 'end' then greatest(s.depth - 1, -1) else s.depth end"""
+    masked = f"if({depth} > 0, regexp_replace(p, {literal(_TABLE_PART)}, '<$1inner-$2'), p)"
+    step = f"named_struct('depth', {depth}, 'parts', concat(s.parts, array({masked})))"
+    zero = "named_struct('depth', -1, 'parts', cast(array() as array<string>))"
+
+    def walked(page: str) -> str:
+        pieces = f"split({page}, {literal(_TABLE_EDGE)})"
+        return f"aggregate({pieces}, {zero}, (s, p) -> {step}, s -> array_join(s.parts, ''))"
+
+    several = literal(r"(?is)<table\b.*<table\b")
+    return let_sql(html, lambda page: f"if(rlike({page}, {several}), {walked(page)}, {page})")
+
+
 # ---- token table ---------------------------------------------------------------------------
 
 
@@ -195,7 +241,8 @@ def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 def list_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per result row of a list page with its cells (``cells``, ``heads``) as markup."""
-    rows = lambda_sql("transform", _all(_visible(html), _BODY, 1), lambda b: _all(b, _ROW, 1))
+    bodies = _all(_outer_tables(_visible(html)), _BODY, 1)
+    rows = lambda_sql("transform", bodies, lambda b: _all(b, _ROW, 1))
     others = [c for c in pages.columns if c != html]
     return pages.select(
         *others, F.posexplode(F.expr(f"flatten({rows})")).alias("row_no", "row_html")
@@ -363,10 +410,9 @@ def merge_pairs_sql(pairs: str) -> str:
 
 def _with_tokens(pages: DataFrame, html: str) -> DataFrame:
     others = [c for c in pages.columns if c != html]
-    empty = f"{strip_sql(f'coalesce({html}, {literal("")})')} = ''"
     return pages.select(
         *others,
-        F.expr(f"if({empty}, 'Empty detail page', null)").alias("error"),
+        F.expr(f"if({html} is null, 'Empty detail page', null)").alias("error"),
         F.expr(_with_texts(_tokens(html))).alias("tokens"),
     )
 
@@ -399,7 +445,10 @@ def detail_sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame
 
 
 def detail_records(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the page by ``details`` (ordered pairs), ``status_tags`` and ``error``."""
+    """Replace the page by ``details`` (ordered pairs), ``status_tags`` and ``error``.
+
+    A page that could not be read (null) is an error; a blank one is a record without details.
+    """
     others = [c for c in pages.columns if c != html]
     kept = lambda_sql("filter", _sections("tokens"), lambda s: f"{s}.key is not null and {s}.key <> 'job_title'")
     section_pairs = lambda_sql("transform", kept, lambda s: _pair(f"{s}.key", _section_value(s)))

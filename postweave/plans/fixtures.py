@@ -69,17 +69,21 @@ jobs AS (
 
 
 def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List pages in the full layout: 50 rows of ``part`` per page, five kinds of row."""
+    """List pages in the full layout: 50 rows of ``part`` per page, five kinds of row.
+
+    Some cells hold a block, some a table of their own, and attributes hold ``>``.
+    """
     rows = table(spark, sf_dir, "part").selectExpr(
         "p_partkey",
         f"p_partkey div {ROWS_PER_PAGE} as page_id",
         "p_partkey % 10 as kind",
-        "concat('<td><a href=\"#\">', p_name, '</a></td>') as linked",
-        "concat('<td> ', p_brand, '\\n</td><td>', p_type, '</td><td>', p_size, '</td>') as middle",
+        "concat('<td><a title=\"a > b\" href=\"#\">', p_name, '</a></td>') as linked",
+        "concat('<td> ', p_brand, if(p_partkey % 3 = 0, '<div>West </div>', ''), '\\n</td><td>', p_type, "
+        "if(p_partkey % 4 = 0, '<table><tr><td>in</td></tr></table>', ''), '</td><td>', p_size, '</td>') as middle",
     )
     tail = "<td>city</td><td>level</td>"
     html = F.expr(
-        f"""concat('<tr class="table__row--body even">',
+        f"""concat('<tr data-x="1 > 0" class="table__row--body even">',
           case when kind = 5 then concat('<td> ', p_partkey, ' </td>', linked)
                when kind = 6 then concat('<th> none </th>', linked, '<td></td>')
                when kind = 4 then concat('<th><input> ', p_partkey, '</th><td>', p_partkey, '</td><td></td>')
@@ -95,7 +99,7 @@ def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"s_suppkey div {ROWS_PER_PAGE} as page_id",
         "s_suppkey as k",
         """concat('<tr class="table__row--body"><td>', s_suppkey, '</td><td>',
-             case when s_suppkey % 10 = 4 then s_name else concat('<a href="#">', s_name, ' &amp; Co</a>') end,
+             case when s_suppkey % 10 = 4 then s_name else concat('<a title=\\'">\\' href="#">', s_name, ' &amp; Co</a>') end,
              '</td><td>Company ', s_nationkey, '</td><td></td><td>', s_nationkey,
              '</td><td>city</td><td>level</td><td>deadline</td></tr>') as row""",
     )
@@ -113,7 +117,10 @@ def _list_pages(rows: DataFrame, path: str) -> DataFrame:
 
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detail pages from ``documents``; by ``doc_id % 6`` some headers and tag rails are missing."""
+    """Detail pages from ``documents``; by ``doc_id % 6`` some headers and tag rails are missing.
+
+    A few pages are blank, and as many could not be read (null).
+    """
     docs = spread(table(spark, sf_dir, "documents"))
     text = escape_html(F.col("text"))
 
@@ -156,7 +163,7 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       '</span><span>no tag</span><span class="tag-label">', source, '\\n</span></div>') end"""
     return docs.select("doc_id", "lang", "source", text.alias("body"), (F.col("doc_id") % 6).alias("kind")).selectExpr(
         "doc_id",
-        f"""case when doc_id % 41 = 40 then '  ' else
+        f"""case when doc_id % 82 = 81 then null when doc_id % 41 = 40 then '  ' else
             concat('<script>var t = "</div>";</script>', {header}, {rail}, '<div class="panel">', {body}, '</div>') end
             as html""",
     )

@@ -12,16 +12,17 @@ from postweave.plans.registry import query, table
 from postweave.session import spread
 
 _CHARS = WHITESPACE  # the same characters for DuckDB's trim
+_REST_SQL = r"""[^>=]*(?:=\s*(?:"[^"]*"|''[^'']*'')?[^>=]*)*>"""  # the rest of a tag
 
 
 @query(
     "html_tokens",
     r"""WITH t AS (
   SELECT page_id, regexp_extract_all(
-    regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g'),
-    '</?[a-zA-Z!][^>]*>|[^<]+|<') AS tokens FROM pages),
+    regexp_replace(html, '(?is)<script\bREST.*?</script\s*>|<style\bREST.*?</style\s*>|<!--.*?-->', '', 'g'),
+    '</?[a-zA-Z!]REST|[^<]+|<') AS tokens FROM pages),
 u AS (SELECT page_id, unnest(range(0, len(tokens))) AS pos, unnest(tokens) AS raw FROM t)
-SELECT page_id, pos, raw, lower(regexp_extract(raw, '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM u""",
+SELECT page_id, pos, raw, lower(regexp_extract(raw, '^<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM u""".replace("REST", _REST_SQL),
 )
 def html_tokens(spark, sf_dir):
     return markup.html_tokens(spread(table(spark, sf_dir, "pages")))
@@ -65,7 +66,8 @@ def title_link_guard(spark, sf_dir):
 
 
 _FULL = """page_id, row_no, CASE WHEN kind = 6 THEN 'none' ELSE CAST(p_partkey AS VARCHAR) END AS id,
-  p_name AS title, p_brand AS company, p_type AS division, CAST(p_size AS VARCHAR) AS openings,
+  p_name AS title, p_brand || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'West' ELSE '' END AS company,
+  p_type || CASE WHEN p_partkey % 4 = 0 THEN chr(10) || 'in' ELSE '' END AS division, CAST(p_size AS VARCHAR) AS openings,
   'city' AS city, 'level' AS level, 'deadline' AS deadline"""
 _LIST = ["id", "title", *markup.CELL_FIELDS]
 
@@ -126,17 +128,16 @@ def strip_fields(spark, sf_dir):
 
 @query(
     "normalize_key",
-    f"""SELECT doc_id, translate(lower(trim(regexp_extract(text, '^[^\\n]*'), '{_CHARS}')), ' /:', '__') AS key
+    f"""SELECT doc_id, translate(lower(trim(text, '{_CHARS}')), ' /:', '__') AS key
 FROM documents""",
 )
 def normalize_keys(spark, sf_dir):
-    first_line = F.regexp_extract("text", r"^[^\n]*", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", normalize_key(first_line).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", normalize_key(F.col("text")).alias("key"))
 
 
 _DOCS = f"""WITH d AS (
-  SELECT doc_id, lang, source, trim(text, '{_CHARS}') AS body, doc_id % 6 AS kind, doc_id % 41 = 40 AS bare
-  FROM documents)"""
+  SELECT doc_id, lang, source, trim(text, '{_CHARS}') AS body, doc_id % 6 AS kind, doc_id % 41 = 40 AS bare,
+    doc_id % 82 = 81 AS unread FROM documents)"""
 
 
 @query(
@@ -206,9 +207,7 @@ def detail_content_rule(spark, sf_dir):
     return rows.select("doc_id", "section", "first_part")
 
 
-@query(
-    "detail_record",
-    f"""{_SECTIONS},
+_MERGED = f"""{_SECTIONS},
 head AS (
   SELECT doc_id, -3 AS place, 'job_title' AS key,
     CASE WHEN kind = 2 THEN 'N/A' ELSE 'Role ' || CAST(doc_id AS VARCHAR) END AS value FROM parts WHERE kind <> 1
@@ -218,10 +217,15 @@ head AS (
 every AS (
   SELECT doc_id, place, key, value FROM head
   UNION ALL SELECT doc_id, section_no, section, value FROM s WHERE section <> 'job_title'),
-merged AS (SELECT doc_id, key, MIN(place) AS place, arg_max(value, place) AS value FROM every GROUP BY doc_id, key)
+merged AS (SELECT doc_id, key, MIN(place) AS place, arg_max(value, place) AS value FROM every GROUP BY doc_id, key)"""
+
+
+@query(
+    "detail_record",
+    f"""{_MERGED}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS pos, key, value, NULL::VARCHAR AS error
 FROM merged
-UNION ALL SELECT doc_id, NULL, NULL, NULL, 'Empty detail page' FROM d WHERE bare""",
+UNION ALL SELECT doc_id, NULL, NULL, NULL, CASE WHEN unread THEN 'Empty detail page' END FROM d WHERE bare""",
 )
 def detail_record(spark, sf_dir):
     records = markup.detail_records(fx.detail_pages(spark, sf_dir))
@@ -237,19 +241,24 @@ def detail_record(spark, sf_dir):
 
 @query(
     "collect_postings",
-    f"""{_PART}, docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id % 6 AS page, doc_id % 41 = 40 AS bare FROM documents),
-l AS (SELECT {_FULL} FROM p WHERE kind NOT IN (3, 4))
-SELECT l.id, title, company, deadline,
-  CAST(CASE WHEN docs.id IS NULL OR bare THEN NULL WHEN page = 1 THEN 7 WHEN page = 3 THEN 8 ELSE 9 END AS BIGINT) AS n_details,
-  CASE WHEN docs.id IS NULL THEN 'No detail page' WHEN bare THEN 'Empty detail page' END AS error
-FROM l LEFT JOIN docs ON l.id = docs.id""",
+    f"""{_MERGED}, {_PART.removeprefix("WITH ")},
+l AS (SELECT {_FULL} FROM p WHERE kind NOT IN (3, 4)),
+shown AS (SELECT doc_id, string_agg(key || '=' || value, chr(1) ORDER BY place) AS details FROM merged GROUP BY doc_id)
+SELECT l.id, title, company, deadline, CASE WHEN bare AND NOT unread THEN '' ELSE details END AS details,
+  CASE WHEN bare AND NOT unread THEN '' WHEN bare OR d.doc_id IS NULL THEN NULL WHEN d.kind = 4 THEN ''
+       ELSE lang || '|' || source END AS status_tags,
+  CASE WHEN d.doc_id IS NULL THEN 'No detail page' WHEN unread THEN 'Empty detail page' END AS error
+FROM l LEFT JOIN d ON l.id = CAST(d.doc_id AS VARCHAR) LEFT JOIN shown ON shown.doc_id = d.doc_id""",
 )
 def collect_postings(spark, sf_dir):
     """List pages of ``part`` joined with the detail pages of ``documents`` by posting id."""
     pages = fx.detail_pages(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
     found = collecting.postings_from_pages(fx.part_pages(spark, sf_dir), pages)
-    n_details = F.when(F.col("details").isNotNull(), F.size("details").cast("bigint"))
-    return found.select("id", "title", "company", "deadline", n_details.alias("n_details"), "error")
+    pairs = F.transform("details", lambda d: F.concat(d.key, F.lit("="), d.value))
+    details, tags = F.array_join(pairs, "\x01"), F.array_join("status_tags", "|")
+    return found.select(
+        "id", "title", "company", "deadline", details.alias("details"), tags.alias("status_tags"), "error"
+    )
 
 
 @query(
@@ -259,7 +268,7 @@ def collect_postings(spark, sf_dir):
 )
 def quarantine(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(
-        "event_id", F.expr("if(event_id % 7 = 0, substr(props, 1, 4), props)").alias("props")
+        "event_id", F.expr("if(event_id % 7 = 0, concat('x', props), props)").alias("props")
     )
     parsed = events.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
     marked = parsed.withColumn("error", F.when(F.col("k").isNull(), "unreadable props"))

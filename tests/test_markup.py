@@ -60,6 +60,9 @@ def test_entities(spark, text):
         ("a\n\n  b", "a b"),
         ("<script>x</script>y<!-- z -->", "y"),
         ("1 < 2 &amp; 3", "1 < 2 & 3"),
+        ("Acme<div>West</div>", "Acme\nWest"),
+        ("<div><div>a</div></div> <p>b</p> c<ul><li>d</li><li>e</li></ul>", "a\n\nb\n\nc\nd\ne"),
+        ("<i title='a > b'>x</i><b title=\"<div>\">y</b><u title=it's>z</u>", "xyz"),
     ],
 )
 def test_rendered_text(spark, html, wanted):
@@ -91,9 +94,13 @@ def test_no_header(spark):
     assert details(spark, "<p>nothing</p>") == ([], [], None)
 
 
-@pytest.mark.parametrize("html", [None, "", " \n"])
-def test_empty_page_is_an_error(spark, html):
-    assert details(spark, html) == (None, None, "Empty detail page")
+def test_unread_page_is_an_error(spark):
+    assert details(spark, None) == (None, None, "Empty detail page")
+
+
+@pytest.mark.parametrize("html", ["", " \n"])
+def test_blank_page_is_a_record_without_details(spark, html):
+    assert details(spark, html) == ([], [], None)
 
 
 def test_tags(spark):
@@ -196,3 +203,29 @@ def test_tokens_keep_order_and_drop_hidden_text(spark):
         ("", "<!DOCTYPE html>"), ("p", "<p CLASS=x>"), ("", "a"), ("br", "<br/>"), ("", "b"), ("/p", "</P>"),
         ("", " 1 "), ("", "<"), ("", " 2"),
     ]
+
+
+def test_tables_in_cells_end_no_row(spark):
+    inner = "<table><tbody><tr><td>in</td></tr></tbody></table>"
+    link = "<td><a href='x' title='>'>T</a></td>"
+    row = f"<tr class='table__row--body'><td>1</td>{link}<td>c{inner}</td><td>{inner}{inner}</td>{CELLS}</tr>"
+    got = M.list_rows_full(rows(spark, row + row.replace(">1<", ">2<"))).collect()
+    assert [(r.id, r.title, r.company, r.openings) for r in got] == [("1", "T", "c\nin", "c"), ("2", "T", "c\nin", "c")]
+
+
+def test_rows_in_a_table_for_layout(spark):
+    link = "<td><a>T</a></td>"
+    body = f"<tr class='table__row--body'><td>1</td>{link}{CELLS}</tr>"
+    html = f"<table><tr><td><table><tbody>{body}</tbody></table></td></tr></table>"
+    found = M.list_rows_full(M.list_rows(spark.createDataFrame([("u", html)], "url string, html string")))
+    assert [r.id for r in found.collect()] == ["1"]
+
+
+def test_a_tag_with_thousands_of_attributes(spark):
+    many = " ".join(f'a{i}="{i} > 0"' for i in range(20_000))
+    html = f"<div {many}>x</div><tr {many}>"
+    frame = spark.createDataFrame([(1, html)], "page_id bigint, html string")
+    assert M.html_tokens(frame).count() == 4
+    assert frame.select(F.expr(M.rendered_text_sql("html")).alias("y")).first().y == "x"
+    page = spark.createDataFrame([("u", f"<tbody><tr {many} class='table__row--body'><td>1</td></tr></tbody>")], "url string, html string")
+    assert [len(r.cells) for r in M.list_rows(page).collect()] == [1]
