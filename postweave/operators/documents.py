@@ -42,7 +42,7 @@ NO_COMPANY = "(No company)"
 MAX_TOKENS = 4000
 TEMPERATURE = 0
 
-Generator = Callable[[list[str]], list[str]]
+Generator = Callable[[list[str], float, int], list[str]]  # prompts, temperature, token limit
 
 
 # ---- selection and look-up -----------------------------------------------------------------
@@ -144,7 +144,12 @@ def fill_template(template: Column, values: dict[str, Column]) -> Column:
 
 
 def generate_replies(
-    prompts: DataFrame, generator: Generator | None = None, offline: Column | None = None, batch_size: int = 16
+    prompts: DataFrame,
+    generator: Generator | None = None,
+    offline: Column | None = None,
+    batch_size: int = 16,
+    temperature: float = TEMPERATURE,
+    max_tokens: int = MAX_TOKENS,
 ) -> DataFrame:
     """Add ``reply``: the generator on batches of prompts, one stream per task.
 
@@ -159,7 +164,7 @@ def generate_replies(
             texts = batch.tolist()
             replies: list[str] = []
             for i in range(0, len(texts), batch_size):
-                replies += generator(texts[i : i + batch_size])
+                replies += generator(texts[i : i + batch_size], temperature, max_tokens)
             yield pd.Series(replies, dtype="object")
 
     # Called non-deterministic so that the optimizer never runs the model twice for a prompt.

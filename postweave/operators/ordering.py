@@ -43,6 +43,13 @@ def dense_ids(df: DataFrame, *order: str, name: str = "internal_id") -> DataFram
     return numbered.select(*df.columns, (F.col("_start") + F.col("_pos")).alias(name))
 
 
+def join_ids(rows: DataFrame, numbered: DataFrame, *order: str, name: str = "internal_id") -> DataFrame:
+    """Add the number that ``numbered`` gives to the order columns; null is a value like any other."""
+    keys = numbered.select(*[F.col(c).alias(f"_key_{c}") for c in order], name)
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in order]
+    return rows.join(keys, same).drop(*[f"_key_{c}" for c in order])
+
+
 def with_previous(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Add the value of the row before within the key, as a lag over the whole key would."""
     rows = ordered_chunks(df.withColumn("_value", value), key, *order)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from postweave.functions import vectors as V
 from postweave.functions.text import strip
-from postweave.operators.ordering import dense_ids
+from postweave.operators.ordering import dense_ids, join_ids
 from postweave.session import cut_lineage
 
 # Fixed values.
@@ -143,7 +143,7 @@ def build_index(rows: DataFrame, vec: str, job_id: Column, *order: str) -> DataF
     """
     units = l2_normalize(rows, vec, "vec")
     slim = units.select(*order, job_id.alias("job_id"), V.to_float32(F.col("vec")).alias("vec"))
-    numbered = slim.join(dense_ids(rows.select(*order), *order), list(order))
+    numbered = join_ids(slim, dense_ids(rows.select(*order), *order), *order)
     internal = F.col("internal_id").cast("string")
     return numbered.select("internal_id", F.coalesce("job_id", internal).alias("job_id"), "vec")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from postweave.functions.text import WHITESPACE
@@ -11,6 +13,7 @@ from postweave.plans import fixtures as fx
 from postweave.plans import preparing
 from postweave.plans.registry import query, table
 from postweave.plans.source_queries import presence_table
+from postweave.session import scratch_path
 
 OUT_DIR = "/out/personalized"
 # The two base templates of the test plans.
@@ -107,13 +110,17 @@ def record_json(spark, sf_dir):
     return _records(spark, sf_dir).select("id", "record")
 
 
-@query(
-    "build_prompts",
-    f"""WITH {fx.JOBS_SQL} SELECT id, kind, replace({_sql(docs.PROMPT_HEAD)}, '{{kind}}',
-    CASE kind WHEN 'resume' THEN 'resume' ELSE 'cover letter' END) || CAST({_RECORD_SQL} AS VARCHAR)
-  || {_sql(docs.PROMPT_MIDDLE)} || {_BASE_SQL} || {_sql(docs.PROMPT_TAIL)} AS prompt
-FROM jobs CROSS JOIN {_KINDS_SQL}""",
-)
+def _prompt_sql(record: str) -> str:
+    return f"""replace({_sql(docs.PROMPT_HEAD)}, '{{kind}}',
+    CASE kind WHEN 'resume' THEN 'resume' ELSE 'cover letter' END) || {record}
+  || {_sql(docs.PROMPT_MIDDLE)} || {_BASE_SQL} || {_sql(docs.PROMPT_TAIL)}"""
+
+
+_PROMPTS_SQL = f"""WITH {fx.JOBS_SQL} SELECT id, kind, {_prompt_sql(f"CAST({_RECORD_SQL} AS VARCHAR)")} AS prompt
+FROM jobs CROSS JOIN {_KINDS_SQL}"""
+
+
+@query("build_prompts", _PROMPTS_SQL)
 def build_prompts(spark, sf_dir):
     prompts = docs.build_prompts(_records(spark, sf_dir), F.col("record"), _base())
     return prompts.select("id", "kind", "prompt")
@@ -130,12 +137,24 @@ def _filled_sql(template: str) -> str:
     return template
 
 
+def digest_generator(prompts: list[str], temperature: float, max_tokens: int) -> list[str]:
+    """A generator whose replies SQL can give as well: the digest of the prompt and the settings."""
+    return [f"{md5(p.encode()).hexdigest()} {temperature} {max_tokens}" for p in prompts]
+
+
+@query("batch_generate", f"SELECT id, kind, md5(prompt) || ' 0 4000' AS reply FROM ({_PROMPTS_SQL})")
+def batch_generate(spark, sf_dir):
+    """The generator runs as a plug on batches of whole prompts."""
+    prompts = docs.build_prompts(_records(spark, sf_dir), F.col("record"), _base())
+    return docs.generate_replies(prompts, digest_generator).select("id", "kind", "reply")
+
+
 @query(
-    "batch_generate",
+    "offline_replies",
     f"""WITH {fx.JOBS_SQL}, j AS (SELECT id, kind, {_SHOWN_SQL} FROM jobs CROSS JOIN {_KINDS_SQL})
 SELECT id, kind, {_filled_sql(_BASE_SQL)} AS reply FROM j""",
 )
-def batch_generate(spark, sf_dir):
+def offline_replies(spark, sf_dir):
     """Replies of the offline generator: the base template with its placeholders filled."""
     shown = fx.jobs(spark, sf_dir).select(
         "id",
@@ -234,21 +253,45 @@ def suffix_count(spark, sf_dir):
     return docs.with_suffix(table(spark, sf_dir, "pages"), "url", ".html").agg(F.count("*").alias("n"))
 
 
+def _json_sql(text: str) -> str:
+    """A JSON string in ASCII."""
+    for char, escape in (("\\", "\\\\"), ('"', '\\"'), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t")):
+        text = f"replace({text}, {char if char.startswith('chr') else _sql(char)}, {_sql(escape)})"
+    return rf"""coalesce('"' || array_to_string(list_transform(regexp_extract_all({text}, '[ -~]+|[^ -~]'),
+      lambda c: CASE WHEN regexp_matches(c, '^[ -~]') THEN c WHEN unicode(c) < 65536 THEN printf('\u%04x', unicode(c))
+        ELSE printf('\u%04x\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) END), '')
+      || '"', 'null')"""
+
+
+def _members_sql(columns: dict[str, str], depth: int) -> str:
+    return " || ',' || chr(10) || ".join(f"""'{" " * depth}"{n}": ' || {_json_sql(c)}""" for n, c in columns.items())
+
+
+_HEADER = {"job_title": "d_job_title", "organization": "d_organization"}
+_DETAILS = {n: f"d_{n}" for n in ("level", "job_summary", "required_skills", "notes")}
+# The posting indented by two, as the prompt holds it: status tags follow the header.
+_POSTING_SQL = f"""'{{' || chr(10) || {_members_sql({f: f for f in docs.FLAT_FIELDS}, 2)}
+  || ',' || chr(10) || '  "details": {{' || chr(10) || CASE WHEN error IS NOT NULL THEN {_members_sql({"error": "error"}, 4)}
+  ELSE {_members_sql(_HEADER, 4)} || ',' || chr(10) || '    "status_tags": [' || chr(10) || '      ' || {_json_sql("level")}
+    || ',' || chr(10) || '      ' || {_json_sql("division")} || chr(10) || '    ],' || chr(10)
+    || {_members_sql(_DETAILS, 4)} END || chr(10) || '  }}' || chr(10) || '}}'"""
+
+
 @query(
     "prepare_documents",
     f"""WITH {fx.JOBS_SQL}, {_SELECTION},
 j AS (SELECT sel.job_id, rank, kind, coalesce(nullif(title, ''), d_job_title, '') AS t,
     coalesce(nullif(company, ''), d_organization, '') AS c, coalesce(d_job_summary, '') AS reason,
-    coalesce(d_required_skills, '') AS skills
+    coalesce(d_required_skills, '') AS skills, {_POSTING_SQL} AS posting
   FROM sel JOIN jobs ON job_id = id CROSS JOIN {_KINDS_SQL})
-SELECT job_id, rank, kind, {_filled_sql(_BASE_SQL)} AS body, '{OUT_DIR}/' || job_id || '_' || kind || '.tex' AS path,
+SELECT job_id, rank, kind, {_prompt_sql("posting")} AS prompt, {_filled_sql(_BASE_SQL)} AS body, '{OUT_DIR}/' || job_id || '_' || kind || '.tex' AS path,
   '{OUT_DIR}/' || job_id || '_' || kind || '.pdf' AS pdf FROM j""",
 )
 def prepare_documents(spark, sf_dir):
     prepared = preparing.prepare_documents(
         _selection(spark, sf_dir), fx.jobs(spark, sf_dir), ["seq"], BASES, OUT_DIR
     )
-    return prepared.select("job_id", "rank", "kind", "body", "path", "pdf")
+    return prepared.select("job_id", "rank", "kind", "prompt", "body", "path", "pdf")
 
 
 # ---- upload planning -----------------------------------------------------------------------
@@ -301,3 +344,35 @@ def upload_actions(spark, sf_dir):
         }
     )
     return manifest.upload_actions(offered).select("job_id", "application", "resume_action", "cover_action")
+
+
+@query(
+    "plan_uploads",
+    f"""WITH m AS (
+  SELECT d.doc_id, d.doc_id % 10 = 0 AS pre, d.doc_id % 7 <> 1 AS first, d.doc_id % 3 <> 1 AS second,
+    CASE WHEN quality = 1 THEN d.doc_id || '_resume.tex' END AS resume_file,
+    CASE WHEN toxic = 0 THEN d.doc_id || '_cover_letter.tex' END AS cover_file
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS job_id, resume_file, cover_file, 'Resume + ' || doc_id AS resume_name,
+  'Cover letter + ' || doc_id AS cover_name, CASE WHEN pre THEN 'cancel' ELSE 'submit' END AS application,
+  CASE WHEN pre OR NOT first THEN 'none' WHEN resume_file IS NOT NULL THEN 'upload' ELSE 'skip' END AS resume_action,
+  CASE WHEN pre OR NOT second THEN 'none' WHEN cover_file IS NOT NULL THEN 'upload' ELSE 'skip' END AS cover_action
+FROM m""",
+)
+def plan_uploads(spark, sf_dir):
+    """Documents written to files, then the plan for every posting from the files that exist."""
+    root = scratch_path(spark, "uploads")
+    present = presence_table(spark, sf_dir).select("job_id", "kind", F.col("job_id").alias("body"))
+    preparing.write_documents(present, root)
+    postings = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("job_id"),
+        (F.col("doc_id") % 10 == 0).alias("prescreening"),
+        (F.col("doc_id") % 7 != 1).alias("resume_slot"),
+        (F.col("doc_id") % 3 != 1).alias("cover_slot"),
+    )
+    planned = preparing.plan_uploads(spark, postings, root, ".tex")
+    file = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
+    return planned.select(
+        "job_id", file("resume_path").alias("resume_file"), file("cover_path").alias("cover_file"),
+        "resume_name", "cover_name", "application", "resume_action", "cover_action",
+    )

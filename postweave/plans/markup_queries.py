@@ -254,13 +254,40 @@ def collect_postings(spark, sf_dir):
     """List pages of ``part`` joined with the detail pages of ``documents`` by posting id."""
     pages = fx.detail_pages(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
     found = collecting.postings_from_pages(fx.part_pages(spark, sf_dir), pages)
-    pairs = F.transform("details", lambda d: F.concat(d.key, F.lit("="), d.value))
-    details, tags = F.array_join(pairs, "\x01"), F.array_join("status_tags", "|")
+    details, tags = F.array_join(F.transform("details", _PAIRS), "\x01"), F.array_join("status_tags", "|")
     return found.select(
         "id", "title", "company", "deadline", details.alias("details"), tags.alias("status_tags"), "error"
     )
 
 
+_PAIRS = lambda d: F.concat(d.key, F.lit("="), d.value)
+
+
+@query(
+    "collect_round",
+    f"""{_MERGED}, {_PART.removeprefix("WITH ")}, {fx.JOBS_SQL.strip()},
+l AS (SELECT {_FULL} FROM p WHERE kind NOT IN (3, 4)),
+new AS (
+  SELECT *, row_number() OVER (ORDER BY page_id, row_no) + (SELECT MAX(seq) FROM jobs) AS seq FROM l
+  WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE jobs.id = l.id AND error IS NULL)),
+shown AS (SELECT doc_id, string_agg(key || '=' || value, chr(1) ORDER BY place) AS details FROM merged GROUP BY doc_id)
+SELECT seq, id, title, company, CASE WHEN error IS NOT NULL THEN 'error=' || error ELSE concat_ws(chr(1),
+    'job_title=' || d_job_title, 'organization=' || d_organization, 'level=' || d_level,
+    'job_summary=' || d_job_summary, 'required_skills=' || d_required_skills, 'notes=' || d_notes) END AS details, error
+FROM jobs
+UNION ALL
+SELECT seq, id, title, company, CASE WHEN bare AND NOT unread THEN '' ELSE details END,
+  CASE WHEN d.doc_id IS NULL THEN 'No detail page' WHEN unread THEN 'Empty detail page' END
+FROM new LEFT JOIN d ON id = CAST(d.doc_id AS VARCHAR) LEFT JOIN shown ON shown.doc_id = d.doc_id""",
+)
+def collect_round(spark, sf_dir):
+    """The list pages of ``part`` after the postings of ``documents`` were saved: failed ones are read again."""
+    pages = fx.detail_pages(spark, sf_dir).withColumn("id", F.col("doc_id").cast("string")).drop("doc_id")
+    rows = collecting.collect_round(fx.jobs(spark, sf_dir), fx.part_pages(spark, sf_dir), pages)
+    details = F.array_join(F.transform("details", _PAIRS), "\x01")
+    return rows.select("seq", "id", "title", "company", details.alias("details"), "error")
+
+
 @query(
     "quarantine",
     """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k,

@@ -10,7 +10,7 @@ from postweave.functions.vectors import clamp_weight, to_float32
 from postweave.operators import search
 from postweave.operators.collect import last_wins
 from postweave.operators.flatten import with_posting_text
-from postweave.operators.ordering import dense_ids
+from postweave.operators.ordering import dense_ids, join_ids
 from postweave.sources import vector_store
 from postweave.session import cut_lineage
 from postweave.sources.postings import read_documents
@@ -27,7 +27,7 @@ def index_postings(
     texts = with_posting_text(postings, drop_failed).select("id", *order, "text")
     version_key = F.coalesce("id", F.concat_ws("\x01", F.lit("no id"), *order))
     latest = last_wins(texts.select(version_key.alias("key"), *order), "key", order)
-    numbered = texts.join(dense_ids(latest.select(*order), *order), list(order))
+    numbered = join_ids(texts, dense_ids(latest.select(*order), *order), *order)
     encoded = search.encode(numbered, "text", encoder, batch_size)
     job_id = F.coalesce("id", F.col("internal_id").cast("string"))
     return encoded.select("internal_id", job_id.alias("job_id"), to_float32(F.col("vec")).alias("vec"))

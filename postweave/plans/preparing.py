@@ -60,5 +60,5 @@ def plan_uploads(spark: SparkSession, postings: DataFrame, out_dir: str | None,
     if out_dir is None:
         placed = manifest.no_directory(postings)
     else:
-        placed = manifest.upload_manifest(postings, generated.list_generated(spark, out_dir, extension))
+        placed = manifest.upload_manifest(postings, generated.present_generated(postings, out_dir, extension))
     return manifest.upload_actions(placed).withColumns(manifest.document_names(F.col("job_id")))

@@ -91,15 +91,18 @@ def prefix_system(spark, sf_dir):
     return requests(spark, sf_dir).select("conv_id", "turn", single.alias("message"))
 
 
-@query(
-    "request_payload",
-    f"""{_REQUESTS}
-SELECT conv_id, turn, CAST(CASE family
+_PAYLOAD = f"""CAST(CASE family
   WHEN 'chat' THEN to_json({{'model': model, 'messages': CASE WHEN system <> ''
       THEN [{{'role': 'system', 'content': system}}, {{'role': 'user', 'content': prompt}}]
       ELSE [{{'role': 'user', 'content': prompt}}] END, 'temperature': temperature, 'stream': false}})
   WHEN 'message' THEN to_json({{'model': model, 'message': single, 'temperature': temperature}})
-  WHEN 'input' THEN to_json({{'input': single, 'model': model, 'temperature': temperature}}) END AS VARCHAR) AS payload
+  WHEN 'input' THEN to_json({{'input': single, 'model': model, 'temperature': temperature}}) END AS VARCHAR)"""
+
+
+@query(
+    "request_payload",
+    f"""{_REQUESTS}
+SELECT conv_id, turn, {_PAYLOAD} AS payload
 FROM r""",
 )
 def request_payload(spark, sf_dir):
@@ -127,6 +130,22 @@ def request_url(spark, sf_dir):
     return pages.select("page_id", "provider", url.alias("url"))
 
 
+@query(
+    "build_requests",
+    f"""{_REQUESTS},
+b AS (SELECT *, coalesce(CASE WHEN turn % 2 = 0 THEN 'https://own.example/' || conv_id || '/' END,
+    replace({_case(2)}, '{{host}}', '{HOST}')) AS root, {_case(3)} AS path FROM r)
+SELECT conv_id, turn, model, error,
+  CASE WHEN error IS NULL THEN CASE WHEN path IS NULL THEN root ELSE rtrim(root, '/') || path END END AS url,
+  CASE WHEN error IS NULL THEN {_PAYLOAD} END AS payload FROM b""",
+)
+def build_requests(spark, sf_dir):
+    """The request table; every other request goes to an address of its own."""
+    own = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("https://own.example/"), "conv_id", F.lit("/")))
+    built = relay.build_requests(requests(spark, sf_dir), HOST, OVERRIDES, own)
+    return built.select("conv_id", "turn", "model", "error", "url", "payload")
+
+
 # ---- replies -------------------------------------------------------------------------------
 
 
@@ -150,6 +169,17 @@ def replies(spark, sf_dir):
 _CHAT = "CASE WHEN turn % 4 IN (0, 1) THEN NULL ELSE prompt END"
 _TEXT = "CASE conv_id % 4 WHEN 2 THEN '' ELSE prompt END"
 _OUTPUT = """CASE conv_id % 4 WHEN 1 THEN '{"content":"x"}' WHEN 2 THEN NULL ELSE prompt END"""
+# The replies as they come.
+_RAW = """CAST(CASE family
+  WHEN 'chat' THEN CASE turn % 4 WHEN 0 THEN '{"choices":[]}' WHEN 1 THEN '{"error":"overloaded"}'
+    ELSE CAST(to_json({'choices': [{'message': {'content': prompt}}]}) AS VARCHAR) END
+  WHEN 'message' THEN CASE conv_id % 4 WHEN 0 THEN CAST(to_json({'text': '', 'output_text': prompt}) AS VARCHAR)
+    WHEN 1 THEN CAST(to_json({'text': '', 'generations': [{'text': prompt}]}) AS VARCHAR)
+    WHEN 2 THEN '{"text":"","output_text":"","generations":[{"text":"no"}]}'
+    ELSE CAST(to_json({'text': prompt, 'output_text': 'no'}) AS VARCHAR) END
+  WHEN 'input' THEN CASE conv_id % 4 WHEN 0 THEN CAST(to_json({'output': prompt, 'message': 'no'}) AS VARCHAR)
+    WHEN 1 THEN '{"text":"","message":{"content":"x"}}' WHEN 2 THEN '{"other":1}'
+    ELSE CAST(to_json({'text': prompt}) AS VARCHAR) END END AS VARCHAR)"""
 _ROUTED = f"""{_REQUESTS},
 o AS (SELECT *, CAST(CASE WHEN family IS NULL THEN 2 WHEN error IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS code,
   CASE family WHEN 'chat' THEN {_CHAT} WHEN 'message' THEN {_TEXT} WHEN 'input' THEN {_OUTPUT} END AS reply FROM r)"""
@@ -186,21 +216,16 @@ def route_provider(spark, sf_dir):
 
 @query(
     "select_output",
-    f"""{_ROUTED} SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN model ELSE coalesce(reply, '') END AS output,
-  turn % 2 = 0 AS whole FROM o WHERE code = 0""",
+    f"""{_ROUTED} SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN
+    rtrim(CAST(to_json({{'provider': provider, 'model': model, 'output_text': reply}}) AS VARCHAR), '}}')
+      || ',"raw":' || {_RAW} || '}}'
+  ELSE coalesce(reply, '') END AS output FROM o WHERE code = 0""",
 )
 def select_output(spark, sf_dir):
-    """Whole results are checked by the model name read back from their JSON."""
     routed = relay.route_replies(replies(spark, sf_dir)).filter("code = 0")
     whole = relay.result_json(F.col("provider"), F.col("model"), F.col("output_text"), F.col("raw"))
-    shown = routed.select(
-        "conv_id",
-        "turn",
-        relay.select_output(F.col("turn") % 2 == 0, whole, F.col("output_text")).alias("output"),
-        (F.col("turn") % 2 == 0).alias("whole"),
-    )
-    model = F.get_json_object("output", "$.model")
-    return shown.withColumn("output", F.when(F.col("whole"), model).otherwise(F.col("output")))
+    output = relay.select_output(F.col("turn") % 2 == 0, whole, F.col("output_text"))
+    return routed.select("conv_id", "turn", output.alias("output"))
 
 
 @query(

@@ -13,7 +13,7 @@ from postweave.plans.collect_queries import TEXT_SQL
 from postweave.plans.registry import query, table
 from postweave.plans.source_queries import INDEX_SQL, UNIT_SQL, embedding_index, vector_values
 from postweave.session import scratch_path, spread
-from postweave.sources import vector_store
+from postweave.sources import generated, vector_store
 
 TOP_K = 4
 DIM = 64
@@ -229,10 +229,11 @@ def prefilter_match(spark, sf_dir):
     return _rounded(search.topk(units.filter("label = 3"), _first(units), TOP_K), "rank", "internal_id")
 
 
-@query("match_batch", _top_sql("true", TOP_K, "true"))
+@query("match_batch", _top_sql("true", TOP_K, "q.vec_id % 50 = 0"))
 def match_batch(spark, sf_dir):
+    """Every fiftieth vector is a query, against all vectors."""
     units = _units(spark, sf_dir)
-    queries = units.select(F.col("internal_id").alias("query_id"), "vec")
+    queries = units.filter("internal_id % 50 = 0").select(F.col("internal_id").alias("query_id"), "vec")
     found = search.topk_many(spread(units.select("internal_id", "vec")), queries, TOP_K)
     return _rounded(found, "query_id", "rank", "internal_id")
 
@@ -276,17 +277,30 @@ def build_index(spark, sf_dir):
     return vector_values(index, "vec", "internal_id", "job_id").select("*", *known)
 
 
-@query(
-    "match_postings",
-    f"""WITH {fx.JOBS_SQL}, {TEXT_SQL}, {_hash_sql('v', 'texts', 'seq')}, {_hash_sql('b', 'benchmark', 'item_id')},
+_MATCHED_SQL = f"""WITH {fx.JOBS_SQL}, {TEXT_SQL}, {_hash_sql('v', 'texts', 'seq')}, {_hash_sql('b', 'benchmark', 'item_id')},
 s AS (SELECT b.k AS query_id, v.k AS seq, round(SUM(b.value * CAST(CAST(v.value AS FLOAT) AS DOUBLE)), 9) AS score
   FROM b JOIN v USING (pos) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS rank FROM s)
-SELECT query_id, rank, CAST(seq AS VARCHAR) AS job_id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= {TOP_K}""",
-)
+SELECT query_id, rank, CAST(seq AS VARCHAR) AS job_id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= {TOP_K}"""
+
+
+@query("match_postings", _MATCHED_SQL)
 def match_postings(spark, sf_dir):
     """Text to text: every benchmark text against the index of all postings."""
     index = matching.index_postings(fx.jobs(spark, sf_dir), ["seq"])
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     queries = search.encode(items, "text").select("query_id", "vec")
     return _rounded(matching.match_many(index, queries, TOP_K), "query_id", "rank", "job_id")
+
+
+@query("match_files", _MATCHED_SQL)
+def match_files(spark, sf_dir):
+    """File to posting: every benchmark text as a file against the written index of all postings."""
+    folder, prefix = scratch_path(spark, "wishes"), scratch_path(spark, "wishes-index")
+    items = table(spark, sf_dir, "benchmark")
+    names = F.concat(F.col("item_id").cast("string"), F.lit(".txt"))
+    generated.write_files(items.select(names.alias("name"), F.col("text").alias("body")), folder)
+    matching.vectorize_postings(fx.jobs(spark, sf_dir), prefix, "documents", ["seq"])
+    found = matching.match_files(spark, f"{folder}/*.txt", prefix, TOP_K)
+    item = F.regexp_extract("query_id", r"([0-9]+)\.txt$", 1).cast("bigint")
+    return _rounded(found.withColumn("query_id", item), "query_id", "rank", "job_id")

@@ -129,15 +129,15 @@ def index_write(spark, sf_dir):
 
 @query(
     "index_read",
-    """SELECT row_number() OVER (ORDER BY vec_id) - 1 AS internal_id, 'job-' || CAST(vec_id AS VARCHAR) AS job_id,
-  'stored' AS model_name, COUNT(*) OVER () AS num_vectors, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings""",
+    f"""SELECT *, 'stored' AS model_name, (SELECT COUNT(*) FROM embeddings) AS num_vectors,
+  (SELECT CAST(MAX(len(embedding)) AS BIGINT) FROM embeddings) AS dim FROM ({INDEX_SQL})""",
 )
 def index_read(spark, sf_dir):
     prefix = scratch_path(spark, "index")
     vector_store.save_index(embedding_index(spark, sf_dir), prefix, "stored", "embeddings")
     index, meta = vector_store.load_index(spark, prefix)
     known = [meta.select(c).scalar().alias(c) for c in ("model_name", "num_vectors", "dim")]
-    return index.select("internal_id", "job_id", *known)
+    return vector_values(index, "vec", "internal_id", "job_id").select("*", *known)
 
 
 @query(
@@ -159,7 +159,9 @@ def sink_documents(spark, sf_dir):
     root = scratch_path(spark, "documents")
     jobs = documents.with_kinds(fx.jobs(spark, sf_dir).select(F.col("id").alias("job_id"), "city"))
     body = F.concat(F.lit("% "), "kind", F.lit("\nJob "), "job_id", F.lit(" in "), "city")
-    written = generated.write_generated(jobs.withColumn("body", body), root)
+    docs, later = jobs.withColumn("body", body), F.col("kind") == "resume"
+    generated.write_generated(docs.filter(~later), root)
+    written = generated.write_generated(docs.filter(later), root)  # the table names both runs' files
     texts = postings.read_documents(spark, root, pattern="*.tex")
     name = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
     return (
@@ -188,8 +190,9 @@ LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 )
 def scan_presence(spark, sf_dir):
     root = scratch_path(spark, "presence")
-    generated.write_generated(presence_table(spark, sf_dir).withColumn("body", F.lit("x")), root)
-    found = generated.list_generated(spark, root)
+    bodies = F.when(F.col("kind") == "resume", "").otherwise("x")  # empty files exist too
+    generated.write_generated(presence_table(spark, sf_dir).withColumn("body", bodies), root)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_id"))
+    found = generated.present_generated(docs, root)
     joined = documents.with_kinds(docs).join(found, ["job_id", "kind"], "left")
     return joined.select("job_id", "kind", F.col("path").isNotNull().alias("present"))

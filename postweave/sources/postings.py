@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from postweave.functions.text import lambda_sql
 from postweave.operators.documents import FLAT_FIELDS
 from postweave.operators.markup import merge_pairs_sql
+from postweave.sources.generated import open_store
+
+_REPLACEMENT = "\ufdd0\ufdd1\ufdd0"  # stands for U+FFFD meanwhile; no characters that texts hold
 
 _RAW = ", ".join(f"{f} string" for f in FLAT_FIELDS) + ", details string"
 _POSTING = (
@@ -110,23 +115,44 @@ def resume_state(spark: SparkSession, path: str) -> DataFrame:
 def read_documents(
     spark: SparkSession, path: str, wanted: DataFrame | None = None, missing_ok: bool = False, pattern: str = "*"
 ) -> DataFrame:
-    """Whole files as ``(path, text)``; bytes that are not UTF-8 are left out, and empty files too.
+    """Whole files as ``(path, text)``; bytes that are not UTF-8 are left out.
 
-    ``wanted``: a table ``(path)`` of requested files. A requested file that does not exist is an
-    error (as is an empty one), or an empty text with ``missing_ok``.
+    ``wanted``: a table ``(path)`` of requested files, read in the tasks without any listing. A
+    requested file that does not exist is an error, or an empty text with ``missing_ok``. Without
+    it the folder is listed, and empty files are passed over.
     """
+    if wanted is not None:
+        return wanted.select(F.col("path").cast("string").alias("path")).mapInArrow(
+            _read_wanted(missing_ok), "path string, text string"
+        )
     raw = F.col("content").cast("string")
-    repaired = F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
+    kept = F.replace(raw, F.lit("�"), F.lit(_REPLACEMENT))  # a U+FFFD of the file itself stays
+    repaired = F.replace(F.make_valid_utf8(kept), F.lit("�"), F.lit(""))
+    repaired = F.replace(repaired, F.lit(_REPLACEMENT), F.lit("�"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(repaired)
-    texts = files.select("path", F.regexp_replace(text, "\r\n?", "\n").alias("text"))  # as text files are read
-    if wanted is None:
-        return texts
-    joined = wanted.select("path").join(texts, "path", "left")
-    if missing_ok:
-        return joined.withColumn("text", F.coalesce("text", F.lit("")))
-    absent = F.raise_error(F.concat(F.lit("file not found: "), F.col("path")))
-    return joined.withColumn("text", F.when(F.col("text").isNull(), absent.cast("string")).otherwise(F.col("text")))
+    return files.select("path", F.regexp_replace(text, "\r\n?", "\n").alias("text"))  # as text files are read
+
+
+def _read_wanted(missing_ok: bool):
+    def text_of(place: str | None) -> str:
+        if place is not None:
+            store, path = open_store(place)
+            if store.get_file_info(path).type == fs.FileType.File:
+                with store.open_input_stream(path) as stream:
+                    found = stream.read().decode("utf-8", "ignore")
+                return found.replace("\r\n", "\n").replace("\r", "\n")
+        if missing_ok:
+            return ""
+        raise FileNotFoundError(f"file not found: {place}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in batch.column(0).to_pylist():  # one text at a time
+                columns = [pa.array([c], pa.string()) for c in (place, text_of(place))]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "text"])
+
+    return run
 
 
 def read_pages(spark: SparkSession, path: str, columns: Sequence[str] = ("page_id", "url", "html")) -> DataFrame:

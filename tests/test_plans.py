@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postweave.operators import collect, search
+from postweave.plans import all_queries  # noqa: F401  (registers every query)
 from postweave.plans.registry import ORACLES, QUERIES, table
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -16,10 +17,10 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-WITH_PYTHON = {"encode_corpus", "encode_query", "match_batch", "match_postings"}
+WITH_PYTHON = {"batch_generate", "encode_corpus", "encode_query", "match_batch", "match_files", "match_postings"}
 WITH_FILES = {
     "scan_jobs_json", "scan_text_docs", "sink_snapshot", "sink_checkpointed", "resume_state", "index_write",
-    "index_read", "sink_documents", "scan_presence", "build_index",
+    "index_read", "sink_documents", "scan_presence", "build_index", "plan_uploads", "collect_round",
 }
 
 
@@ -36,6 +37,12 @@ def test_encoder_runs_once_and_maps_only(spark, sf_dir, name):
     assert "hashpartitioning" not in text
 
 
+def test_generator_runs_once_and_maps_only(spark, sf_dir):
+    text = plan(QUERIES["batch_generate"](spark, sf_dir))
+    assert text.count("ArrowEvalPython") == 1
+    assert "hashpartitioning" not in text
+
+
 @pytest.mark.parametrize("name", ["last_wins", "resolve_attempts"])
 def test_few_rows_per_key_leave_a_task(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))

@@ -30,6 +30,12 @@ def test_match_without_a_known_id_keeps_its_number(spark):
     assert [r["job_id"] for r in found.collect()] == ["job-1", "2"]
 
 
+def test_null_order_keys_are_numbered(spark):
+    rows = spark.createDataFrame([(None, [1.0]), (1, [2.0])], "n long, vec array<double>")
+    index = search.build_index(rows, "vec", F.col("n").cast("string"), "n")
+    assert sorted((r["internal_id"], r["job_id"]) for r in index.collect()) == [(0, "0"), (1, "1")]
+
+
 def test_blocks_follow_the_size_of_the_corpus(spark):
     corpus = vectors(spark, [(i, [float(i % 7), 1.0]) for i in range(200)], "internal_id")
     queries = vectors(spark, [(i, [1.0, float(i)]) for i in range(20)], "query_id")

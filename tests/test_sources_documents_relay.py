@@ -81,13 +81,18 @@ def test_resume(spark, tmp_path):
 def test_lenient_documents(spark, tmp_path):
     (tmp_path / "a.tex").write_bytes(b"caf\xc3\xa9 \xff\xfe ok\n")
     (tmp_path / "b.txt").write_bytes("kept �".encode())
+    (tmp_path / "c.txt").write_bytes("kept � but ".encode() + b"\xff")
     texts = {r.path.rsplit("/", 1)[1]: (r.path, r.text) for r in postings.read_documents(spark, str(tmp_path)).collect()}
     assert texts["a.tex"][1] == b"caf\xc3\xa9 \xff\xfe ok\n".decode("utf-8", "ignore")
-    assert texts["b.txt"][1] == "kept �"
+    assert (texts["b.txt"][1], texts["c.txt"][1]) == ("kept �", "kept � but ")
     known = texts["a.tex"][0]
     wanted = spark.createDataFrame([(known,), ("file:/none",)], "path string")
     lenient = postings.read_documents(spark, str(tmp_path), wanted, missing_ok=True).collect()
     assert {r.path: r.text for r in lenient}["file:/none"] == ""
+    (tmp_path / "empty.txt").write_bytes(b"")
+    asked = spark.createDataFrame([(str(tmp_path / "empty.txt"),), (known,)], "path string")
+    read = {r.path: r.text for r in postings.read_documents(spark, str(tmp_path), asked).collect()}
+    assert read == {str(tmp_path / "empty.txt"): "", known: texts["a.tex"][1]}
     with pytest.raises(Exception, match="file not found: file:/none"):
         postings.read_documents(spark, str(tmp_path), wanted).collect()
 
@@ -105,6 +110,21 @@ def test_generated_files(spark, tmp_path):
     assert sorted((r.job_id, r.kind) for r in written.collect()) == keys
     listed = sorted((r.job_id, r.kind) for r in generated.list_generated(spark, root).collect())
     assert listed == keys[1:]  # the empty file is written, but file sources do not list it
+    more = spark.createDataFrame([("3", "resume", "y")], "job_id string, kind string, body string")
+    assert generated.write_generated(more, root).count() == 4  # the table holds all files
+    (tmp_path / "out" / "notes.tex").write_text("x")
+    assert generated.list_generated(spark, root).count() == 3
+    asked = spark.createDataFrame([("a_b",), ("2",), ("2",), ("nine",), (None,), ("../x",)], "job_id string")
+    present = sorted((r.job_id, r.kind, r.path) for r in generated.present_generated(asked, root).collect())
+    assert present == [(j, k, f"{root}/{j}_{k}.tex") for j, k in keys]
+    assert generated.present_generated(asked, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("job_id", ["../up", "a/b", None])
+def test_names_stay_in_the_folder(spark, tmp_path, job_id):
+    docs = spark.createDataFrame([(job_id, "resume", "x")], "job_id string, kind string, body string")
+    with pytest.raises(Exception, match="not a file name"):
+        generated.write_generated(docs, str(tmp_path / "out"))
 
 
 DOC = "\\documentclass{a}\nx\n\\end{document}"
@@ -200,12 +220,12 @@ def test_prompts_and_generator(spark):
     assert "\n\nJob: {}\n\nBase template (" in texts["resume"] and ":\nBASE\n\nReturn ONLY" in texts["resume"]
     sizes = []
 
-    def shout(batch):
+    def shout(batch, temperature, max_tokens):
         sizes.append(len(batch))
-        return [f"{len(batch)} {p[:8].upper()}" for p in batch]
+        return [f"{len(batch)} {p[:8].upper()} {temperature} {max_tokens}" for p in batch]
 
     replies = D.generate_replies(prompts.repartition(1), shout, batch_size=1)
-    assert [r.reply for r in replies.collect()] == ["1 GENERATE"] * 2
+    assert [r.reply for r in replies.collect()] == ["1 GENERATE 0 4000"] * 2
 
 
 def test_fill_template_without_a_value(spark):
@@ -226,7 +246,7 @@ def test_selection_to_uploads(spark, tmp_path):
     flat = [F.lit("x").alias(f) for f in ("division", "openings", "city", "level", "deadline")]
     rows = lookup_rows(spark).select("*", *flat, F.array(F.lit("tag")).alias("status_tags"))
 
-    def reply(batch):
+    def reply(batch, temperature, max_tokens):
         return [f"```latex\n{DOC}\n```" if "resume" in p else " " for p in batch]
 
     prepared = preparing.prepare_documents(chosen, rows, ["seq"], bases, out, reply)
