@@ -92,8 +92,11 @@ def record_json(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def posting_json() -> Column:
-    """A posting as JSON indented by two, ASCII only, details in page order (tags after the header)."""
+def posting_json(others: str | None = None) -> Column:
+    """A posting as JSON indented by two, ASCII only, details in page order (tags after the header).
+
+    ``others`` names a column of details that are no strings (JSON by key): they come last, each on one line.
+    """
 
     def member(name: str, value: str, depth: int) -> str:
         return f"concat('{' ' * depth}', {name}, ': ', {value})"
@@ -112,7 +115,11 @@ def posting_json() -> Column:
     )
     heads = lambda_sql("filter", "details", lambda d: f"{d}.key in ('job_title', 'organization')")
     header = f"size({heads}) + if(size({heads}) = 2 and get(details, 2).key = 'division', 1, 0)"
-    lines = f"concat(slice({pairs}, 1, {header}), {tags}, slice({pairs}, 1 + {header}, size(details)))"
+    rest = f"slice({pairs}, 1 + {header}, size(details))"
+    if others is not None:
+        entries = f"coalesce(map_entries({others}), array())"
+        rest += ", " + lambda_sql("transform", entries, lambda o: member(json_string_sql(f"{o}.key"), f"{o}.value", 4))
+    lines = f"concat(slice({pairs}, 1, {header}), {tags}, {rest})"
     details = f"coalesce({let_sql(lines, lambda x: block(x, 2, '{}'))}, 'null')"
     flat = [member(_quoted(f), nullable(f), 2) for f in FLAT_FIELDS]
     members = ", ".join([*flat, member(_quoted("details"), details, 2)])

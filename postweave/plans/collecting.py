@@ -46,4 +46,5 @@ def collect_round(
     placed = collect.placed_after(saved, new, order, "seq")  # checkpointed, so read twice below
     pages = detail_pages.join(thinned_keys(placed, "id"), "id", "left_semi")
     detailed = with_details(placed, pages).select(*POSTING_COLUMNS, "seq")
-    return saved.select(*POSTING_COLUMNS, "seq").unionByName(detailed)
+    kept = [c for c in saved.columns if c == "other_details"]  # of postings that were read from JSON
+    return saved.select(*POSTING_COLUMNS, *kept, "seq").unionByName(detailed, allowMissingColumns=True)

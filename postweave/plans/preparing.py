@@ -41,7 +41,8 @@ def prepare_documents(
     """
     chosen = D.lookup_selected(D.selected_ids(selection), postings, order).withColumn("id", F.col("job_id"))
     base = base_template(bases)
-    prompts = D.build_prompts(chosen, D.posting_json(), base)
+    others = "other_details" if "other_details" in chosen.columns else None
+    prompts = D.build_prompts(chosen, D.posting_json(others), base)
     replies = D.generate_replies(prompts, generator, D.fill_template(base, template_values()))
     documents = replies.withColumn("body", D.or_base(D.extract_block(F.col("reply")), base))
     placed = documents.withColumn("path", D.tex_path(out_dir, F.col("job_id"), F.col("kind")))

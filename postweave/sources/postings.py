@@ -10,8 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.functions.text import lambda_sql
+from postweave.functions.text import json_string_sql, lambda_sql
 from postweave.operators.documents import FLAT_FIELDS
+from postweave.operators.flatten import other_details
 from postweave.operators.markup import merge_pairs_sql
 from postweave.sources.generated import open_store
 
@@ -21,22 +22,37 @@ _RAW = ", ".join(f"{f} string" for f in FLAT_FIELDS) + ", details string"
 _POSTING = (
     ", ".join(f"{f} string" for f in FLAT_FIELDS)
     + ", details array<struct<key:string,value:string>>, status_tags array<string>, error string"
+    + ", other_details map<string,string>"
 )
 
 
 def _shape(raw: DataFrame) -> DataFrame:
-    """JSON details to ordered pairs; list values become columns, an error marks a failed record."""
-    pairs = lambda_sql(
-        "filter",
-        "map_entries(from_json(details, 'map<string,string>'))",
-        lambda p: f"{p}.key <> 'status_tags' and {p}.value is not null",
+    """JSON details to ordered pairs of strings; an error marks a failed record.
+
+    Values that are no strings (numbers, lists, ..) are no text: ``other_details`` holds them as
+    JSON by key, null where there are none. Status tags have a column of their own.
+    """
+
+    def part(wanted: str, value: str) -> str:
+        kept = lambda_sql("filter", "_all", lambda p: f"{p}.type {wanted} and {p}.key <> 'status_tags'")
+        return lambda_sql("transform", kept, lambda p: f"named_struct('key', {p}.key, 'value', {p}.{value})")
+
+    typed = lambda_sql(
+        "transform",
+        "map_entries(from_json(details, 'map<string,variant>'))",
+        lambda p: f"""named_struct('key', {p}.key, 'type', schema_of_variant({p}.value), 'json', to_json({p}.value),
+          'text', try_variant_get({p}.value, '$', 'string'))""",
+    )
+    shaped = raw.withColumn("_all", F.expr(typed)).withColumns(
+        {"_pairs": F.expr(part("= 'STRING'", "text")), "_others": F.expr(part("not in ('STRING', 'VOID')", "json"))}
     )
-    shaped = raw.withColumn("_pairs", F.expr(pairs))
+    others = f"if(size(_others) > 0, map_from_entries({merge_pairs_sql('_others')}), null)"
     return shaped.select(
         *FLAT_FIELDS,
         F.expr(merge_pairs_sql("_pairs")).alias("details"),
         F.expr("from_json(details, 'status_tags array<string>').status_tags").alias("status_tags"),
         F.expr("get_json_object(details, '$.error')").alias("error"),
+        F.expr(others).alias("other_details"),
     )
 
 
@@ -63,20 +79,24 @@ def _listed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _details_json() -> Column:
-    """Details and status tags as one JSON object, from their pairs in ``_pairs``."""
-    opened = F.expr("substr(_pairs, 1, length(_pairs) - 1)")
-    comma = F.when(F.size("details") > 0, ",").otherwise("")
-    tagged = F.concat(opened, comma, F.lit('"status_tags":'), F.to_json("status_tags"), F.lit("}"))
-    failed = F.col("details").isNull() & F.col("error").isNotNull()
+    """Details (their pairs in ``_pairs``), other details and status tags as one JSON object."""
+    pairs = F.expr("nullif(substr(_pairs, 2, length(_pairs) - 2), '')")
+    members = lambda_sql(
+        "transform", "map_entries(_others)", lambda o: f"concat({json_string_sql(f'{o}.key')}, ':', {o}.value)"
+    )
+    others = F.expr(f"nullif(array_join({members}, ','), '')")
+    tags = F.concat(F.lit('"status_tags":'), F.to_json("status_tags"))
+    whole = F.concat(F.lit("{"), F.concat_ws(",", pairs, others, tags), F.lit("}"))
     error = F.to_json(F.struct("error"))  # a failed posting keeps its message as its only detail
-    return F.when(failed, error).when(F.col("status_tags").isNull(), F.col("_pairs")).otherwise(tagged)
+    return F.when(F.col("details").isNotNull(), whole).when(F.col("error").isNotNull(), error)
 
 
 def postings_as_json(postings: DataFrame) -> DataFrame:
     """One JSON object per posting in column ``value``."""
     pairs = F.to_json(F.map_from_entries("details"))
     flat = F.to_json(F.struct(*FLAT_FIELDS), {"ignoreNullFields": "false"})
-    texts = postings.withColumns({"_pairs": pairs, "_flat": flat}).withColumn("_details", _details_json())
+    columns = {"_pairs": pairs, "_flat": flat, "_others": other_details(postings)}
+    texts = postings.withColumns(columns).withColumn("_details", _details_json())
     return texts.select(
         F.concat(
             F.expr("substr(_flat, 1, length(_flat) - 1)"),

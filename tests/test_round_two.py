@@ -1,9 +1,13 @@
 """Cases that the first round's fixtures did not hold."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from postweave.operators import manifest, relay, search
+from postweave.operators.documents import FLAT_FIELDS, posting_json
+from postweave.operators.flatten import with_posting_text
 from postweave.plans import matching
 from postweave.sources import postings
 from postweave.streaming import progress
@@ -97,3 +101,25 @@ def test_unknown_flags_count_as_absent(spark):
     slots = spark.createDataFrame([(False, None, True, "a", "b")], "prescreening boolean, resume_slot boolean, cover_slot boolean, resume_path string, cover_path string")
     found = manifest.upload_actions(slots).first()
     assert (found["resume_action"], found["cover_action"]) == ("none", "upload")
+
+
+def test_details_that_are_no_strings(spark, tmp_path):
+    details = {"job_title": "R", "n": 5, "list": ["a", "\u00e9"], "none": None, "yes": True, "obj": {"z": 1}, "digits": "5"}
+    posting = {f: None for f in FLAT_FIELDS} | {"id": "1", "details": details | {"required_skills": ["x"], "job_summary": 0}}
+    (tmp_path / "jobs.json").write_text(json.dumps([posting, {"id": "2", "details": {"job_title": "S"}}]))
+    read = postings.read_jobs_json(spark, str(tmp_path / "jobs.json"))
+    others = {"n": "5", "list": '["a","\u00e9"]', "yes": "true", "obj": '{"z":1}', "required_skills": '["x"]', "job_summary": "0"}
+
+    def found(frame):
+        return {r.id: ([(p.key, p.value) for p in r.details], r.other_details) for r in frame.collect()}
+
+    wanted = {"1": ([("job_title", "R"), ("digits", "5")], others), "2": ([("job_title", "S")], None)}
+    assert found(read) == wanted
+    texts = {r.id: r.text for r in with_posting_text(read).collect()}
+    assert texts == {"1": 'R \n ["x"] \n 5', "2": "S"}  # 5 is the string, not the number
+    postings.write_snapshot(read, str(tmp_path / "lines"), "json")
+    assert found(postings.read_jobs_json(spark, str(tmp_path / "lines"), "lines")) == wanted
+    assert found(postings.resume_state(spark, str(tmp_path / "lines"))) == wanted
+    written = [json.loads(r.j) for r in read.orderBy("id").select(posting_json("other_details").alias("j")).collect()]
+    known = {k: v for k, v in posting["details"].items() if v is not None}
+    assert written[0]["details"] == known and written[1]["details"] == {"job_title": "S"}
