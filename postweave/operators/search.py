@@ -25,7 +25,9 @@ SCORE_DECIMALS = 9  # scores this close are ties, broken by id; sums in another
 SMALL_TOP_K = 100_000  # rows that one task may merge
 BROADCAST_LIMIT = 64 << 20  # bytes of query vectors that may be sent to every executor
 PART_LIMIT = 256 << 20  # bytes of corpus vectors that meet one slice of the queries in one task
+CANDIDATE_LIMIT = 1 << 24  # rows (queries times k) that one task may hold
 BLOCK_BYTES = 1 << 20  # bytes of one packed block of vectors
+KNOWN_TOKENS = 1 << 20  # tokens whose places a worker remembers
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -41,6 +43,8 @@ class _TokenPlaces(dict):
         self.dim = dim
 
     def __missing__(self, token: str) -> int:
+        if len(self) >= KNOWN_TOKENS:
+            self.clear()
         digest = hashlib.md5(token.encode()).hexdigest()
         place = self[token] = 2 * (int(digest[:4], 16) % self.dim) + int(digest[4], 16) % 2
         return place
@@ -179,13 +183,16 @@ def topk_many(
     query_key: str = "query_id",
     broadcast_limit: int = BROADCAST_LIMIT,
     part_limit: int = PART_LIMIT,
+    candidate_limit: int = CANDIDATE_LIMIT,
 ) -> DataFrame:
     """Top-k rows for every query: ``query_id, rank, key, score``.
 
     A query matrix whose size is checked goes to every executor and the corpus stays where it is;
     each task hands on k rows per query. Beyond the limit both sides travel as packed blocks
     that meet in matrix products, again with k rows per query handed on; a part holds
-    ``part_limit`` bytes of the corpus. Rows without a vector match nothing.
+    ``part_limit`` bytes of the corpus. So they do where ``k`` rows for each query would be more than
+    ``candidate_limit``: a task then holds the rows of some of the queries at a time. Rows without
+    a vector match nothing.
     """
     types = [(c, d.schema[c].dataType.simpleString()) for c, d in ((query_key, queries), (key, corpus))]
     schema = ", ".join(f"{c} {t}" for c, t in types) + ", score double"
@@ -194,15 +201,16 @@ def topk_many(
     # written once, so that a model behind the vectors sees each query text once
     queries = cut_lineage(queries.select(query_key, "vec").filter(F.col("vec").isNotNull()))
     held = F.size("vec") * 8 + F.octet_length(F.col(query_key).cast("string"))
-    total_bytes = queries.agg(F.sum(held).alias("n")).first().n or 0
-    if total_bytes <= broadcast_limit:
+    total = queries.agg(F.coalesce(F.sum(held), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    slices = max(-(-total.bytes // broadcast_limit), min(total.rows, -(-total.rows * k // candidate_limit)))
+    if slices <= 1:
         kernel = _topk_against(_collect_matrix(queries, query_key), k, names)
         partial = corpus.select(key, "vec").mapInArrow(kernel, schema)
     else:
-        slices = -(-total_bytes // broadcast_limit)
         corpus_bytes = corpus.agg(F.sum(F.size("vec") * 8).alias("n")).first().n or 0
         parts = -(-corpus_bytes // part_limit)
-        pairs = _block_pairs(corpus.select(key, "vec"), queries, slices, parts)
+        at_once = max(1, candidate_limit // max(1, k))
+        pairs = _block_pairs(corpus.select(key, "vec"), queries, slices, parts, at_once)
         partial = pairs.mapInArrow(_topk_of_pairs(k, names), schema)
     best = Window.partitionBy(query_key).orderBy(F.col("score").desc(), key)
     ranked = partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -289,23 +297,26 @@ def _topk_against(shared, k: int, names: list[str]):
     return run
 
 
-def _block_pairs(corpus: DataFrame, queries: DataFrame, slices: int, least_parts: int = 1) -> DataFrame:
+def _block_pairs(
+    corpus: DataFrame, queries: DataFrame, slices: int, least_parts: int = 1, queries_at_once: int | None = None
+) -> DataFrame:
     """Packed corpus and query blocks joined on (slice, part).
 
     Each query block lies in one slice and is copied to every part; each corpus block lies in one
     part and is copied to every slice. Both are even by construction, so no key is hot. There are
     as many pairs (slice, part) as shuffle partitions, so queries are not copied more than needed,
-    but never fewer parts than the size of the corpus asks for.
+    but never fewer parts than the size of the corpus asks for. A query block holds at most
+    ``queries_at_once`` rows.
     """
     parts = max(1, least_parts, -(-int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")) // slices))
-    q = _packed(queries, "q").withColumn("slice", F.pmod(F.xxhash64("q_ids"), F.lit(slices)))
+    q = _packed(queries, "q", queries_at_once).withColumn("slice", F.pmod(F.xxhash64("q_ids"), F.lit(slices)))
     c = _packed(corpus, "c").withColumn("part", F.pmod(F.xxhash64("c_ids"), F.lit(parts)))
     q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
     c = c.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
-    return c.join(q, ["slice", "part"]).select("q_ids", "q_rows", "c_ids", "c_rows")
+    return c.join(q, ["slice", "part"]).select("q_ids", "q_rows", "c_ids", "c_rows", "slice")
 
 
-def _packed(rows: DataFrame, prefix: str) -> DataFrame:
+def _packed(rows: DataFrame, prefix: str, at_once: int | None = None) -> DataFrame:
     """Blocks of vectors: ``<prefix>_ids`` (array) and ``<prefix>_rows`` (doubles, row by row)."""
     key, vec = rows.columns
     key_type = rows.schema[key].dataType.simpleString()
@@ -314,6 +325,7 @@ def _packed(rows: DataFrame, prefix: str) -> DataFrame:
         for batch in batches:
             ids, matrix = batch.column(0), _matrix(batch.column(1))
             step = max(1, BLOCK_BYTES // (8 * max(1, matrix.shape[1])))
+            step = min(step, at_once or step)
             for i in range(0, batch.num_rows, step):
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -328,9 +340,12 @@ def _packed(rows: DataFrame, prefix: str) -> DataFrame:
 
 def _topk_of_pairs(k: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Candidates(k, names)
+        found, current = _Candidates(k, names), None
         for batch in batches:
             for i in range(batch.num_rows):
+                if (now := batch.column(4)[i].as_py()) != current:  # the queries of one slice at a time
+                    yield from found.batches()
+                    found, current = _Candidates(k, names), now
                 query_ids, ids = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (0, 2))
                 queries, rows = (
                     np.frombuffer(batch.column(c)[i].as_py()).reshape(len(n), -1)

@@ -46,6 +46,8 @@ def test_blocks_follow_the_size_of_the_corpus(spark):
     whole = search.topk_many(corpus, queries, 3).collect()
     parts = search.topk_many(corpus, queries, 3, broadcast_limit=16, part_limit=400).collect()
     assert sorted(whole) == sorted(parts)
+    few = search.topk_many(corpus, queries, 3, candidate_limit=10).collect()  # three queries a block
+    assert sorted(whole) == sorted(few)
     pairs = search._block_pairs(corpus, queries, slices=40, least_parts=8)
     largest = pairs.select(F.size("c_ids").alias("n")).agg(F.max("n")).first()[0]
     assert largest <= 200 and pairs.count() > 0
@@ -123,3 +125,11 @@ def test_details_that_are_no_strings(spark, tmp_path):
     written = [json.loads(r.j) for r in read.orderBy("id").select(posting_json("other_details").alias("j")).collect()]
     known = {k: v for k, v in posting["details"].items() if v is not None}
     assert written[0]["details"] == known and written[1]["details"] == {"job_title": "S"}
+
+
+def test_the_token_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(search, "KNOWN_TOKENS", 3)
+    encoder = search.HashingEncoder(8)
+    texts = ["a b c d e", "e d c b a f g", "a"]
+    assert (encoder(texts) == search.HashingEncoder(8)(texts[::-1])[::-1]).all()
+    assert len(encoder.places) <= 3
