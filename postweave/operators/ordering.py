@@ -11,11 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postweave.session import cut_lineage
+from postweave.session import cut_lineage, scratch_path
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the position inside a partition in 33 bits
 
 
+def number_rows(docs: DataFrame) -> DataFrame:
+    """Write the rows once with a number (``_row``) that later steps name them by."""
+    path = scratch_path(docs.sparkSession, "numbered")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def ordered_chunks(df: DataFrame, *order: str) -> DataFrame:
     """Add ``_chunk`` and ``_pos``: sorted chunks that follow each other in the given order."""
     chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
