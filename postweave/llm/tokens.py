@@ -3,8 +3,8 @@
 Byte-level tokenizers cut a text before they merge, and always in front of white space that follows
 a printed character. Such stretches can be encoded alone, so each task keeps the ids of the
 stretches it has met and gives only the pieces of new ones to the tokenizer's model. Texts with
-other white space than single spaces and newlines between words, and tokenizers that cut
-differently, go through the tokenizer whole.
+other white space than single spaces and newlines between words, texts that hold the string of an
+added token (it gets its own id), and tokenizers that cut differently, go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ class CachedEncoder:
         cut = parts["pre_tokenizer"] or {}
         self.by_stretch = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not parts["normalizer"]
         self.pieces = regex.compile(PIECES).findall
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x["content"] for x in parts["added_tokens"]]
         self.limit = cache_entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -105,7 +105,7 @@ class CachedEncoder:
         if not text:
             return b""
         head, *stretches = text.replace("\n", " \n").split(" ")
-        if not self.by_stretch or head.split() != [head]:
+        if not self.by_stretch or head.split() != [head] or any(x in text for x in self.added):
             return self._encode([text])[0]
         found = list(map(self.young.get, stretches))
         if None in found:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postweave.llm import neardup
+from postweave.llm import neardup, tokens
 
 
 def brute_groups(texts, similarity=0.8):
@@ -54,3 +54,13 @@ def test_near_copies_without_an_id_or_with_a_shared_one(spark):
     rows = [(None, text), (None, text), (7, other), (7, text), (7, "a third text that is like neither")]
     kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(rows[2:])
+
+
+def test_added_tokens_get_the_ids_of_a_default_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    plain, encoder = Tokenizer.from_file(path), tokens.CachedEncoder(path)
+    for text in ("one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|> <|endoftext", "one two three"):
+        assert list(np.frombuffer(encoder.encode(text), "<u4")) == plain.encode(text, add_special_tokens=False).ids
+    assert len(encoder.encode("one <|endoftext|> two")) == 4 * 4
