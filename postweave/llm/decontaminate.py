@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postweave.llm.words import byte_classes, slices, tokenize
+from postweave.operators.ordering import number_rows
 from postweave.session import scratch_path
 
 WINDOW = 10
@@ -285,6 +286,7 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents without a hit, columns as they are. Rows without an id cannot be named and stay."""
-    hit = contamination(docs, items, id_col, **options).where("n_hit > 0 and id is not null")
-    return docs.join(hit.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    """Rows without a hit, columns as they are. Rows are judged by their number, whatever their ids are."""
+    numbered = number_rows(docs)
+    hit = contamination(numbered, items, "_row", **options).where("n_hit > 0")
+    return numbered.join(hit.select(F.col("id").alias("_row")), "_row", "left_anti").select(*docs.columns)

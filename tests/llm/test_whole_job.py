@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postweave.llm import neardup, tokens
+from postweave.llm import decontaminate, neardup, tokens
 
 
 def brute_groups(texts, similarity=0.8):
@@ -64,3 +64,11 @@ def test_added_tokens_get_the_ids_of_a_default_tokenizer():
     for text in ("one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|> <|endoftext", "one two three"):
         assert list(np.frombuffer(encoder.encode(text), "<u4")) == plain.encode(text, add_special_tokens=False).ids
     assert len(encoder.encode("one <|endoftext|> two")) == 4 * 4
+
+
+def test_contaminated_rows_go_whatever_their_id(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, f"x {item} y"), (None, "a clean row"), (1, item), (1, "another clean row"), (2, "clean")]
+    items = spark.createDataFrame([("i", item)], "item_id string, text string")
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([rows[1], rows[3], rows[4]])
