@@ -2,11 +2,14 @@
 
 Documents that share a hub (here: equal texts) are linked. Linked documents start in a shard by hash of
 their id. In each round a join gives every document its neighbours' shards, summed up per hub, and it
-asks to move where most of them are. Requests are counted per target shard and hash class, and whole
-classes are let in while the target's quota holds, so a shard never grows past its share. Members of
-one hub are in one class; a hub too large for that is spread over classes, so it moves as far as
-the quotas let it and the rest stays. Documents without links fill the shards up at the end, in
-order of their id, which makes the counts exact.
+asks to move where most of them are (from the second round on half of the hubs, by hash, ask for their second
+shard, so that a shard that all want gives rows away too). Requests are counted per pair of shards and
+hash class. As many rows go from one shard to another as come back, and more where the target has room,
+so a shard never grows past its share, and full shards swap. They are let in class by class, members of
+one hub being in one class; a hub too large for that is spread over classes, so it moves as far as
+the quotas let it and the rest stays. Rounds go on until nothing moves, or until the rows outside their
+hub's main shard have not become fewer for some rounds; the best round counts. Documents without links
+fill the shards up at the end, in order of their id, which makes the counts exact.
 
 Null texts count as empty texts, and equal empty texts are linked like others. Repeated rows are rows
 of their own; rows with a null id are placed like others. An empty table gives no rows. Only the two named
@@ -23,8 +26,9 @@ from postweave.operators.ordering import dense_ids
 from postweave.session import cut_lineage, scratch_path
 
 SHARDS = 8
-ROUNDS = 4
-CLASSES = 512  # hash classes per target shard in which moves are let in
+STALLED = 3  # rounds without a gain after which propagation ends
+CLASSES = 512  # hash classes per pair of shards in which moves are let in
+SMALL_HUB = 1000  # rows of a hub that may always be one class
 LAW = "rows"
 
 
@@ -32,7 +36,7 @@ def _pick(key: Column, *salt: Column | int | str) -> Column:
     return F.xxhash64(key, *[s if isinstance(s, Column) else F.lit(s) for s in salt])
 
 
-def propagate(linked: DataFrame, quota: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(linked: DataFrame, quota: DataFrame, shards: int, rounds: int | None = None) -> DataFrame:
     """Move (node, hub) rows towards their hub's main shard; ``quota`` has (shard, quota) rows.
 
     Returns node, hub, shard with at most ``quota`` rows in every shard.
@@ -43,27 +47,55 @@ def propagate(linked: DataFrame, quota: DataFrame, shards: int, rounds: int = RO
     held = state.groupBy("shard").agg(F.count("*").alias("held"))
     if held.join(quota, "shard").where("held > quota").limit(1).count():  # hash starts are even, not exactly so
         state = cut_lineage(_within_quota(state, quota))
-    for turn in range(rounds if total else 0):
+    best, least, stalled, turn = state, None, 0, 0
+    while total:
         sizes = state.groupBy("hub", "shard").agg(F.count("*").alias("members"))
         order = Window.partitionBy("hub").orderBy(F.desc("members"), _pick(F.col("hub"), F.col("shard")))
-        best = sizes.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-        weight = sizes.groupBy("hub").agg(F.sum("members").alias("hub_rows"))
-        best = best.select("hub", F.col("shard").alias("target")).join(weight, "hub")
-        asked = even_join(state, best, "hub", "inner")
-        wide = F.col("hub_rows") * shards * 64 > total  # a class must be small against a quota
+        ranked = sizes.withColumn("rank", F.row_number().over(order))
+        hubs = ranked.groupBy("hub").agg(
+            F.sum("members").alias("hub_rows"), F.max("members").alias("main_rows"),
+            F.min_by("shard", "rank").alias("main"), F.max_by("shard", F.when(F.col("rank") <= 2, F.col("rank"))).alias("second"),
+        )
+        hubs = cut_lineage(hubs)
+        outside = hubs.agg(F.sum(F.col("hub_rows") - F.col("main_rows"))).first()[0]
+        gained = least is None or outside < least
+        best, least, stalled = (state, outside, 0) if gained else (best, least, stalled + 1)
+        if not outside or stalled >= STALLED or turn == rounds:
+            break
+        wide = (F.col("hub_rows") * shards * 64 > total) & (F.col("hub_rows") > SMALL_HUB)  # a class must be small against a quota
         group = F.when(wide, _pick(F.col("hub"), F.col("node"), turn)).otherwise(_pick(F.col("hub"), turn))
-        asked = asked.withColumn("class", F.pmod(group, F.lit(CLASSES)).cast("int"))
-        moves = F.col("target") != F.col("shard")
-        held = state.groupBy("shard").agg(F.count("*").alias("held"))
-        room = quota.join(held, "shard", "left").select(F.col("shard").alias("target"), (F.col("quota") - F.coalesce("held", F.lit(0))).alias("room"))
-        wants = asked.where(moves).groupBy("target", "class").agg(F.count("*").alias("wants"))
-        running = Window.partitionBy("target").orderBy("wants", "class")  # at most CLASSES rows a target
-        allowed = wants.withColumn("upto", F.sum("wants").over(running)).join(room, "target").where("upto <= room")
-        allowed = allowed.select("target", "class", F.lit(True).alias("allowed"))
-        decided = asked.join(F.broadcast(allowed), ["target", "class"], "left")  # shards x CLASSES rows at most
-        moved = F.when(F.col("allowed") & moves, F.col("target")).otherwise(F.col("shard"))
-        state = cut_lineage(decided.select("node", "hub", moved.alias("shard")))
-    return state
+        other = ~wide & (F.pmod(_pick(F.col("hub"), turn, "second"), F.lit(2)) == 0) & F.lit(turn > 0)
+        asked = even_join(state, hubs, "hub", "inner").withColumn("target", F.when(other, F.col("second")).otherwise(F.col("main")))
+        asked = asked.select("node", "hub", "shard", "target", F.pmod(group, F.lit(CLASSES)).cast("int").alias("class"))
+        allowed = _allowed(asked.where("target <> shard"), state, quota)
+        decided = cut_lineage(asked.join(F.broadcast(allowed), ["shard", "target", "class"], "left"))
+        cut = decided.where("take < wants")  # one class of a pair of shards at most
+        place = F.row_number().over(Window.partitionBy("shard", "target").orderBy("hub", "node"))
+        cut = cut.withColumn("moves", place <= F.col("take"))
+        moved = decided.where("take is null or take = wants").withColumn("moves", F.col("take").isNotNull()).unionByName(cut)
+        state = cut_lineage(moved.select("node", "hub", F.when(F.col("moves"), F.col("target")).otherwise(F.col("shard")).alias("shard")))
+        turn += 1
+    return best
+
+
+def _allowed(asked: DataFrame, state: DataFrame, quota: DataFrame) -> DataFrame:
+    """(shard, target, class, wants, take): how many of the rows that ask are let in, whole classes but the last.
+
+    Between two shards as many as come back, and what is left while the target has room.
+    """
+    wants = cut_lineage(asked.groupBy("shard", "target", "class").agg(F.count("*").alias("wants")))
+    flows = wants.groupBy("shard", "target").agg(F.sum("wants").alias("flow"))
+    back = flows.select(F.col("target").alias("shard"), F.col("shard").alias("target"), F.col("flow").alias("back"))
+    held = state.groupBy("shard").agg(F.count("*").alias("held"))
+    room = quota.join(held, "shard", "left").select(F.col("shard").alias("target"), (F.col("quota") - F.coalesce("held", F.lit(0))).alias("room"))
+    flows = flows.join(back, ["shard", "target"], "left").join(room, "target")
+    flows = flows.withColumn("matched", F.least("flow", F.coalesce("back", F.lit(0)))).withColumn("rest", F.col("flow") - F.col("matched"))
+    free = F.col("room") - (F.sum("rest").over(Window.partitionBy("target").orderBy("shard")) - F.col("rest"))
+    flows = flows.select("shard", "target", (F.col("matched") + F.greatest(F.lit(0), F.least("rest", free))).alias("limit"))
+    running = Window.partitionBy("shard", "target").orderBy("class")  # at most CLASSES rows a pair
+    upto = wants.withColumn("before", F.sum("wants").over(running) - F.col("wants")).join(flows, ["shard", "target"])
+    take = F.least("wants", F.col("limit") - F.col("before"))
+    return upto.select("shard", "target", "class", "wants", take.alias("take")).where("take > 0")
 
 
 def _within_quota(rows: DataFrame, quota: DataFrame) -> DataFrame:
@@ -94,7 +126,7 @@ def _fill(rows: DataFrame, room: DataFrame) -> DataFrame:
     return rows.join(spans, (F.col("place") >= F.col("begin")) & (F.col("place") < F.col("stop")))
 
 
-def shard_rows(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """Add ``shard`` to rows with a unique ``node`` and a ``hub`` that links rows."""
     spark = rows.sparkSession
     sizes = rows.groupBy("hub").agg(F.count("*").alias("hub_size"))
@@ -114,7 +146,7 @@ def shard_rows(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: doc_id, size (UTF-8 bytes + 1), text_crc32, law, shard, slot, grown_shard (null)."""
     spark = docs.sparkSession

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from postweave.llm import decontaminate, neardup, tokens
+from postweave.llm import decontaminate, neardup, sharding, tokens
 
 
 def brute_groups(texts, similarity=0.8):
@@ -72,3 +72,11 @@ def test_contaminated_rows_go_whatever_their_id(spark):
     items = spark.createDataFrame([("i", item)], "item_id string, text string")
     kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([rows[1], rows[3], rows[4]])
+
+
+def test_groups_stay_whole_where_every_row_has_a_copy(spark):
+    size = 10
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / size)).alias("text"))
+    found = sharding.shard_documents(docs, rounds=5).toPandas()
+    assert set(Counter(found["shard"])) == set(range(8)) and set(Counter(found["shard"]).values()) == {1000}
+    assert (found.groupby(found["doc_id"] // size)["shard"].nunique() == 1).mean() > 0.9
