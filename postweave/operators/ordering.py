@@ -1,6 +1,6 @@
 """Row numbers and neighbours in a total order, without a window over a whole key.
 
-Rows are range-partitioned and sorted once and written to the checkpoint folder, so every later
+Rows are range-partitioned and sorted once and written to the shared folder, so every later
 stage sees the same cut. Only one summary row per chunk (there are as many as shuffle
 partitions) is combined in one place. A key that holds a third of the rows is cut like any
 other stretch of the order.

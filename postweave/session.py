@@ -46,9 +46,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder so that later stages all see the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back, so that later stages all see the same rows.
+
+    The size estimate of what is read comes from the files. A checkpoint would keep the estimate of the
+    plan that it replaces, and joins multiply those: in a loop the number doubles its digits every round.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of tables from :func:`cut_lineage` that no later step reads."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path is not None:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
