@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postweave.llm.rows import field, number_rows
 from postweave.llm.words import byte_classes, slices, tokenize
-from postweave.operators.ordering import number_rows
 from postweave.session import scratch_path
 
 WINDOW = 10
@@ -285,8 +285,8 @@ def contamination(
     return search(index, items, item_col, item_text_col, window, slop)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Rows without a hit, columns as they are. Rows are judged by their number, whatever their ids are."""
     numbered = number_rows(docs)
-    hit = contamination(numbered, items, "_row", **options).where("n_hit > 0")
-    return numbered.join(hit.select(F.col("id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    hit = contamination(numbered.select("_row", field(text_col).alias("text")), items, "_row", "text", **options).where("n_hit > 0")
+    return numbered.join(hit.select(F.col("id").alias("_row")), "_row", "left_anti").select("_doc.*")

@@ -10,6 +10,10 @@ Texts with equal sets are one node; null and empty texts have the empty set and
 cells, all members are first compared with a few of them, round by round; those few are then done with the
 cell. Members that are still in different components are compared pair by pair once few such pairs are
 left, so a large group of near copies takes few comparisons and none is left out.
+
+Very long texts are hashed in stretches; one text's set of shingles (8 bytes a word) is the most that is held at
+once. An empty table gives no rows. Columns other than the two named ones are carried along unread, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postweave.llm.rows import field, number_rows
 from postweave.llm.simhash import components
 from postweave.llm.words import byte_classes, mix, slices, tokenize
 from postweave.operators.joins import even_join
-from postweave.operators.ordering import number_rows
-from postweave.session import cut_lineage, scratch_path
+from postweave.session import cut_lineage, release, scratch_path
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -101,7 +105,7 @@ def _judged(numbered: DataFrame, text_col: str, shingle_words: int) -> DataFrame
                 at += len(texts)
 
     path = scratch_path(numbered.sparkSession, "minima")
-    numbered.select("_row", text_col).mapInArrow(judge, "_row long, node long, n long, cells array<long>").write.parquet(path)
+    numbered.select("_row", field(text_col).alias("text")).mapInArrow(judge, "_row long, node long, n long, cells array<long>").write.parquet(path)
     return numbered.sparkSession.read.parquet(path)
 
 
@@ -113,7 +117,7 @@ def _sets(numbered: DataFrame, named: DataFrame, text_col: str, shingle_words: i
         return pa.array((s.tobytes() for part in slices(texts) for s in shingle_sets(part, shingle_words)), pa.binary())
 
     path = scratch_path(numbered.sparkSession, "shingles")
-    rows = even_join(numbered.select("_row", F.col(text_col).alias("text")), named, "_row", "inner")
+    rows = even_join(numbered.select("_row", field(text_col).alias("text")), named, "_row", "inner")
     rows.select("node", shingles("text").alias("shingles")).write.parquet(path)
     return numbered.sparkSession.read.parquet(path)
 
@@ -146,7 +150,7 @@ def _met(rows: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
 def node_links(shared: DataFrame, sets: DataFrame, similarity: float, pairs_a_node: int = PAIRS_A_NODE) -> DataFrame:
     """(node, root) of the components over all linked nodes that share a cell; ``shared`` has (cell, node, n)."""
     nodes = shared.select("node").distinct().count()
-    state, links, turn = shared.withColumn("root", F.col("node")), None, 0
+    state, linked, turn = shared.withColumn("root", F.col("node")), None, 0
     while True:
         parts = state.groupBy("cell", "root").agg(F.count("*").alias("members"))
         count = F.col("members").cast("double")
@@ -160,20 +164,27 @@ def node_links(shared: DataFrame, sets: DataFrame, similarity: float, pairs_a_no
         last = left <= pairs_a_node * nodes and (turn > 0 or not left)
         if last:
             pairs = _met(rows, rows.where("root <> main"), similarity)
-        else:  # all members of a cell against a few that are not in its largest component
+        else:  # all members of a cell against a few, from the second turn on of those outside its largest component
             order = Window.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(turn)), "node")
             chosen = rows if turn == 0 else rows.where("root <> main")
             chosen = cut_lineage(chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CHOSEN).drop("rank", "main"))
             pairs = _met(rows, chosen, similarity)
         found = _checked(pairs, sets, similarity)
-        links = found if links is None else links.unionByName(found)
-        linked = cut_lineage(components(links))
+        # a star of each component stands for all links found before
+        known = found if linked is None else found.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        settled = components(known)
+        newly = cut_lineage(settled)
+        release(found, linked)
+        linked = newly
         if last:
+            release(state, live)
             return linked
         done = chosen.select(F.col("cell").alias("_cell"), F.col("node").alias("_node"))
-        state = state.join(done, (F.col("cell") == F.col("_cell")) & (F.col("node") == F.col("_node")), "left_anti")
-        state = even_join(state.drop("root"), linked, "node", "left")
-        state = cut_lineage(state.withColumn("root", F.coalesce("root", "node")).select("cell", "node", "n", "root"))
+        rest = state.join(done, (F.col("cell") == F.col("_cell")) & (F.col("node") == F.col("_node")), "left_anti")
+        rest = even_join(rest.drop("root"), linked, "node", "left")
+        rest = cut_lineage(rest.withColumn("root", F.coalesce("root", "node")).select("cell", "node", "n", "root"))
+        release(state, live, chosen)
+        state = rest
         turn += 1
 
 
@@ -202,7 +213,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     numbered = number_rows(docs)
     path = scratch_path(docs.sparkSession, "groups")
     row_groups(numbered, text_col, **options).write.parquet(path)
-    marks = even_join(docs.sparkSession.read.parquet(path), numbered.select("_row", F.col(id_col).alias("id")), "_row", "inner")
+    marks = even_join(docs.sparkSession.read.parquet(path), numbered.select("_row", field(id_col).alias("id")), "_row", "inner")
     best = marks.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_row")).alias("best"))
     gone = even_join(marks, best.select("root", F.col("best._row").alias("best")), "root", "inner").where("_row <> best")
-    return numbered.join(gone.select("_row"), "_row", "left_anti").select(*docs.columns)
+    return numbered.join(gone.select("_row"), "_row", "left_anti").select("_doc.*")

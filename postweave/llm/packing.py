@@ -6,15 +6,20 @@ sequence crosses documents and none is padded; equal lengths form a bucket, and
 drawn from one bucket.
 
 Null text counts as empty: such a document still has its end id. Repeated rows are packed as often
-as they occur. An empty table gives no rows. Columns other than the two named ones are not read.
+as they occur. An empty table gives no rows. Columns other than the two named ones are not read, whatever their
+names. A very long text is cut where its ids are made; its pieces are never copied together again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postweave.llm.tokens import default_tokenizer, ids_udf
+from postweave.llm.tokens import default_tokenizer, encoder
+from postweave.llm.words import slices
 from postweave.operators.ordering import dense_ids
 from postweave.session import scratch_path
 
@@ -44,6 +49,29 @@ def piece_spans(n_tokens: Column, max_length: int = MAX_LENGTH) -> Column:
     return F.concat(longest, F.array_compact(F.array(*digits))) if digits else longest
 
 
+def cut(ids: bytes, max_length: int = MAX_LENGTH) -> Iterator[bytes]:
+    """Pieces of 32-bit ids: the longest ones first, then the binary digits of the rest."""
+    at, left = 0, len(ids) // 4
+    while left:
+        length = min(max_length, 1 << (left.bit_length() - 1))
+        yield ids[4 * at : 4 * (at + length)]
+        at, left = at + length, left - length
+
+
+def pieces_udf(path: str, end_id: int, max_length: int = MAX_LENGTH) -> Callable[[Column], Column]:
+    """text -> its ids and the end id, cut into pieces (binaries of little-endian 32-bit integers)."""
+    if max_length < 1 or max_length & (max_length - 1):
+        raise ValueError("the longest length must be a power of two")
+    tail = end_id.to_bytes(4, "little")
+
+    @F.arrow_udf("array<binary>")
+    def pieces(texts: pa.Array) -> pa.Array:
+        encode = encoder(path).encode
+        return pa.array((list(cut(encode(text) + tail, max_length)) for part in slices(texts) for text in part), pa.list_(pa.binary()))
+
+    return pieces
+
+
 def write_pieces(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
     tokenizer: str | None = None, end_id: int = END_ID, max_length: int = MAX_LENGTH,
@@ -52,13 +80,14 @@ def write_pieces(
 
     Columns: doc_id, start, length, doc_tokens, ids (little-endian 32-bit binary).
     """
-    token_ids = ids_udf(tokenizer or default_tokenizer(), end_id)
-    encoded = docs.select(F.col(id_col).alias("doc_id"), token_ids(F.col(text_col)).alias("ids"))
-    counted = encoded.withColumn("doc_tokens", F.octet_length("ids").cast("long") / 4)
-    counted = counted.withColumn("doc_tokens", F.col("doc_tokens").cast("long"))
-    pieces = counted.select("*", F.explode(piece_spans(F.col("doc_tokens"), max_length)).alias("piece"))
-    cut = F.col("ids").substr((F.col("piece.start") * 4 + 1).cast("int"), (F.col("piece.length") * 4).cast("int"))
-    rows = pieces.select("doc_id", "piece.start", "piece.length", "doc_tokens", cut.alias("ids"))
+    pieces = pieces_udf(tokenizer or default_tokenizer(), end_id, max_length)
+    encoded = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col)).alias("pieces"))
+    sizes = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
+    counted = encoded.withColumn("doc_tokens", F.floor(sizes / 4))
+    piece = F.zip_with(
+        piece_spans(F.col("doc_tokens"), max_length), "pieces", lambda s, ids: F.struct(s["start"].alias("start"), s["length"].alias("length"), ids.alias("ids"))
+    )
+    rows = counted.select("doc_id", "doc_tokens", F.inline(piece)).select("doc_id", "start", "length", "doc_tokens", "ids")
     rows.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 

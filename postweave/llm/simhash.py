@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from postweave.llm.words import slices
 from postweave.operators.joins import even_join
-from postweave.session import cut_lineage, scratch_path
+from postweave.session import cut_lineage, release, scratch_path
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -158,8 +158,10 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = cut_lineage(_star(both, larger=True))
-        edges = cut_lineage(_star(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), larger=False))
+        stars = cut_lineage(_star(both, larger=True))
+        release(edges)
+        edges = cut_lineage(_star(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), larger=False))
+        release(stars)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
         if state == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()

@@ -15,7 +15,8 @@ footer and unpacks whole blocks with numpy.
 Files are named in a manifest that Spark writes; a file that a lost or repeated task attempt left
 behind is not in it and is never read. Files follow each other in ascending order of the document
 id (null first), rows with one id in the order of their text's hash. Null text counts as empty, an
-empty table gives an empty manifest, other columns are not read.
+empty table gives an empty manifest, other columns are not read, whatever their names. A very long text is
+written block by block.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postweave.llm.tokens import default_tokenizer, encoder
+from postweave.llm.words import slices
 from postweave.session import scratch_path
 
 MAGIC = b"PWTOKEN1"
@@ -59,6 +61,9 @@ def unpack_bits(data: bytes, bits: int, n: int) -> np.ndarray:
 
 
 def _open(folder: str):
+    for own in ("s3a://", "s3n://"):  # Spark's names of the store
+        if folder.startswith(own):
+            folder = "s3://" + folder.removeprefix(own)
     return fs.FileSystem.from_uri(folder)
 
 
@@ -160,7 +165,8 @@ def write_token_files(
         store, place = _open(f"{folder}/files")
         writer = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts = (text for part in slices(batch.column(1)) for text in part)
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
                 if writer is None:
                     store.create_dir(place, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"

@@ -56,6 +56,9 @@ class CachedEncoder:
         self.by_stretch = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not parts["normalizer"]
         self.pieces = regex.compile(PIECES).findall
         self.added = [x["content"] for x in parts["added_tokens"]]
+        # an added token without white space and not of letters alone lies in one stretch and is looked for when that is new
+        self.by_stretch &= all(x.split() == [x] and not x.isalpha() and not any(t[k] for k in ("lstrip", "rstrip", "normalized", "single_word"))
+                               for t in parts["added_tokens"] for x in [t["content"]])
         self.limit = cache_entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -87,13 +90,14 @@ class CachedEncoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, stretches: set[str]) -> bool:
-        """Take new stretches into the cache; false if one of them holds other white space."""
+        """Take new stretches into the cache; false if one holds other white space or an added token."""
         young, old = self.young, self.old
         for stretch in stretches:
             known = old.get(stretch)
             if known is None:
                 newline = stretch[:1] == "\n"
-                if (stretch[1:] if newline else stretch).split() != [stretch[newline:]]:
+                word = stretch[newline:]
+                if word.split() != [word] or (not word.isalpha() and any(x in word for x in self.added)):
                     return False
                 # a stretch follows a space unless it begins with a newline
                 known = self._merge(stretch if newline else " " + stretch)
@@ -105,7 +109,7 @@ class CachedEncoder:
         if not text:
             return b""
         head, *stretches = text.replace("\n", " \n").split(" ")
-        if not self.by_stretch or head.split() != [head] or any(x in text for x in self.added):
+        if not self.by_stretch or head.split() != [head] or any(x in head for x in self.added):
             return self._encode([text])[0]
         found = list(map(self.young.get, stretches))
         if None in found:

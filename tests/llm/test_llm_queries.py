@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from check_oracle import compare, connect
 from conftest import SF_DIR
+from test_whole_job import brute_groups
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -181,10 +182,10 @@ def test_pipeline_equals_its_stages_by_hand(spark, documents):
     good = QUERIES["op9_quality"](spark, SF_DIR).where("predicted = 1").select("doc_id").toPandas()
     kept = documents[documents["doc_id"].isin(good["doc_id"])]
     # this table has only texts in the learned languages; the near-duplicates are those of the texts left
-    values = {d.doc_id: brute_simhash(d.text) for d in kept.itertuples()}
-    roots, least = brute_components(set(values.values())), {}
-    for doc_id, value in sorted(values.items()):
-        least.setdefault(roots[value], doc_id)
+    kept = kept.sort_values("doc_id").reset_index(drop=True)
+    least = {}
+    for doc_id, root in zip(kept["doc_id"], brute_groups(list(kept["text"]))):
+        least.setdefault(root, doc_id)
     hit = QUERIES["op5_decontaminate"](spark, SF_DIR).where("contaminated").toPandas()["doc_id"]
     assert set(found["doc_id"]) == set(least.values()) - set(hit)
     whole = QUERIES["op1_packing"](spark, SF_DIR).toPandas()

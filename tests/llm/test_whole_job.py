@@ -56,12 +56,24 @@ def test_near_copies_without_an_id_or_with_a_shared_one(spark):
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(rows[2:])
 
 
+def test_the_stage_on_no_rows_very_long_texts_and_clashing_names(spark):
+    kind = "doc_id long, _row long, _doc string, node long, text string"
+    assert neardup.keep_one(spark.createDataFrame([], kind)).collect() == []
+    long = " ".join(f"w{i % 997}x{i % 31}" for i in range(300_000))
+    rows = [(1, 555, "p", 9, long), (2, 666, "q", 9, long + " end"), (3, 777, "r", 9, "short"), (4, 888, None, 9, None)]
+    kept = neardup.keep_one(spark.createDataFrame(rows, kind)).collect()
+    assert sorted(tuple(r) for r in kept) == [rows[0], rows[2], rows[3]]
+    items = spark.createDataFrame([("i", "short")], "item_id string, text string")
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, kind), items).collect()
+    assert sorted(tuple(r) for r in kept) == [rows[0], rows[1], rows[3]]
+
+
 def test_added_tokens_get_the_ids_of_a_default_tokenizer():
     from tokenizers import Tokenizer
 
     path = tokens.default_tokenizer()
     plain, encoder = Tokenizer.from_file(path), tokens.CachedEncoder(path)
-    for text in ("one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|> <|endoftext", "one two three"):
+    for text in ("one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b\n<|endoftext|> <|endoftext", "one two three", "x y<|endoftext|>", "x\n<|endoftext|>"):
         assert list(np.frombuffer(encoder.encode(text), "<u4")) == plain.encode(text, add_special_tokens=False).ids
     assert len(encoder.encode("one <|endoftext|> two")) == 4 * 4
 
