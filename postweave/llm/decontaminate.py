@@ -156,7 +156,7 @@ def match_shard(row: dict, query: Windows, slop: int = 0) -> tuple[np.ndarray, n
     if not len(alive):
         return none
     table = table[alive]
-    rarity = np.where(table >= 0, counts[table], np.iinfo(np.int64).max)
+    rarity = np.where(table >= 0, counts[np.maximum(table, 0)], np.iinfo(np.int64).max)
     rarest = np.argsort(rarity, axis=1, kind="stable")
     first = np.concatenate(([0], np.cumsum(counts)))
     keys = (np.repeat(np.arange(len(terms)), counts) << 33) + positions  # ascending
