@@ -1,2 +1,2 @@
 """Training-data operators: packing, fingerprints, language, token files, contamination, URLs,
-chat, near-duplicates, quality and sharding. Nothing else in the library imports this package."""
+chat, near-duplicates, quality, sharding, token counts, phrases and repetitions. Nothing else in the library imports this package."""

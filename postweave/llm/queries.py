@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweave.llm import chat, decontaminate, fingerprints, langid, packing, quality, sharding, simhash, tokenfile, urlfilter
+from postweave.llm import (
+    chat, decontaminate, fingerprints, langid, packing, phrases, quality, runs, sharding, simhash, tokencount, tokenfile, urlfilter,
+)
 from postweave.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +102,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.document_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations", phrases.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.document_runs(table(spark, sf_dir, "documents"), plant=True, texts=False)
+    return found.drop("collapsed", "runs")

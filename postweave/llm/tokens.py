@@ -37,6 +37,11 @@ _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _SPACE = chr(BYTE_CHARS[0x20])
 _MARKS = frozenset(".,;:!?")
+SETTLED = "\u0500"  # below it all tables of character kinds agree; above it the tokenizer's own is asked
+
+
+def settled(text: str) -> bool:
+    return text.isascii() or max(text) < SETTLED
 
 
 class CachedEncoder:
@@ -73,6 +78,8 @@ class CachedEncoder:
 
     def _merge(self, stretch: str) -> bytes:
         """Ids of one stretch: its pieces, in the characters that stand for their bytes, through the model."""
+        if not settled(stretch):
+            return self._encode([stretch])[0]
         word = stretch[1:]
         if stretch[:1] == " " and word.isalpha():  # the most common pieces need no pattern
             pieces = [stretch]
