@@ -18,8 +18,7 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the position inside a partit
 
 def ordered_chunks(df: DataFrame, *order: str) -> DataFrame:
     """Add ``_chunk`` and ``_pos``: sorted chunks that follow each other in the given order."""
-    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)  # as many chunks as their size asks for
     place = F.monotonically_increasing_id()
     return cut_lineage(
         ranged.select(
@@ -31,7 +30,11 @@ def ordered_chunks(df: DataFrame, *order: str) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, *order: str, name: str = "internal_id") -> DataFrame:
-    """Number the rows 0..n-1 in the given order (unique keys give one defined numbering)."""
+    """Number the rows 0..n-1 in the given order (unique keys give one defined numbering).
+
+    The rows travel once, in the range exchange, and each row gets a number of its own, also where keys
+    repeat or are null (null comes first).
+    """
     rows = ordered_chunks(df, *order)
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -43,13 +46,6 @@ def dense_ids(df: DataFrame, *order: str, name: str = "internal_id") -> DataFram
     return numbered.select(*df.columns, (F.col("_start") + F.col("_pos")).alias(name))
 
 
-def join_ids(rows: DataFrame, numbered: DataFrame, *order: str, name: str = "internal_id") -> DataFrame:
-    """Add the number that ``numbered`` gives to the order columns; null is a value like any other."""
-    keys = numbered.select(*[F.col(c).alias(f"_key_{c}") for c in order], name)
-    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in order]
-    return rows.join(keys, same).drop(*[f"_key_{c}" for c in order])
-
-
 def with_previous(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
     """Add the value of the row before within the key, as a lag over the whole key would."""
     rows = ordered_chunks(df.withColumn("_value", value), key, *order)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from postweave.functions import vectors as V
 from postweave.functions.text import strip
-from postweave.operators.ordering import dense_ids, join_ids
+from postweave.operators.ordering import dense_ids
 from postweave.session import cut_lineage
 
 # Fixed values.
@@ -131,6 +131,14 @@ def map_ids(rows: DataFrame, id_map: DataFrame) -> DataFrame:
     return joined.withColumn("job_id", F.coalesce("job_id", F.col("internal_id").cast("string")))
 
 
+def map_few_ids(rows: DataFrame, id_map: DataFrame) -> DataFrame:
+    """As :func:`map_ids` for rows of a known small number (the k best): the map stays where it is, and only what
+    its tasks find for these rows is joined."""
+    wanted = rows.select("internal_id")
+    found = id_map.join(F.broadcast(wanted), "internal_id", "left_semi")
+    return map_ids(rows, F.broadcast(found))
+
+
 def vector_profile(index: DataFrame, vec: str = "vec") -> DataFrame:
     """Count and dimension; ``min_dim`` differs from ``max_dim`` when sizes are mixed."""
     size = F.size(vec).cast("bigint")
@@ -142,12 +150,13 @@ def vector_profile(index: DataFrame, vec: str = "vec") -> DataFrame:
 def build_index(rows: DataFrame, vec: str, job_id: Column, *order: str) -> DataFrame:
     """Index table ``(internal_id, job_id, vec float32 unit)`` numbered in the given order.
 
-    ``order`` must be unique. Only these columns are numbered, so vectors are computed once and
-    cross the network once, in the join on the order columns.
+    The vectors cross the network once, in the exchange that numbers them. Rows whose order columns repeat get
+    numbers of their own, in no defined order among them.
     """
     units = l2_normalize(rows, vec, "vec")
-    slim = units.select(*order, job_id.alias("job_id"), V.to_float32(F.col("vec")).alias("vec"))
-    numbered = join_ids(slim, dense_ids(rows.select(*order), *order), *order)
+    keys = {c: f"_order_{i}" for i, c in enumerate(order)}
+    slim = units.select(*[F.col(c).alias(k) for c, k in keys.items()], job_id.alias("job_id"), V.to_float32(F.col("vec")).alias("vec"))
+    numbered = dense_ids(slim, *keys.values())
     internal = F.col("internal_id").cast("string")
     return numbered.select("internal_id", F.coalesce("job_id", internal).alias("job_id"), "vec")
 
@@ -163,16 +172,16 @@ def score_all(corpus: DataFrame, query: DataFrame) -> DataFrame:
 
 def topk(corpus: DataFrame, query: DataFrame, k: int = DEFAULT_TOP_K, key: str = "internal_id") -> DataFrame:
     """Top-k rows for one query: each task keeps k rows, one merge gives ``rank, key, score``."""
-    scored = score_all(corpus.select(key, "vec"), query).select(
-        key, F.round("score", SCORE_DECIMALS).alias("score")
-    )
-    scored = scored.filter(F.col("score").isNotNull() & ~F.isnan("score"))  # no vector or no query: no match
+    scored = score_all(corpus.select(key, "vec"), query)
+    # null: no vector, no query or no number; they rank last, and dropping them after the limit keeps the score in one place
+    rounded = F.round("score", SCORE_DECIMALS)
+    scored = scored.select(key, F.nullif(rounded, F.lit(float("nan"))).alias("score"))
     if k > SMALL_TOP_K:  # too many for one merge: number all rows, best first
-        placed = dense_ids(scored.withColumn("_least", -F.col("score")), "_least", key, name="rank")
+        placed = dense_ids(scored.filter(F.col("score").isNotNull()).withColumn("_least", -F.col("score")), "_least", key, name="rank")
         return placed.filter(F.col("rank") < k).select((F.col("rank") + 1).alias("rank"), key, "score")
-    best = scored.orderBy(F.col("score").desc(), key).limit(k)
-    place = F.row_number().over(Window.orderBy(F.col("score").desc(), key))  # k rows
-    return best.select(place.cast("bigint").alias("rank"), key, "score")
+    best = scored.orderBy(F.col("score").desc_nulls_last(), key).limit(k)
+    place = F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), key))  # k rows
+    return best.select(place.cast("bigint").alias("rank"), key, "score").filter(F.col("score").isNotNull())
 
 
 def topk_many(

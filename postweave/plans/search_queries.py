@@ -277,6 +277,43 @@ def build_index(spark, sf_dir):
     return vector_values(index, "vec", "internal_id", "job_id").select("*", *known)
 
 
+def _earlier(jobs):
+    """The postings as an earlier run saw them: some are not there yet, some had another text, some are gone by now."""
+    number = F.col("seq")
+    title = F.when(number % 10 == 4, F.concat(F.lit("Earlier "), "id")).otherwise(F.col("title"))
+    gone = jobs.filter(number % 25 == 7).withColumn("id", F.concat(F.lit("old-"), "id")).withColumn("seq", number + 0)
+    return jobs.filter(number % 10 != 3).withColumn("title", title).unionByName(gone)
+
+
+_REFRESHED_SQL = f"""WITH {fx.JOBS_SQL}, {TEXT_SQL}, {_hash_sql('v', 'texts', 'seq')}
+SELECT row_number() OVER (PARTITION BY pos ORDER BY k) - 1 AS internal_id, CAST(k AS VARCHAR) AS job_id, pos,
+  round(CAST(CAST(value AS FLOAT) AS DOUBLE), 6) + 0.0 AS value FROM v"""
+
+
+@query("refresh_index", _REFRESHED_SQL)
+def refresh_index(spark, sf_dir):
+    """An index of earlier postings, brought up to all postings: it equals a full build."""
+    prefix = scratch_path(spark, "refreshed-index")
+    jobs = fx.jobs(spark, sf_dir)
+    matching.vectorize_postings(_earlier(jobs), prefix, "documents", ["seq"])
+    matching.refresh_index(jobs, prefix, "documents", ["seq"])
+    return vector_values(vector_store.load_index(spark, prefix)[0], "vec", "internal_id", "job_id")
+
+
+@query(
+    "index_changes",
+    f"""WITH {fx.JOBS_SQL}
+SELECT id AS job_id, CASE WHEN seq % 10 = 3 THEN 'added' WHEN seq % 10 = 4 THEN 'changed' ELSE 'same' END AS change FROM jobs
+UNION ALL SELECT 'old-' || id, 'gone' FROM jobs WHERE seq % 25 = 7""",
+)
+def index_changes(spark, sf_dir):
+    """What a second run of the index finds added, changed, gone and unchanged."""
+    prefix = scratch_path(spark, "changed-index")
+    jobs = fx.jobs(spark, sf_dir)
+    matching.vectorize_postings(_earlier(jobs), prefix, "documents", ["seq"])
+    return matching.refresh_index(jobs, prefix, "documents", ["seq"])
+
+
 _MATCHED_SQL = f"""WITH {fx.JOBS_SQL}, {TEXT_SQL}, {_hash_sql('v', 'texts', 'seq')}, {_hash_sql('b', 'benchmark', 'item_id')},
 s AS (SELECT b.k AS query_id, v.k AS seq, round(SUM(b.value * CAST(CAST(v.value AS FLOAT) AS DOUBLE)), 9) AS score
   FROM b JOIN v USING (pos) GROUP BY 1, 2),

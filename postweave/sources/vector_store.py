@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweave.operators.search import vector_profile
+from postweave.sources import versions
 
 
 def index_meta(index: DataFrame, model_name: str, source: str) -> DataFrame:
@@ -30,20 +32,35 @@ def meta_summary(meta: DataFrame) -> DataFrame:
     return meta.select("num_vectors", "model_name", "dim")
 
 
+def _saved(index: DataFrame, prefix: str, part: str, model_name: str, source: str) -> DataFrame:
+    spark = index.sparkSession
+    index.write.mode("overwrite").parquet(f"{prefix}/vectors{part}")
+    meta = index_meta(spark.read.parquet(f"{prefix}/vectors{part}"), model_name, source)
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{prefix}/meta{part}")
+    return spark.read.parquet(f"{prefix}/meta{part}")
+
+
 def save_index(index: DataFrame, prefix: str, model_name: str, source: str) -> DataFrame:
     """Write ``<prefix>/vectors`` and ``<prefix>/meta``; the metadata is read off the written table."""
-    spark = index.sparkSession
-    index.write.mode("overwrite").parquet(f"{prefix}/vectors")
-    written = spark.read.parquet(f"{prefix}/vectors")
-    meta = index_meta(written, model_name, source)
-    meta.coalesce(1).write.mode("overwrite").parquet(f"{prefix}/meta")
-    return spark.read.parquet(f"{prefix}/meta")
+    meta = _saved(index, prefix, "", model_name, source)
+    if versions.latest(prefix) is not None:
+        versions.publish(prefix, {"part": ""})
+    return meta
+
+
+def save_version(index: DataFrame, prefix: str, model_name: str, source: str) -> DataFrame:
+    """Write a new version of the index beside the one that it may have been made from, then put it in force."""
+    part = f"-{uuid.uuid4().hex}"
+    meta = _saved(index, prefix, part, model_name, source)
+    versions.publish(prefix, {"part": part})
+    return meta
 
 
 def load_index(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors and metadata; both parts must exist."""
+    """Vectors and metadata of the version in force; both parts must exist."""
+    part = (versions.latest(prefix) or {"part": ""})["part"]
     try:
-        return spark.read.parquet(f"{prefix}/vectors"), spark.read.parquet(f"{prefix}/meta")
+        return spark.read.parquet(f"{prefix}/vectors{part}"), spark.read.parquet(f"{prefix}/meta{part}")
     except AnalysisException as error:
         raise FileNotFoundError(f"index or metadata not found for prefix: {prefix}") from error
 
