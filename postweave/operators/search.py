@@ -132,10 +132,10 @@ def map_ids(rows: DataFrame, id_map: DataFrame) -> DataFrame:
 
 
 def map_few_ids(rows: DataFrame, id_map: DataFrame) -> DataFrame:
-    """As :func:`map_ids` for rows of a known small number (the k best): the map stays where it is, and only what
-    its tasks find for these rows is joined."""
-    wanted = rows.select("internal_id")
-    found = id_map.join(F.broadcast(wanted), "internal_id", "left_semi")
+    """As :func:`map_ids` for rows of a known small number (the k best): they are written once, the map stays where
+    it is, and only what its tasks find for these rows is joined."""
+    rows = cut_lineage(rows)
+    found = id_map.join(F.broadcast(rows.select("internal_id")), "internal_id", "left_semi")
     return map_ids(rows, F.broadcast(found))
 
 
@@ -173,15 +173,17 @@ def score_all(corpus: DataFrame, query: DataFrame) -> DataFrame:
 def topk(corpus: DataFrame, query: DataFrame, k: int = DEFAULT_TOP_K, key: str = "internal_id") -> DataFrame:
     """Top-k rows for one query: each task keeps k rows, one merge gives ``rank, key, score``."""
     scored = score_all(corpus.select(key, "vec"), query)
-    # null: no vector, no query or no number; they rank last, and dropping them after the limit keeps the score in one place
-    rounded = F.round("score", SCORE_DECIMALS)
-    scored = scored.select(key, F.nullif(rounded, F.lit(float("nan"))).alias("score"))
+    scored = scored.select(key, F.round("score", SCORE_DECIMALS).alias("score"))
+    # a score is null without a vector or a query, and may be no number; both come last and go after the limit, so
+    # that no filter repeats the product
+    known = F.col("score").isNotNull() & ~F.isnan("score")
     if k > SMALL_TOP_K:  # too many for one merge: number all rows, best first
-        placed = dense_ids(scored.filter(F.col("score").isNotNull()).withColumn("_least", -F.col("score")), "_least", key, name="rank")
+        placed = dense_ids(scored.filter(known).withColumn("_least", -F.col("score")), "_least", key, name="rank")
         return placed.filter(F.col("rank") < k).select((F.col("rank") + 1).alias("rank"), key, "score")
-    best = scored.orderBy(F.col("score").desc_nulls_last(), key).limit(k)
-    place = F.row_number().over(Window.orderBy(F.col("score").desc_nulls_last(), key))  # k rows
-    return best.select(place.cast("bigint").alias("rank"), key, "score").filter(F.col("score").isNotNull())
+    order = [(-F.col("score")).asc_nulls_last(), F.col(key)]
+    best = scored.orderBy(*order).limit(k)
+    place = F.row_number().over(Window.orderBy(*order))  # k rows
+    return best.select(place.cast("bigint").alias("rank"), key, "score").filter(known)
 
 
 def topk_many(
