@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postweave.llm.rows import field, number_rows
 from postweave.llm.words import slices
 from postweave.operators.joins import even_join
 from postweave.session import cut_lineage, release, scratch_path
@@ -199,21 +200,16 @@ def near_duplicates(
     return even_join(rows, by_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Drop all but one row of each component: the one with the smallest id. Columns stay as they are.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component: the one with the smallest id, the first of several; rows without an id come last.
 
-    Rows with a null id cannot be named and stay; a document that comes in several rows stays once.
+    Rows are judged by their number, so rows without an id and ids that come with several texts are judged
+    like others. Columns stay as they are, whatever their names. An empty table stays empty.
     """
-    marks = near_duplicates(docs, id_col, **options)
-    marks = marks.where(F.col("doc_id").isNotNull())
-    spark = docs.sparkSession
-    path = scratch_path(spark, "marks")
-    marks.write.parquet(path)
-    marks = spark.read.parquet(path)
-    gone = marks.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    repeated = marks.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
-    if repeated.limit(1).count():
-        once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col])
-        kept = kept.join(repeated, id_col, "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+    numbered = number_rows(docs)
+    found = near_duplicates(numbered.select("_row", field(text_col).alias("text")), "_row", "text", **options)
+    marks = cut_lineage(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("root")))
+    marks = even_join(marks, numbered.select("_row", field(id_col).alias("id")), "_row", "inner")
+    best = marks.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "_row")).alias("best"))
+    gone = even_join(marks, best.select("root", F.col("best._row").alias("best")), "root", "inner").where("_row <> best")
+    return numbered.join(gone.select("_row"), "_row", "left_anti").select("_doc.*")

@@ -3,65 +3,51 @@
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
+from test_llm_queries import brute_components, brute_simhash
 
 import corpus_pipeline
-from postweave.llm import decontaminate, neardup, sharding, tokens
-
-
-def brute_groups(texts, similarity=0.8):
-    sets = []
-    for text in texts:
-        words = (text or "").encode().lower().split()
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    root = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if 10 * len(a & b) >= round(10 * similarity) * len(a | b):
-                root = [root[j] if r == root[i] else r for r in root]
-    return root
+from postweave.llm import decontaminate, sharding, simhash, tokens
 
 
 def near_copies():
     draw = np.random.default_rng(3)
     texts = [None, "", " \n", "One two", "one  TWO", "Ünï cödé \x00 a"]
-    for size, copies in ((12, 6), (40, 12), (300, 30)):
+    for size, copies in ((12, 6), (300, 12), (3000, 12)):
         base = [f"w{x}" for x in draw.integers(0, 5000, size)]
         for _ in range(copies):
             words = list(base)
-            for at in draw.integers(0, size, draw.integers(0, 1 + size // 25)):
+            for at in draw.integers(0, size, draw.integers(0, 1 + size // 100)):
                 words[at] = f"v{draw.integers(0, 5000)}"
             texts.append(" ".join(words))
     return texts + [" ".join(f"u{x}" for x in draw.integers(0, 5000, 50)) for _ in range(20)]
 
 
-@pytest.mark.parametrize("pairs_a_node", [neardup.PAIRS_A_NODE, 0])
-def test_the_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, pairs_a_node):
-    monkeypatch.setattr(neardup.node_links, "__defaults__", (pairs_a_node,))
+def test_the_stage_keeps_one_of_each_component(spark):
     texts = near_copies()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "").toPandas()
-    least = {}
-    for i, root in enumerate(brute_groups(texts)):
-        least.setdefault(root, i)
-    assert 20 < len(least) < len(texts) - 30
+    values = [brute_simhash(t) for t in texts]
+    roots, least = brute_components(set(values)), {}
+    for i, value in enumerate(values):
+        least.setdefault(roots[value], i)
+    assert 20 < len(least) < len(texts) - 15
     assert sorted(kept["doc_id"]) == sorted(least.values())
 
 
 def test_near_copies_without_an_id_or_with_a_shared_one(spark):
     text, other = "a b c d e f g h", "quite another text of seven words"
     rows = [(None, text), (None, text), (7, other), (7, text), (7, "a third text that is like neither")]
-    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted(rows[2:])
 
 
 def test_the_stage_on_no_rows_very_long_texts_and_clashing_names(spark):
     kind = "doc_id long, _row long, _doc string, node long, text string"
-    assert neardup.keep_one(spark.createDataFrame([], kind)).collect() == []
+    assert simhash.keep_one(spark.createDataFrame([], kind)).collect() == []
     long = " ".join(f"w{i % 997}x{i % 31}" for i in range(300_000))
-    rows = [(1, 555, "p", 9, long), (2, 666, "q", 9, long + " end"), (3, 777, "r", 9, "short"), (4, 888, None, 9, None)]
-    kept = neardup.keep_one(spark.createDataFrame(rows, kind)).collect()
+    rows = [(1, 555, "p", 9, long), (2, 666, "q", 9, long + " "), (3, 777, "r", 9, "short"), (4, 888, None, 9, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, kind)).collect()
     assert sorted(tuple(r) for r in kept) == [rows[0], rows[2], rows[3]]
     items = spark.createDataFrame([("i", "short")], "item_id string, text string")
     kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, kind), items).collect()
