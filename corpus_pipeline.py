@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postweave.llm import decontaminate, langid, neardup, packing, quality
+from postweave.llm import decontaminate, langid, packing, quality, simhash
 from postweave.plans.registry import table
 from postweave.session import scratch_path
 
@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard similarity 0.8 of five-word shingles) stays: the one with the smallest id."""
-    return neardup.keep_one(docs)
+    """One document of each group of SimHash near-duplicates (three-word shingles, three bits) stays: the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
