@@ -20,13 +20,13 @@ ROWS_PER_PAGE = 50
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings from ``documents``, with empty, missing, long and failed records among them.
 
-    The title is the first line, the skills are the last one, summary and notes the whole text.
+    Title and skills come from short columns, summary and notes are the whole text.
     """
     return spread(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id as seq",
         "cast(doc_id as string) as id",
         "case when doc_id % 7 = 0 then '' when doc_id % 11 = 0 then null "
-        "else substring_index(text, '\\n', 1) end as title",
+        "else concat(lang, ' role at ', source) end as title",
         "case when doc_id % 5 = 0 then null else source end as company",
         "source as division",
         "cast(doc_id % 9 as string) as openings",
@@ -42,7 +42,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
                named_struct('key', 'job_summary', 'value', text),
                named_struct('key', 'required_skills', 'value',
                  case when doc_id % 3 = 0 then 'N/A' when doc_id % 4 = 0 then ''
-                      else substring_index(text, '\\n', -1) end),
+                      else concat(lang, ', ', source) end),
                named_struct('key', 'notes', 'value', text)) end as details""",
         "case when doc_id % 13 = 0 then cast(null as array<string>) else array(lang, source) end as status_tags",
         "case when doc_id % 13 = 0 then 'Timeout 60000ms exceeded' end as error",
@@ -53,7 +53,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOBS_SQL = """
 jobs AS (
   SELECT doc_id AS seq, CAST(doc_id AS VARCHAR) AS id,
-    CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
+    CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN NULL ELSE lang || ' role at ' || source END AS title,
     CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS company,
     source AS division, CAST(doc_id % 9 AS VARCHAR) AS openings,
     'City ' || CAST(doc_id % 23 AS VARCHAR) AS city, lang AS level, '2025-01-31' AS deadline,
@@ -63,7 +63,7 @@ jobs AS (
     CASE WHEN doc_id % 13 <> 0 THEN lang END AS d_level,
     CASE WHEN doc_id % 13 <> 0 THEN text END AS d_job_summary,
     CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'N/A' WHEN doc_id % 4 = 0 THEN ''
-         ELSE split_part(text, chr(10), -1) END AS d_required_skills,
+         ELSE lang || ', ' || source END AS d_required_skills,
     CASE WHEN doc_id % 13 <> 0 THEN text END AS d_notes
   FROM documents)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,54 +13,60 @@ from postweave.operators import search
 from postweave.operators.collect import last_wins
 from postweave.operators.flatten import with_posting_text
 from postweave.operators.ordering import dense_ids
-from postweave.sources import vector_store
+from postweave.operators.prefilter import prefilter
 from postweave.session import cut_lineage
+from postweave.sources import vector_store
 from postweave.sources.postings import read_documents
 
 
-def _settled(postings: DataFrame, order: list[str], drop_failed: bool) -> tuple[DataFrame, DataFrame]:
+def _settled(postings: DataFrame, order: list[str], drop_failed: bool, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The texts of all postings, written once with a row number, and the numbered last versions.
 
-    Texts: ``_row, text``. Versions: ``internal_id, job_id, _row, text_hash``, settled and numbered on their keys
+    Texts: ``_row, text``. Versions: ``internal_id, job_id, _row, text_hash`` and the columns to keep, settled and numbered on their keys
     alone. Rows with one key and one order are told apart by the row number; postings without an id all stay.
     """
     spark = postings.sparkSession
     rows = with_posting_text(postings, drop_failed).select(
         F.monotonically_increasing_id().alias("_row"), F.col("id").cast("string").alias("_id"),
-        *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)], "text", F.md5("text").alias("text_hash"),
+        *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)], "text", F.md5("text").alias("text_hash"), *keep,
     )
     texts = cut_lineage(rows)
     places = [c for c in texts.columns if c.startswith("_order_")]
-    keys = texts.select("_row", "_id", *places, "text_hash")
+    keys = texts.drop("text")
     version_key = F.coalesce("_id", F.concat(F.lit("no id\x01"), F.col("_row").cast("string")))
     latest = last_wins(keys.withColumn("_key", version_key), "_key", [*places, "_row"])
-    numbered = dense_ids(latest.select("_row", "_id", *places, "text_hash"), *places, "_row")
+    numbered = dense_ids(latest.drop("_key"), *places, "_row")
     job_id = F.coalesce("_id", F.col("internal_id").cast("string"))
-    return texts.select("_row", "text"), numbered.select("internal_id", job_id.alias("job_id"), "_row", "text_hash")
+    return texts.select("_row", "text"), numbered.select("internal_id", job_id.alias("job_id"), "_row", "text_hash", *keep)
 
 
 def index_postings(
-    postings: DataFrame, order: list[str], encoder=None, batch_size: int = search.ENCODE_BATCH, drop_failed: bool = False
-) -> DataFrame:
+    postings: DataFrame, order: list[str], encoder=None, batch_size: int = search.ENCODE_BATCH, drop_failed: bool = False,
+    keep: Sequence[str] = (),
+) -> DataFrame:
     """Last version of each posting, flattened, encoded and numbered: ``internal_id, job_id, vec, text_hash``.
 
+    ``keep``: flat columns that the index is to hold as well, such as those that rules read.
+
     Versions are settled and numbered on their keys alone. The texts cross the network once, to
     meet their number, and only texts that stay are encoded. Where ``order`` repeats or is null, rows
     still get one number each.
     """
-    texts, numbered = _settled(postings, order, drop_failed)
+    texts, numbered = _settled(postings, order, drop_failed, keep)
     encoded = search.encode(texts.join(numbered, "_row"), "text", encoder, batch_size)
-    return encoded.select("internal_id", "job_id", to_float32(F.col("vec")).alias("vec"), "text_hash")
+    return encoded.select("internal_id", "job_id", to_float32(F.col("vec")).alias("vec"), "text_hash", *keep)
 
 
-def vectorize_postings(postings: DataFrame, prefix: str, source: str, order: list[str], encoder=None) -> DataFrame:
+def vectorize_postings(
+    postings: DataFrame, prefix: str, source: str, order: list[str], encoder=None, keep: Sequence[str] = ()
+) -> DataFrame:
     """Build and write the index; returns its metadata."""
     model = encoder or search.HashingEncoder()
-    return vector_store.save_index(index_postings(postings, order, model), prefix, model.name, source)
+    return vector_store.save_index(index_postings(postings, order, model, keep=keep), prefix, model.name, source)
 
 
 def refresh_index(
-    postings: DataFrame, prefix: str, source: str, order: list[str], encoder=None, drop_failed: bool = False
+    postings: DataFrame, prefix: str, source: str, order: list[str], encoder=None, drop_failed: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Bring the index at ``prefix`` up to the given postings; returns the change of each posting: ``job_id, change``.
 
@@ -70,7 +78,7 @@ def refresh_index(
     model = encoder or search.HashingEncoder()
     old, meta = vector_store.load_index(spark, prefix)
     usable = meta.first().model_name == model.name and "text_hash" in old.columns
-    texts, numbered = _settled(postings, order, drop_failed)
+    texts, numbered = _settled(postings, order, drop_failed, keep)
     numbered = cut_lineage(numbered)
     held = old.select("text_hash", "vec") if usable else old.select(F.lit("").alias("text_hash"), "vec").limit(0)
     held = held.dropDuplicates(["text_hash"])
@@ -79,8 +87,8 @@ def refresh_index(
     fresh = search.encode(texts.join(missing, "_row"), "text", model).select("text_hash", to_float32(F.col("vec")).alias("vec"))
     fresh = cut_lineage(fresh)  # encoded once
     # copies of one text may be many, and the exchanges of this join stand alone, so a hot hash is split
-    index = numbered.select("internal_id", "job_id", "text_hash").join(held.unionByName(fresh), "text_hash")
-    vector_store.save_version(index.select("internal_id", "job_id", "vec", "text_hash"), prefix, model.name, source)
+    index = numbered.drop("_row").join(held.unionByName(fresh), "text_hash")
+    vector_store.save_version(index.select("internal_id", "job_id", "vec", "text_hash", *keep), prefix, model.name, source)
     return index_changes(old, vector_store.load_index(spark, prefix)[0])
 
 
@@ -117,6 +125,13 @@ def match(
     return (search.map_few_ids if k <= search.SMALL_TOP_K else search.map_ids)(best, known).select("rank", "job_id", "score").orderBy("rank")
 
 
+def match_where(
+    index: DataFrame, query: DataFrame, rules: DataFrame | list[tuple[str, str, str]], k: int = search.DEFAULT_TOP_K, **options
+) -> DataFrame:
+    """Matches among the postings that meet the rules; the index has to hold ``FILTER_COLUMNS``."""
+    return match(prefilter(index, rules), query, k, **options)
+
+
 def match_many(index: DataFrame, queries: DataFrame, k: int = search.DEFAULT_TOP_K) -> DataFrame:
     """Matches of many query vectors: ``query_id, rank, job_id, score``."""
     best = search.topk_many(index, search.l2_normalize(queries, "vec"), k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postweave.functions import vectors as V
-from postweave.operators import search
+from postweave.operators import prefilter, search
 from postweave.operators.ordering import dense_ids
 from postweave.plans import fixtures as fx
 from postweave.plans import matching
@@ -314,6 +314,40 @@ def index_changes(spark, sf_dir):
     return matching.refresh_index(jobs, prefix, "documents", ["seq"])
 
 
+_PAY = """case {n} % 6 when 0 then concat('From 2024 on $', 20 + {n} % 15, ' - $', 30 + {n} % 15, '.50 per hour')
+  when 1 then concat('CAD ', 60 + {n} % 9, ',000 to ', 75 + {n} % 9, ',000 a year') when 2 then concat('€', 45 + {n} % 7, '-', 55 + {n} % 7, 'k annually')
+  when 3 then concat('We pay USD ', 3000 + {n} % 4000, ' per month') when 4 then 'Competitive' end"""
+_RULES = [
+    ("location", "in", "City 3"), ("location", "in", "city 8 "), ("location", "in", "city 12"), ("location", "not_in", "City 8"),
+    ("title", "any_word", "EN"), ("title", "any_word", "fr"), ("title", "no_word", "src1"),
+    ("pay", "currency", "usd"), ("pay", "at_least", "60000"), ("pay", "at_most", "90000"),
+]
+
+
+@query(
+    "prefilter_postings",
+    f"""WITH {fx.JOBS_SQL}, {TEXT_SQL}, {_hash_sql('v', 'texts', 'seq')}, {_hash_sql('b', 'benchmark', 'item_id')},
+titled AS (SELECT *, coalesce(nullif(title, ''), d_job_title) AS t,
+  CASE seq % 6 WHEN 0 THEN (20 + seq % 15) * 2080 WHEN 3 THEN (3000 + seq % 4000) * 12 END AS low,
+  CASE seq % 6 WHEN 0 THEN (30.5 + seq % 15) * 2080 WHEN 3 THEN (3000 + seq % 4000) * 12 END AS high FROM jobs),
+kept AS (SELECT seq FROM titled WHERE city IN ('City 3', 'City 12') AND low <= 90000 AND high >= 60000
+  AND (' ' || lower(t) || ' ' LIKE '% en %' OR ' ' || lower(t) || ' ' LIKE '% fr %') AND NOT ' ' || lower(t) || ' ' LIKE '% src1 %'),
+s AS (SELECT v.k AS seq, round(SUM(b.value * CAST(CAST(v.value AS FLOAT) AS DOUBLE)), 9) AS score
+  FROM b JOIN v USING (pos) JOIN kept ON v.k = kept.seq WHERE b.k = (SELECT min(item_id) FROM benchmark) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, seq) AS rank FROM s)
+SELECT rank, CAST(seq AS VARCHAR) AS job_id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 10""",
+)
+def prefilter_postings(spark, sf_dir):
+    """Postings that meet the rules on location, title and pay, the best ten of them for a text."""
+    prefix = scratch_path(spark, "filtered-index")
+    jobs = prefilter.with_filter_columns(fx.jobs(spark, sf_dir), F.expr(_PAY.format(n="seq")))
+    matching.vectorize_postings(jobs, prefix, "documents", ["seq"], keep=prefilter.FILTER_COLUMNS)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    query_row = search.encode(items.orderBy("query_id").limit(1), "text")
+    rules = spark.createDataFrame(_RULES, "field string, test string, value string")
+    return _rounded(matching.match_where(vector_store.load_index(spark, prefix)[0], query_row, rules, 10), "rank", "job_id")
+
+
 _MATCHED_SQL = f"""WITH {fx.JOBS_SQL}, {TEXT_SQL}, {_hash_sql('v', 'texts', 'seq')}, {_hash_sql('b', 'benchmark', 'item_id')},
 s AS (SELECT b.k AS query_id, v.k AS seq, round(SUM(b.value * CAST(CAST(v.value AS FLOAT) AS DOUBLE)), 9) AS score
   FROM b JOIN v USING (pos) GROUP BY 1, 2),
