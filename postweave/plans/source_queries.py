@@ -42,6 +42,22 @@ def scan_jobs_json(spark, sf_dir):
     return _flat(postings.read_jobs_json(spark, path, layout="lines"))
 
 
+LIST_POSTINGS, LIST_RANGE = 100, 1 << 16  # postings a list file, bytes a range
+
+
+@query("scan_jobs_ranges", _FLAT_SQL)
+def scan_jobs_ranges(spark, sf_dir):
+    """List files cut into byte ranges without regard to where postings begin and end."""
+    path = scratch_path(spark, "jobs-lists")
+    jobs = fx.jobs(spark, sf_dir)
+    texts = postings.postings_as_json(jobs)
+    place = F.floor(F.col("id") / LIST_POSTINGS).cast("string")
+    numbered = texts.select("value", F.get_json_object("value", "$.id").cast("bigint").alias("id")).select("value", place.alias("place"))
+    files = numbered.groupBy("place").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]\n")).alias("body"))
+    generated.write_files(files.select(F.concat("place", F.lit(".json")).alias("name"), "body"), path)
+    return _flat(postings.read_jobs_json(spark, path, layout="ranges", range_bytes=LIST_RANGE))
+
+
 @query("sink_snapshot", _FLAT_SQL)
 def sink_snapshot(spark, sf_dir):
     path = scratch_path(spark, "jobs")
@@ -58,6 +74,23 @@ def resume_state(spark, sf_dir):
     return postings.resume_state(spark, path).select("id", collect.succeeded().alias("done"))
 
 
+@query(
+    "resume_rejects",
+    f"""WITH {fx.JOBS_SQL} SELECT CASE WHEN seq % 50 <> 3 THEN id END AS id, seq % 50 <> 3 AND error IS NULL AS done,
+  CASE WHEN seq % 50 = 3 THEN CAST(seq AS VARCHAR) END AS rejected FROM jobs""",
+)
+def resume_rejects(spark, sf_dir):
+    """Saved postings with one broken line in fifty: the others go on, the broken ones are set aside."""
+    path = scratch_path(spark, "broken-resume")
+    jobs = fx.jobs(spark, sf_dir).filter("seq % 50 <> 3")
+    broken = fx.jobs(spark, sf_dir).filter("seq % 50 = 3").select(F.concat(F.lit('{"id": "'), "id", F.lit('", "title": "cut of')).alias("value"))
+    postings.postings_as_json(jobs).unionByName(broken).write.text(path)
+    state, rejects = postings.resume_with_rejects(spark, path)
+    kept = state.select("id", collect.succeeded().alias("done"), F.lit(None).cast("string").alias("rejected"))
+    number = F.regexp_extract("line", '"id": "([0-9]+)"', 1)
+    return kept.unionByName(rejects.select(F.lit(None).cast("string").alias("id"), F.lit(False).alias("done"), number.alias("rejected")))
+
+
 @query("scan_text_docs", "SELECT doc_id, text FROM documents")
 def scan_text_docs(spark, sf_dir):
     path = scratch_path(spark, "texts")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,7 +14,10 @@ from pyspark.sql import functions as F
 from postweave.functions.text import json_string_sql, lambda_sql
 from postweave.operators.documents import FLAT_FIELDS
 from postweave.operators.flatten import other_details
+from postweave.operators.joins import even_join
 from postweave.operators.markup import merge_pairs_sql
+from postweave.session import cut_lineage
+from postweave.sources import json_lists
 from postweave.sources.generated import open_store
 
 _REPLACEMENT = "\ufdd0\ufdd1\ufdd0"  # stands for U+FFFD meanwhile; no characters that texts hold
@@ -56,26 +60,46 @@ def _shape(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_jobs_json(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
+def read_jobs_json(
+    spark: SparkSession, path: str, layout: str = "array", range_bytes: int = json_lists.RANGE_BYTES
+) -> DataFrame:
     """Postings from JSON.
 
     ``array``: each file is one JSON list; a file that holds anything else is an error.
+    ``ranges``: the same for lists of any size, each read in byte ranges by many tasks.
     ``lines``: one posting per line, which Spark can split and read at any size.
-    A missing path is an error in both.
+    A missing path is an error in all.
     """
     if layout == "lines":
         return _shape(spark.read.schema(_RAW).json(path))
+    if layout == "ranges":
+        return _shape(_parsed(json_lists.read_objects(spark, path, range_bytes)))
+    if layout != "array":
+        raise ValueError(f"no such layout: {layout}")
     message = F.lit("expected the jobs file to hold a JSON list of postings")
     checked = _listed(spark, path).select(F.coalesce("jobs", F.raise_error(message)).alias("jobs"))
     return _shape(checked.select(F.inline("jobs")))
 
 
-def _listed(spark: SparkSession, path: str) -> DataFrame:
-    """The list of postings in each file, null where a file holds anything else."""
-    files = spark.read.text(path, wholetext=True)
+def _parsed(objects: DataFrame) -> DataFrame:
+    """JSON objects (``value``) to raw postings; one that is broken is an error."""
+    record = F.from_json("value", _RAW + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    found = objects.select(record.alias("job"))
+    broken = F.raise_error(F.lit(json_lists.NOT_A_LIST)).cast("string")
+    first = FLAT_FIELDS[0]
+    checked = F.when(F.col("job._corrupt_record").isNotNull(), broken).otherwise(F.col(f"job.{first}"))
+    return found.select(checked.alias(first), *[f"job.{f}" for f in FLAT_FIELDS[1:]], "job.details")
+
+
+def _lists_in(texts: DataFrame) -> DataFrame:
+    """The list of postings in each text (``value``), null where a text holds anything else."""
     fields = _RAW.replace(" string", ":string")
     listed = F.from_json("value", f"array<struct<{fields}>>")
-    return files.select(F.when(F.ltrim("value").startswith("["), listed).alias("jobs"))
+    return texts.withColumn("jobs", F.when(F.ltrim("value").startswith("["), listed))
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    return _lists_in(spark.read.text(path, wholetext=True)).select("jobs")
 
 
 def _details_json() -> Column:
@@ -115,21 +139,49 @@ def write_snapshot(postings: DataFrame, path: str, fmt: str = "parquet") -> None
         postings.write.mode("overwrite").format(fmt).save(path)
 
 
-def resume_state(spark: SparkSession, path: str) -> DataFrame:
-    """Earlier results to go on from: one posting per line, or one JSON list per file.
+def resume_with_rejects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Earlier results to go on from, and what could not be read of them: ``path, line``.
 
-    A missing or corrupt file means an empty start.
+    Files hold one posting per line or one JSON list. A broken line is rejected and the others count; of a list
+    file that is broken nothing counts, and its reject has no line. A missing path gives two empty tables. The
+    input is read once; only files with a line that is no posting are looked at again, in the tasks.
     """
-    empty = spark.createDataFrame([], _POSTING)
+    rejects = "path string, line string"
     try:
         raw = spark.read.schema(_RAW + ", _corrupt_record string").json(path)
     except AnalysisException:
-        return empty
-    broken = raw.select("id", "_corrupt_record").filter(F.col("_corrupt_record").isNotNull())
-    if not broken.take(1):
-        return _shape(raw.drop("_corrupt_record"))
-    listed = _listed(spark, path)
-    return empty if listed.filter("jobs is null").take(1) else _shape(listed.select(F.inline("jobs")))
+        return spark.createDataFrame([], _POSTING), spark.createDataFrame([], rejects)
+    rows = cut_lineage(raw.select("*", F.col("_metadata.file_path").alias("_path")))
+    bad = F.col("_corrupt_record").isNotNull()
+    suspects = rows.filter(bad).select(F.col("_path").alias("path")).distinct()
+    # a pretty-printed list has a broken line for each of its own, so its whole text decides
+    heads = suspects.mapInArrow(_read_lists, "path string, value string")
+    lists = cut_lineage(_lists_in(heads.filter("value is not null")).select("path", "jobs"))
+    of_list = lists.select(F.col("path").alias("_path"))
+    lines = even_join(rows, of_list.withColumn("_listed", F.lit(True)), "_path", "left").filter("_listed is null")
+    good = lines.filter(~bad).select(*[c.strip().split(" ")[0] for c in _RAW.split(",")])
+    whole = lists.filter("jobs is not null").select(F.inline("jobs"))
+    broken_lists = lists.filter("jobs is null").select("path", F.lit(None).cast("string").alias("line"))
+    broken_lines = lines.filter(bad).select(F.col("_path").alias("path"), F.col("_corrupt_record").alias("line"))
+    return _shape(good.unionByName(whole)), broken_lines.unionByName(broken_lists)
+
+
+def resume_state(spark: SparkSession, path: str) -> DataFrame:
+    """Earlier results to go on from; see :func:`resume_with_rejects`."""
+    return resume_with_rejects(spark, path)[0]
+
+
+def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of those files that begin like a list, null for the others."""
+    for batch in batches:
+        for place in batch.column(0).to_pylist():
+            store, path = open_store(unquote(place))
+            with store.open_input_stream(path) as stream:
+                head = b""
+                while not head and (block := stream.read(1 << 16)):
+                    head = block.lstrip(b" \t\r\n")
+                text = (head + stream.read()).decode("utf-8", "replace") if head[:1] == b"[" else None
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.string()), pa.array([text], pa.string())], names=["path", "value"])
 
 
 def read_documents(
