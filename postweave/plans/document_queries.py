@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from postweave.functions.text import WHITESPACE
 from postweave.operators import documents as docs
-from postweave.operators import flatten, manifest
+from postweave.operators import flatten, generation, manifest
 from postweave.plans import fixtures as fx
 from postweave.plans import preparing
 from postweave.plans.registry import query, table
 from postweave.plans.source_queries import presence_table
 from postweave.session import scratch_path
+from postweave.sources import file_sink
+from postweave.sources.postings import read_documents
 
 OUT_DIR = "/out/personalized"
 # The two base templates of the test plans.
@@ -376,3 +378,51 @@ def plan_uploads(spark, sf_dir):
         "job_id", file("resume_path").alias("resume_file"), file("cover_path").alias("cover_file"),
         "resume_name", "cover_name", "application", "resume_action", "cover_action",
     )
+
+
+# ---- generation that goes on, files as versions -------------------------------------------------
+
+
+def _moody(refused: int):
+    """A generator that measures its prompts and refuses those of every ``refused``-th posting (remainder 7)."""
+
+    def generate(prompts: list[str], temperature: float, max_tokens: int) -> list[str]:
+        import re
+
+        if any(int(re.match(r"Job (\d+)", p)[1]) % refused == 7 for p in prompts):
+            raise ValueError("refused")
+        return [f"{len(p)} characters" for p in prompts]
+
+    return generate
+
+
+@query(
+    "saved_generation",
+    f"""WITH {fx.JOBS_SQL} SELECT id, CASE WHEN seq % 100 <> 7 THEN length('Job ' || id || chr(10) || coalesce(d_job_summary, '')) || ' characters' END AS reply,
+  CASE WHEN seq % 100 = 7 THEN 'ValueError: refused' END AS error FROM jobs""",
+)
+def saved_generation(spark, sf_dir):
+    """One prompt in fifty fails; the second run asks for those only, and half of them come."""
+    store = scratch_path(spark, "replies")
+    jobs = fx.jobs(spark, sf_dir)
+    summary = F.coalesce(flatten.detail(F.col("details"), "job_summary"), F.lit(""))
+    prompts = jobs.select("id", F.concat(F.lit("Job "), "id", F.lit("\n"), summary).alias("prompt"))
+    generation.generate_saved(prompts, store, _moody(50), "test")
+    return generation.generate_saved(prompts, store, _moody(100), "test").select("id", "reply", "error")
+
+
+@query(
+    "sink_versions",
+    f"""WITH {fx.JOBS_SQL} SELECT id || '.tex' AS name,
+  CASE WHEN seq % 3 = 0 THEN 'second ' ELSE 'first ' END || level || chr(10) || coalesce(d_job_summary, '') AS body FROM jobs""",
+)
+def sink_versions(spark, sf_dir):
+    """Files of two versions: the second writes a third of the names again."""
+    root = scratch_path(spark, "versions")
+    jobs = fx.jobs(spark, sf_dir)
+    text = F.concat("level", F.lit("\n"), F.coalesce(flatten.detail(F.col("details"), "job_summary"), F.lit("")))
+    files = jobs.select("seq", F.concat("id", F.lit(".tex")).alias("name"), text.alias("text"))
+    file_sink.write_version(files.select("name", F.concat(F.lit("first "), "text").alias("body")), root)
+    again = files.filter("seq % 3 = 0").select("name", F.concat(F.lit("second "), "text").alias("body"))
+    found = file_sink.write_version(again, root)
+    return read_documents(spark, root, wanted=found.select("path")).join(found, "path").select("name", F.col("text").alias("body"))
