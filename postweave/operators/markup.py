@@ -219,12 +219,28 @@ def _outer_tables(html: str) -> str:
     step = f"named_struct('depth', {depth}, 'parts', concat(s.parts, array({masked})))"
     zero = "named_struct('depth', -1, 'parts', cast(array() as array<string>))"
 
-    def walked(page: str) -> str:
-        pieces = f"split({page}, {literal(_TABLE_EDGE)})"
+    def walked(part: str) -> str:
+        pieces = f"split({part}, {literal(_TABLE_EDGE)})"
         return f"aggregate({pieces}, {zero}, (s, p) -> {step}, s -> array_join(s.parts, ''))"
 
+    # From one result row to the next no table stays open unless its end is missing, so each such stretch stands
+    # alone and only those with a table in them are walked.
+    opens, ends = literal(r"(?i)<table\b"), literal(r"(?i)</table\b")
+    row = literal("(?is)^" + _ROW_START)
+
+    def of_page(page: str) -> str:
+        stretches = f"split({page}, {literal('(?is)(?=' + _ROW_START + ')')})"
+
+        def joined(parts: str) -> str:
+            has_table = lambda x: f"rlike({x}, {opens}) and rlike({x}, {row})"
+            closed = lambda_sql("forall", parts, lambda x: f"not ({has_table(x)}) or regexp_count({x}, {opens}) <= regexp_count({x}, {ends})")
+            each = lambda_sql("transform", parts, lambda x: f"if({has_table(x)}, {walked(x)}, {x})")
+            return f"if({closed}, array_join({each}, ''), {walked(page)})"
+
+        return let_sql(stretches, joined)
+
     several = literal(r"(?is)<table\b.*<table\b")
-    return let_sql(html, lambda page: f"if(rlike({page}, {several}), {walked(page)}, {page})")
+    return let_sql(html, lambda page: f"if(rlike({page}, {several}), {of_page(page)}, {page})")
 
 
 # ---- token table ---------------------------------------------------------------------------

@@ -109,11 +109,13 @@ def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _list_pages(rows: DataFrame, path: str) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x.row), "\n")
     start = '<html><body><table><thead><tr class="head"><th>Id</th></tr></thead><tbody>'
-    return rows.groupBy("page_id").agg(body.alias("body")).select(
+    pages = rows.groupBy("page_id").agg(body.alias("body")).select(
         "page_id",
         F.concat(F.lit(f"https://portal.example{path}?page="), F.col("page_id")).alias("url"),
         F.concat(F.lit(start), "body", F.lit("</tbody></table></body></html>")).alias("html"),
     )
+    # pages are small and parsing them is not: dealt out as the files of a page table would be
+    return pages.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
