@@ -29,6 +29,7 @@ from postweave.llm.words import batches_of, slices
 
 SAMPLE_ROWS = 32
 SAMPLE_BYTES = 24_000
+MODEL_BYTES = 1 << 29  # of all languages' tables, which every worker holds
 BLOCK = 256
 UNKNOWN = "und"
 KNOWN_BITS = 6.0  # a text that takes more bits a byte in every language is in none of them
@@ -147,7 +148,8 @@ def judge(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
         best = found.argmin(axis=1)
         bits = found[np.arange(len(texts)), best]
         size = np.array([len(c) for c in clean])
-        # share of the winner if each language's probability were 2 ** -bits of a text a tenth as long
+        # share of the winner if each language's probability were 2 ** -bits of a text a tenth as long (neighbouring
+        # phrases are not independent), and of 500 bytes at most, as beyond that every share would be 0 or 1
         share = np.exp2((bits[:, None] - found) * np.minimum(size, 500)[:, None] / 10)
         score = np.where(size > 0, 1 / share.sum(axis=1), 0.0)
         bits = np.where(size > 0, bits, np.inf)
@@ -156,31 +158,49 @@ def judge(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray,
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Build the automata from a bounded sample of the rows that are not held out."""
+    """Build the automata from a bounded sample of the rows that are not held out.
+
+    Of each language the ``sample_rows`` rows with a letter whose ids have the smallest hash, together about
+    ``sample_bytes`` characters: short texts whole, of longer ones a stretch from a hashed place; what short texts leave
+    goes to the others. The driver gets lengths, then the stretches.
+    """
     spark = docs.sparkSession
-    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")  # limited per task first
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows)
-    ids = chosen.select("id").distinct().toPandas()  # at most sample_rows a language
-    if not len(ids):
+    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).rlike(r"\p{L}"))
+    known = known.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
+    )
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text_hash")  # limited per task first
+    keys = known.select("id", "text_hash", "lang", F.char_length("text").alias("n"))
+    chosen = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows).toPandas()
+    if not len(chosen):
         return build({})
-    small = F.broadcast(spark.createDataFrame(ids, docs.select(F.col(id_col).alias("id")).schema))
-    part = F.col(text_col).substr(1, sample_bytes)  # of a sampled row never more is used
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), part.alias("text")).join(small, "id")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    texts = texts.where("lang is not null and text is not null").withColumn("rank", F.row_number().over(order))
-    sample = texts.where(F.col("rank") <= sample_rows).toPandas().sort_values(["lang", "rank"])
-    samples = {}
-    for lang, rows in sample.groupby("lang"):
-        clean = [normalise(t) for t in rows["text"]]
-        share = sample_bytes // len(clean)
-        samples[lang] = b" ".join(c[:share] for c in clean if c)
-    return build(samples)
+    chosen["take"] = 0
+    for _, rows in chosen.groupby("lang"):
+        chosen.loc[rows.index, "take"] = _shares(rows["n"].to_numpy(), sample_bytes)
+    kind = known.select("id").schema[0].dataType.simpleString()
+    rows = list(chosen[["id", "text_hash", "lang", "rank", "take"]].itertuples(index=False, name=None))
+    small = F.broadcast(spark.createDataFrame(rows, f"id {kind}, text_hash long, lang string, rank int, take int"))
+    # both counted from 1; the same rows as above by id, language and text
+    begin = F.pmod(F.xxhash64("id", "text_hash"), F.char_length("text") - F.col("take") + 1).cast("int") + 1
+    texts = known.join(small, ["id", "text_hash", "lang"]).select("lang", "rank", F.col("text").substr(begin, F.col("take")).alias("text"))
+    sample = texts.dropDuplicates(["lang", "rank"]).toPandas().sort_values(["lang", "rank"])
+    return build({lang: b" ".join(filter(None, map(normalise, rows["text"]))) for lang, rows in sample.groupby("lang")})
+
+
+def _shares(sizes: np.ndarray, total: int) -> np.ndarray:
+    """How much of each text is taken: all of the short ones, and of the others as much as fills the total evenly."""
+    taken, left = np.zeros(len(sizes), np.int64), total
+    for place, i in enumerate(np.argsort(sizes, kind="stable").tolist()):
+        taken[i] = min(int(sizes[i]), left // (len(sizes) - place))
+        left -= taken[i]
+    return taken
 
 
 def language_udf(docs: DataFrame, model: Model):
     """text -> struct(lang, score, bits)."""
+    size = sum(t.nbytes for t in model.tables)
+    if size > MODEL_BYTES:
+        raise ValueError(f"the {len(model.names)} languages' tables take {size} bytes, more than every worker may hold")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double, bits: double>")

@@ -1,14 +1,15 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
 Each word class has a fixed sparse random index vector. A word's vector is the sum of the index
-vectors of its neighbours over the sample (random indexing). A document is the mean of its words' vectors and
+vectors of its neighbours over all documents (random indexing). A document is the mean of its words' vectors and
 the mean of its words' shapes (capitals, length, punctuation, line ends, repetition). A network with one
 hidden layer turns that into a probability; its temperature is fitted on rows it was not trained on.
 
-The fit uses a bounded sample: at most ``SAMPLE_ROWS`` labelled rows of each class, those with the
-smallest hash of their id. The classes' sizes in all labels correct the sample's. Labels,
+The word vectors are gathered from every document: each task adds its texts up in one matrix of fixed size, and the
+matrices are added block by block. The network is fitted on a bounded sample: at most ``SAMPLE_ROWS`` labelled rows of
+each class, those with the smallest hash of their id. The classes' sizes in all labels correct the sample's. Labels,
 languages, sources and ids are no inputs. Null and empty texts have no words and score by the zero
-vector. With labels of one class only that class' share is the score; without any it is one half.
+vector; very long ones are read in stretches. Columns other than the named ones are not read, whatever their names. With labels of one class only that class' share is the score; without any it is one half.
 Repeated labels count once (the lower one), repeated documents are all scored, an empty table gives no rows.
 """
 
@@ -27,6 +28,7 @@ from postweave.llm.words import byte_classes, slices, tokenize
 
 SAMPLE_ROWS = 2000  # of each class
 SAMPLE_PARTS = 8
+SUM_BLOCKS = 32  # parts of the matrix of sums, added apart from each other
 WORDS = 1 << 14  # word classes, by hash
 SHAPES = 48
 DIM = 48
@@ -157,6 +159,36 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
+def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Unit vectors of all word classes and shapes, from the neighbours in all documents."""
+
+    def add_texts(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        total = np.zeros((WORDS + SHAPES, DIM))
+        for batch in batches:
+            for part in slices(batch.column(0)):
+                total += context_sums(part)
+        parts = [x.tobytes() for x in np.array_split(total, SUM_BLOCKS)]
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(SUM_BLOCKS), pa.int32()), "sums": pa.array(parts, pa.binary())})
+
+    def add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(sums.as_py())
+                totals[block] = totals[block] + found if block in totals else found
+        if totals:
+            columns = {"block": pa.array(list(totals), pa.int32()), "sums": pa.array([x.tobytes() for x in totals.values()], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    # a matrix for each core rather than for each file split, as that is what travels
+    read = docs.select(F.col(text_col).alias("text")).coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    added = read.mapInArrow(add_texts, "block int, sums binary").repartition(SAMPLE_PARTS, "block")
+    found = added.mapInArrow(add_blocks, "block int, sums binary").toPandas().sort_values("block")  # one matrix
+    if not len(found):
+        return np.zeros((WORDS + SHAPES, DIM), np.float32)
+    return _unit(np.concatenate([np.frombuffer(x).reshape(-1, DIM) for x in found["sums"]])).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model | float:
     """Fit on a bounded sample of the labelled rows that are not held out."""
     spark = docs.sparkSession
@@ -173,17 +205,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most 2 x sample_rows ids, so they may be broadcast; copies of one id are ordered by hash
     rows = read.join(F.broadcast(ids), "id").withColumn("hash", F.xxhash64("text")).dropDuplicates(["id"])
-    rows = rows.coalesce(SAMPLE_PARTS).sortWithinPartitions("id")  # each part sends one matrix of sums
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        total = np.zeros((WORDS + SHAPES, DIM), np.float32)
-        for batch in batches:
-            for part in slices(batch.column("text")):
-                total += context_sums(part)
-        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+    rows = rows.coalesce(SAMPLE_PARTS).sortWithinPartitions("id")
 
-    sums = rows.select("text").mapInArrow(add_up, "sums binary").toPandas()["sums"]  # SAMPLE_PARTS rows
-    vectors = _unit(sum((np.frombuffer(s, np.float32).reshape(-1, DIM) for s in sums), np.zeros((WORDS + SHAPES, DIM), np.float32)))
+    vectors = word_vectors(docs, text_col)
     words, shapes = vectors[:WORDS], _unit(vectors[WORDS:]) + index_vectors()[WORDS:]
     parts = spark.sparkContext.broadcast((words, shapes))
 

@@ -226,3 +226,47 @@ def test_collocations_equal_sql_on_skewed_rows(spark):
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
     assert compare(phrases.collocations(docs, map_bits=1 << 16), con, phrases.SQL) is None
+
+
+def test_word_vectors_equal_sums_by_hand(spark):
+    from postweave.llm import quality
+
+    texts = [None, "", "One two, two! three\nfour", "two three Two", "alone"] + ["word " * 30] * 3
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, sums string").repartition(3)
+    index = quality.index_vectors().astype(float)
+    sums = np.zeros_like(index)
+    pools = []
+    for text in texts:
+        read = [(w, quality.WORDS + s) for _, words, shapes in quality._read([text]) for w, s in zip(words.tolist(), shapes.tolist())]
+        own = [index[w] + index[s] for w, s in read]
+        for i, keys in enumerate(read):
+            around = sum((own[j] for j in range(max(0, i - quality.REACH), min(len(read), i + quality.REACH + 1)) if j != i), np.zeros(quality.DIM))
+            for key in keys:
+                sums[key] += around
+        pools.append(read)
+    expected = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
+    found = quality.word_vectors(docs)
+    assert np.allclose(found, expected, atol=1e-5) and np.abs(found).sum() > 0
+    words, shapes = found[: quality.WORDS], found[quality.WORDS :]
+    by_hand = [
+        np.concatenate([np.mean([words[w] for w, _ in read], axis=0), np.mean([shapes[s - quality.WORDS] for _, s in read], axis=0)])
+        if read else np.zeros(2 * quality.DIM) for read in pools
+    ]
+    assert np.allclose(quality.pooled(texts, words, shapes), by_hand, atol=1e-4)
+    assert not quality.word_vectors(docs.limit(0)).any()
+
+
+def test_languages_are_learned_from_rows_with_letters(spark):
+    from postweave.llm import langid
+
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, None if i % 3 else " 12 ", "xx") for i in ids[:200]]  # most rows of a language say nothing
+    rows += [(i, "zaz zuz zozo zizi " * 20, "xx") for i in ids[200:204]] + [(i, "bab bub bobo " * 30, "yy") for i in ids[204:240]]
+    rows += [(i, None, "none") for i in ids[240:260]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample_rows=5, sample_bytes=400)
+    assert model.names == ["xx", "yy"]
+    names, _, _ = langid.judge(["zozo zuz zizi", "bobo bub bab", "123", None], model)
+    assert names == ["xx", "yy", "und", "und"]
+    assert list(langid._shares(np.array([10, 500, 30, 500]), 400)) == [10, 180, 30, 180]
+    assert langid.fit(docs.limit(0)).names == []
