@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from postweave.operators import collect, flatten
 from postweave.plans import fixtures as fx
-from postweave.plans.registry import query, table
+from postweave.plans.registry import ORACLES, query, table
+from postweave.session import scratch_path
+from postweave.streaming import attempts, progress
 
 CAP = 500
 RUN_LENGTH = 2
@@ -84,6 +86,30 @@ def failure_runs(spark, sf_dir):
     return collect.failure_runs(table(spark, sf_dir, "events"), "user_id", _LOG, _failed(), RUN_LENGTH)
 
 
+def _followed(spark, sf_dir):
+    """The events in three sessions, each followed as it comes."""
+    events = table(spark, sf_dir, "events")
+    cuts = events.select(F.percentile_approx("ts", [0.3, 0.7]).alias("cuts")).first().cuts
+    folder, sink, marks = (scratch_path(spark, n) for n in ("sessions", "changes", "changes-marks"))
+    session = F.when(F.col("ts") < cuts[0], 0).when(F.col("ts") < cuts[1], 1).otherwise(2)
+    for number in range(3):
+        events.filter(session == number).write.mode("append").parquet(folder)
+        log = progress.posting_stream(spark, folder, events.schema)
+        changes = attempts.follow(log, "user_id", _LOG, _failed(), F.col("props"), at_least=RUN_LENGTH)
+        attempts.collect_changes(changes, sink, marks)
+    return sink
+
+
+@query("followed_attempts", ORACLES["resolve_attempts"])
+def followed_attempts(spark, sf_dir):
+    return attempts.saved_attempts(spark, _followed(spark, sf_dir), "user_id")
+
+
+@query("followed_runs", ORACLES["failure_runs"])
+def followed_runs(spark, sf_dir):
+    return attempts.saved_runs(spark, _followed(spark, sf_dir), "user_id", "event_id")
+
+
 @query(
     "page_advance",
     """WITH p AS (SELECT user_id, event_id, event_type AS first_key,
