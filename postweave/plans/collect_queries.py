@@ -8,6 +8,7 @@ from postweave.operators import collect, flatten
 from postweave.plans import fixtures as fx
 from postweave.plans.registry import ORACLES, query, table
 from postweave.session import scratch_path
+from postweave.sources import collection_store
 from postweave.streaming import attempts, progress
 
 CAP = 500
@@ -48,6 +49,18 @@ def incremental_new(spark, sf_dir):
     return collect.only_new(_found(spark, sf_dir), _finished(spark, sf_dir))
 
 
+@query("incremental_saved", f"{_SPLIT} SELECT id FROM new")
+def incremental_saved(spark, sf_dir):
+    """As ``incremental_new``, against a saved collection that stays in its buckets."""
+    path = scratch_path(spark, "collection")
+    name = "saved_" + path.rsplit("-", 1)[1]
+    done = _finished(spark, sf_dir)
+    first = F.col("id") % 3 == 0
+    collection_store.save_collection(done.filter(first), name, path)
+    collection_store.save_collection(done.filter(~first), name, path, mode="append")
+    return collection_store.only_unsaved(_found(spark, sf_dir), name)
+
+
 @query(
     "resolve_attempts",
     """WITH a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postweave.functions import vectors as V
-from postweave.operators import prefilter, search
+from postweave.operators import cells, prefilter, search
 from postweave.operators.ordering import dense_ids
 from postweave.plans import fixtures as fx
 from postweave.plans import matching
@@ -238,6 +238,16 @@ def match_batch(spark, sf_dir):
     return _rounded(found, "query_id", "rank", "internal_id")
 
 
+@query("match_cells", _top_sql("true", TOP_K, "q.vec_id % 50 = 0"))
+def match_cells(spark, sf_dir):
+    """As ``match_batch``, over an index in cells of which those are left out that cannot win."""
+    units = _units(spark, sf_dir)
+    prefix = scratch_path(spark, "cells")
+    cells.write_cells(units.select("internal_id", "vec"), prefix)
+    queries = units.filter("internal_id % 50 = 0").select(F.col("internal_id").alias("query_id"), "vec")
+    return _rounded(cells.search_cells(spark, prefix, queries, TOP_K), "query_id", "rank", "internal_id")
+
+
 MATCH_SQL = f"""WITH {UNIT_SQL},
 m AS (SELECT {_BLEND.format(q="q.vec", c="c.vec", w="0.2")} AS mixed FROM unit q, unit c
   WHERE q.vec_id = 0 AND c.vec_id = 1),
