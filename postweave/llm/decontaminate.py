@@ -17,7 +17,9 @@ Items travel to the tasks in blocks of at most ``BLOCK_WORDS`` words, as many bl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -201,17 +203,34 @@ def _judge(row: dict, query: Windows, slop: int) -> dict:
     return {"n_hit": n_hit, "items": items, "spans": spans}
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """Items, a block of bounded size at a time (characters, a word being two at least with its gap)."""
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
+
+
+def _stretches(text: str, window: int, words: int) -> Iterator[str]:
+    """A long text as stretches that hold each of its windows once: ``words`` begin in each, the last ones overlap."""
+    found = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(_LOWER))]
+    for first in range(0, max(1, len(found) - window + 1), words):
+        part = found[first : first + words + window - 1]
+        if part:
+            yield text[part[0][0] : part[-1][1]]
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[str, str]]]:
+    """Items, a block of bounded size at a time (characters, a word being two at least with its gap).
+
+    An item that would be too large for a block is dealt with in stretches.
+    """
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = rows.where(F.col("item").isNotNull()).distinct()
     block, size = [], 0
     for row in rows.orderBy("item", "text").toLocalIterator():
-        if block and size + len(row["text"]) > 2 * block_words:
-            yield block
-            block, size = [], 0
-        block.append((row["item"], row["text"]))
-        size += len(row["text"])
+        long = len(row["text"]) > 2 * block_words
+        for text in _stretches(row["text"], window, max(1, block_words // 8)) if long else [row["text"]]:
+            if block and size + len(text) > 2 * block_words:
+                yield block
+                block, size = [], 0
+            block.append((row["item"], text))
+            size += len(text)
     yield block
 
 
@@ -232,8 +251,8 @@ def search(
     if not 0 <= slop < GAP:
         raise ValueError(f"the slop must be below {GAP}")
     context = index.sparkSession.sparkContext
-    found = None
-    for block in _blocks(items, id_col, text_col, block_words):
+    parts: list[DataFrame] = []
+    for block in _blocks(items, id_col, text_col, block_words, window):
         query = context.broadcast(Windows(block, window))
 
         def judge(batches: Iterator[pa.RecordBatch], query=query) -> Iterable[pa.RecordBatch]:
@@ -253,13 +272,12 @@ def search(
                         names=schema.names,
                     )
 
-        rows = index.mapInArrow(judge, schema)
-        found = rows if found is None else _merged(found.unionByName(rows))
-    return found
+        parts.append(index.mapInArrow(judge, schema))
+    return parts[0] if len(parts) == 1 else _merged(reduce(DataFrame.unionByName, parts))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """Put the findings of two blocks of items together, document by document."""
+    """Put the findings of all blocks of items together, document by document."""
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     together = rows.groupBy("shard", "place").agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"), spans.alias("spans"),
