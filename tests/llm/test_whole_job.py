@@ -78,3 +78,16 @@ def test_groups_stay_whole_where_every_row_has_a_copy(spark):
     found = sharding.shard_documents(docs, rounds=5).toPandas()
     assert set(Counter(found["shard"])) == set(range(8)) and set(Counter(found["shard"]).values()) == {1000}
     assert (found.groupby(found["doc_id"] // size)["shard"].nunique() == 1).mean() > 0.9
+
+
+def test_a_long_item_in_stretches_hits_what_it_hits_whole(spark):
+    draw = np.random.default_rng(8)
+    words = [f"w{x}" for x in draw.integers(0, 40, 400)]
+    item = " ".join(words)
+    texts = [" ".join(words[a : a + n]) for a, n in ((0, 400), (3, 10), (24, 12), (388, 12), (390, 9), (49, 30))] + [" ".join(words[::-1]), None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([("long", item), ("short", "w1 w2")], "item_id string, text string")
+    index = decontaminate.build_index(docs, f"{decontaminate.scratch_path(spark, 'postings')}")
+    rows = lambda **o: sorted((r["id"], r["n_hit"], str(r["items"]), str(r["spans"])) for r in decontaminate.search(index, items, **o).collect())
+    whole = rows()
+    assert rows(block_words=200) == rows(block_words=120) == whole and whole[0][1] == 400 and whole[4][1] <= 2
