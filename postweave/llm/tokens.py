@@ -10,7 +10,8 @@ added token (it gets its own id), and tokenizers that cut differently, go throug
 from __future__ import annotations
 
 import json
-import struct
+import sys
+from array import array
 from collections.abc import Callable
 from functools import cache
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 from postweave.llm.words import slices
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are written as native integers, which have to be little-endian ones of 32 bits")
+
 CACHE_ENTRIES = 250_000  # of each of the two generations a worker keeps
 
 
@@ -36,7 +40,6 @@ _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _HIDDEN = [b for b in range(256) if b not in _SHOWN]
 BYTE_CHARS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(_HIDDEN)}
 _SPACE = chr(BYTE_CHARS[0x20])
-_MARKS = frozenset(".,;:!?")
 SETTLED = "\u0500"  # below it all tables of character kinds agree; above it the tokenizer's own is asked
 
 
@@ -64,6 +67,8 @@ class CachedEncoder:
         # an added token without white space and not of letters alone lies in one stretch and is looked for when that is new
         self.by_stretch &= all(x.split() == [x] and not x.isalpha() and not any(t[k] for k in ("lstrip", "rstrip", "normalized", "single_word"))
                                for t in parts["added_tokens"] for x in [t["content"]])
+        # marks that are a piece of their own behind letters; a mark that an added token could end with is none
+        self.marks = {m: self._merge(m) for m in ".,;:!?" if not any(x.endswith(m) for x in self.added)} if self.by_stretch else {}
         self.limit = cache_entries
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -76,25 +81,25 @@ class CachedEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters, which are one piece."""
+        if word.isascii():
+            shown = _SPACE + word
+        elif max(word) < SETTLED:
+            shown = _SPACE + word.encode().decode("latin-1").translate(BYTE_CHARS)
+        else:
+            return self._encode([" " + word])[0]
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _merge(self, stretch: str) -> bytes:
         """Ids of one stretch: its pieces, in the characters that stand for their bytes, through the model."""
         if not settled(stretch):
             return self._encode([stretch])[0]
-        word = stretch[1:]
-        if stretch[:1] == " " and word.isalpha():  # the most common pieces need no pattern
-            pieces = [stretch]
-        elif stretch[:1] == " " and word[-1:] in _MARKS and word[:-1].isalpha():
-            pieces = [stretch[:-1], word[-1:]]
-        else:
-            pieces = self.pieces(stretch)
         ids: list[int] = []
-        for piece in pieces:
-            if piece.isascii() and piece[1:].isalpha() and piece[0] > "\x1f":
-                shown = _SPACE + piece[1:] if piece[0] == " " else piece
-            else:
-                shown = piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        for piece in self.pieces(stretch):
+            shown = piece.encode().decode("latin-1").translate(BYTE_CHARS)
             ids += [t.id for t in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes()
 
     def _learn(self, stretches: set[str]) -> bool:
         """Take new stretches into the cache; false if one holds other white space or an added token."""
@@ -102,12 +107,20 @@ class CachedEncoder:
         for stretch in stretches:
             known = old.get(stretch)
             if known is None:
-                newline = stretch[:1] == "\n"
-                word = stretch[newline:]
-                if word.split() != [word] or (not word.isalpha() and any(x in word for x in self.added)):
-                    return False
-                # a stretch follows a space unless it begins with a newline
-                known = self._merge(stretch if newline else " " + stretch)
+                if stretch.isalpha():
+                    known = self._word(stretch)
+                elif (base := stretch[:-1]).isalpha() and stretch[-1] in self.marks and settled(base):  # the word is often known alone
+                    known = young.get(base) or old.get(base)
+                    if known is None:
+                        known = young[base] = self._word(base)
+                    known += self.marks[stretch[-1]]
+                else:
+                    newline = stretch[:1] == "\n"
+                    word = stretch[newline:]
+                    if word.split() != [word] or any(x in word for x in self.added):
+                        return False
+                    # a stretch follows a space unless it begins with a newline
+                    known = self._merge(stretch if newline else " " + stretch)
             young[stretch] = known
         return True
 
@@ -119,13 +132,14 @@ class CachedEncoder:
         if not self.by_stretch or head.split() != [head] or any(x in head for x in self.added):
             return self._encode([text])[0]
         found = list(map(self.young.get, stretches))
-        if None in found:
-            if not self._learn({x for x, ids in zip(stretches, found) if ids is None}):
-                return self._encode([text])[0]
-            found = list(map(self.young.__getitem__, stretches))
-            if len(self.young) > self.limit:
-                self.old, self.young = self.young, {}
-        return self._merge(head) + b"".join(found)
+        if None not in found:
+            return self._merge(head) + b"".join(found)
+        if not self._learn({x for x, ids in zip(stretches, found) if ids is None}):
+            return self._encode([text])[0]
+        whole = self._merge(head) + b"".join(map(self.young.__getitem__, stretches))
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        return whole
 
 
 @cache

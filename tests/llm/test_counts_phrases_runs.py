@@ -270,3 +270,21 @@ def test_languages_are_learned_from_rows_with_letters(spark):
     assert names == ["xx", "yy", "und", "und"]
     assert list(langid._shares(np.array([10, 500, 30, 500]), 400)) == [10, 180, 30, 180]
     assert langid.fit(docs.limit(0)).names == []
+
+
+def test_url_trees_judge_hosts_that_no_rule_names(spark):
+    """The rules know four hosts; the trees have to tell the same two kinds of URL apart elsewhere."""
+    from postweave.llm import urlfilter
+
+    draw = random.Random(12)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    plain = lambda host: f"https://{host}/{word(5)}/{word(7)}"
+    loud = lambda host: f"https://{host}/{draw.randrange(10**9)}/{word(3)}?id={draw.randrange(10**8)}&s={draw.randrange(10**6)}&r={word(12)}"
+    urls = [plain(h) for h in ("good.test", "www.fine.test") for _ in range(150)] + [loud(h) for h in ("bad.test", "x.worse.test") for _ in range(150)]
+    held = [(plain(f"{word(6)}.test"), "allow") for _ in range(100)] + [(loud(f"{word(6)}.test"), "block") for _ in range(100)]
+    rules = [("allow", "good.test", "/"), ("allow", "fine.test", "/"), ("block", "bad.test", "/"), ("block", "worse.test", "/")]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + [u for u, _ in held])], "page_id long, url string, verdict string")
+    found = {r["page_id"]: r for r in urlfilter.judge(pages, rules).collect()}
+    assert all(found[i]["verdict"] == ("allow" if i < 300 else "block") and found[i]["rule"] for i in range(600))
+    right = [found[600 + i]["verdict"] == verdict and found[600 + i]["rule"] is None for i, (_, verdict) in enumerate(held)]
+    assert sum(right) >= 190
