@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postweave.operators.joins import thinned_keys
-from postweave.operators.ordering import dense_ids, with_previous
+from postweave.operators.ordering import dense_ids, ordered_chunks, with_previous
 
 # Fixed values.
 ATTEMPTS_PER_POSTING = 2
@@ -78,14 +78,22 @@ def cap_rows(old: DataFrame, new: DataFrame, max_rows: int, order: list[str], st
 def failure_runs(
     log: DataFrame, key: str, order: list[str], failed: Column, at_least: int = FAILURE_LIMIT
 ) -> DataFrame:
-    """Runs of consecutive failures per key: the difference between a row's number among all rows
-    and among the failures is constant within a run."""
-    numbered = dense_ids(log.select(key, *order, failed.alias("_failed")), key, *order, name="_n")
-    failures = dense_ids(numbered.filter("_failed"), key, *order, name="_f")
-    runs = failures.groupBy(key, (F.col("_n") - F.col("_f")).alias("_island")).agg(
+    """Runs of consecutive failures per key.
+
+    The number of successes before it is the same for all failures of a run and for no other failure of its key.
+    It is counted over the whole order, so one range sort is enough.
+    """
+    rows = ordered_chunks(log.select(key, *order, F.coalesce(failed, F.lit(False)).alias("_failed")), key, *order)
+    inside = Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    totals = rows.groupBy("_chunk").agg(F.count_if(~F.col("_failed")).alias("_successes"))
+    before = totals.select("_chunk", F.coalesce(F.sum("_successes").over(earlier), F.lit(0)).alias("_before"))
+    counted = rows.withColumn("_inside", F.count_if(~F.col("_failed")).over(inside)).filter("_failed")
+    place = F.struct(F.col("_chunk"), F.col("_pos"))
+    runs = counted.join(F.broadcast(before), "_chunk").groupBy(key, (F.col("_before") + F.col("_inside")).alias("_island")).agg(
         F.count("*").alias("run_length"),
-        F.min_by(order[-1], F.col("_n")).alias(f"first_{order[-1]}"),
-        F.max_by(order[-1], F.col("_n")).alias(f"last_{order[-1]}"),
+        F.min_by(order[-1], place).alias(f"first_{order[-1]}"),
+        F.max_by(order[-1], place).alias(f"last_{order[-1]}"),
     )
     return runs.filter(F.col("run_length") >= at_least).drop("_island")
 
