@@ -54,7 +54,7 @@ def write_cells(index: DataFrame, prefix: str, pivots: int = PIVOTS) -> None:
     cells = written.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("_angle").alias("angle"), F.max("_length").alias("longest"), F.min("_length").alias("shortest")
     )
-    by_cell = {r["cell"]: r for r in cells.collect()}  # a row for each pivot at most
+    by_cell = {r["cell"]: r for r in cells.toArrow().to_pylist()}  # a row for each pivot at most
     known = [(c, r["n"], r["angle"], r["longest"], r["shortest"], matrix[c].tolist() if c >= 0 else None) for c, r in by_cell.items()]
     schema = "cell int, n long, angle double, longest double, shortest double, pivot array<double>"
     index.sparkSession.createDataFrame(known, schema).coalesce(1).write.mode("overwrite").parquet(f"{prefix}/pivots")
@@ -86,7 +86,7 @@ def search_cells(
 
     Too many queries for bounds on the driver are searched in all cells.
     """
-    cells = sorted(spark.read.parquet(f"{prefix}/pivots").collect(), key=lambda c: c["cell"])
+    cells = sorted(spark.read.parquet(f"{prefix}/pivots").toArrow().to_pylist(), key=lambda c: c["cell"])
     corpus = spark.read.parquet(f"{prefix}/cells") if cells else None
     queries = cut_lineage(queries.select(query_key, "vec").filter(F.col("vec").isNotNull()))
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vec") * 8), F.lit(0)).alias("bytes")).first()
@@ -104,7 +104,7 @@ def search_cells(
     first = np.zeros(len(cells), bool)
     first[np.unique(order[enough])] = True
     near = cut_lineage(topk_many(_of(corpus, cells, first), queries, k, key, query_key))
-    bars = {r[query_key]: r["bar"] for r in near.filter(F.col("rank") == k).select(query_key, F.col("score").alias("bar")).collect()}
+    bars = {r[query_key]: r["bar"] for r in near.filter(F.col("rank") == k).select(query_key, F.col("score").alias("bar")).toArrow().to_pylist()}
     bar = np.array([bars.get(i, -np.inf) for i in ids])
     second = (above >= bar[:, None]).any(axis=0) & ~first
     if report is not None:

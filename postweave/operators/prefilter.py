@@ -36,7 +36,7 @@ def with_filter_columns(postings: DataFrame, pay: Column | None = None) -> DataF
 
 def read_rules(rules: DataFrame) -> list[tuple[str, str, str]]:
     """The rules of a table, which has to be a small one."""
-    found = [(r["field"], r["test"], r["value"]) for r in rules.select("field", "test", "value").limit(MOST_RULES + 1).collect()]
+    found = [(r["field"], r["test"], r["value"]) for r in rules.select("field", "test", "value").limit(MOST_RULES + 1).toArrow().to_pylist()]
     if len(found) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     return found

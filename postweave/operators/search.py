@@ -150,13 +150,13 @@ def vector_profile(index: DataFrame, vec: str = "vec") -> DataFrame:
 def build_index(rows: DataFrame, vec: str, job_id: Column, *order: str) -> DataFrame:
     """Index table ``(internal_id, job_id, vec float32 unit)`` numbered in the given order.
 
-    The vectors cross the network once, in the exchange that numbers them. Rows whose order columns repeat get
-    numbers of their own, in no defined order among them.
+    The vectors are written once, so that a model behind them runs once a row, and cross the network once, in the
+    exchange that numbers them. Rows whose order columns repeat get numbers of their own, in no defined order among them.
     """
     units = l2_normalize(rows, vec, "vec")
     keys = {c: f"_order_{i}" for i, c in enumerate(order)}
     slim = units.select(*[F.col(c).alias(k) for c, k in keys.items()], job_id.alias("job_id"), V.to_float32(F.col("vec")).alias("vec"))
-    numbered = dense_ids(slim, *keys.values())
+    numbered = dense_ids(cut_lineage(slim), *keys.values())
     internal = F.col("internal_id").cast("string")
     return numbered.select("internal_id", F.coalesce("job_id", internal).alias("job_id"), "vec")
 

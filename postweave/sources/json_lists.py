@@ -155,7 +155,7 @@ def read_objects(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
 
     summed = dealt.mapInArrow(sum_up, "file int, start long, first long, ends array<struct<inside: boolean, escaped: boolean, depth: long>>")
     known, state, file, first = [], State(), -1, 0
-    for row in sorted(summed.collect(), key=lambda r: (r["file"], r["start"])):  # some numbers a range
+    for row in sorted(summed.toArrow().to_pylist(), key=lambda r: (r["file"], r["start"])):  # some numbers a range
         if row["file"] != file:
             if state != State():
                 raise ValueError(NOT_A_LIST)

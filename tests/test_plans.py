@@ -17,10 +17,14 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-WITH_PYTHON = {"batch_generate", "encode_corpus", "encode_query", "match_batch", "match_files", "match_postings"}
+WITH_PYTHON = {
+    "batch_generate", "encode_corpus", "encode_query", "match_batch", "match_cells", "match_files", "match_postings",
+    "refresh_index", "index_changes", "prefilter_postings", "saved_generation", "followed_attempts", "followed_runs",
+}
 WITH_FILES = {
     "scan_jobs_json", "scan_text_docs", "sink_snapshot", "sink_checkpointed", "resume_state", "index_write",
     "index_read", "sink_documents", "scan_presence", "build_index", "plan_uploads", "collect_round",
+    "scan_jobs_ranges", "resume_rejects", "sink_versions",
 }
 
 
@@ -87,10 +91,23 @@ def test_hot_key_can_be_split(spark, sf_dir):
     assert text.count("Exchange hashpartitioning(id") >= 2 and "SortMergeJoin" in text
 
 
-def test_model_is_not_run_to_number_rows(spark, sf_dir):
+def test_model_is_not_run_to_number_rows(spark, sf_dir, tmp_path):
+    """The encoder sees each text once, although rows are sampled, sorted and numbered."""
+
+    def counting(folder):
+        import os
+        import uuid
+
+        def encode(texts):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as out:
+                out.write(str(len(texts)))
+            return search.HashingEncoder()(texts)
+
+        return encode
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = search.build_index(search.encode(docs, "text"), "vec", F.col("doc_id").cast("string"), "doc_id")
-    assert plan(index).count("ArrowEvalPython") == 1
+    index = search.build_index(search.encode(docs, "text", counting(str(tmp_path))), "vec", F.col("doc_id").cast("string"), "doc_id")
+    assert index.count() == docs.count() == sum(int(p.read_text()) for p in tmp_path.iterdir())
 
 
 def test_every_query_has_sql():
