@@ -83,11 +83,12 @@ def write_pieces(
     pieces = pieces_udf(tokenizer or default_tokenizer(), end_id, max_length)
     encoded = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col)).alias("pieces"))
     sizes = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
-    counted = encoded.withColumn("doc_tokens", F.floor(sizes / 4))
-    piece = F.zip_with(
-        piece_spans(F.col("doc_tokens"), max_length), "pieces", lambda s, ids: F.struct(s["start"].alias("start"), s["length"].alias("length"), ids.alias("ids"))
-    )
-    rows = counted.select("doc_id", "doc_tokens", F.inline(piece)).select("doc_id", "start", "length", "doc_tokens", "ids")
+    each = encoded.select("doc_id", F.floor(sizes / 4).alias("doc_tokens"), F.posexplode("pieces").alias("at", "ids"))
+    each = each.withColumn("length", F.floor(F.octet_length("ids") / 4))
+    above = F.col("length") * 2  # as in piece_spans: a digit's piece begins where all digits above it end
+    digit = F.floor(F.col("doc_tokens") / above) * above
+    start = F.when(F.col("length") == max_length, F.col("at") * F.lit(max_length).cast("long")).otherwise(digit)
+    rows = each.select("doc_id", start.alias("start"), "length", "doc_tokens", "ids")
     rows.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
