@@ -59,3 +59,12 @@ def collect_available(stream: DataFrame, sink: str, checkpoint: str, key: str, o
 
 def posting_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+
+
+def table_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet") -> DataFrame:
+    """The files of one table: ``path`` itself where it is a file, else the files in it.
+
+    The last character is given as a pattern. Spark takes what a pattern finds, be it a file or a folder, while a plain
+    path has to be a folder.
+    """
+    return posting_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, pattern)
