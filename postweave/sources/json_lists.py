@@ -3,8 +3,9 @@
 Where a range begins, it depends on all bytes before whether one stands in a string and how deep. So a first pass
 sums each range up: for each state in which it may begin (outside a string, inside one, inside one after a backslash)
 the state in which it ends, and how much deeper. A prefix over these few summaries gives every range its true state. In
-the second pass each task hands on the objects that begin in its range; it reads on behind the range to the end
-of the last one. Both passes are Spark jobs over the table of ranges; the driver holds some numbers per range.
+the second pass each task hands on the objects that begin in its ranges; it reads on behind a range to the end
+of the last one. Both passes are Spark jobs over the table of ranges, neighbours in one task; the number of tasks follows
+the bytes, not the ranges. The driver holds some numbers per range.
 """
 
 from __future__ import annotations
@@ -16,11 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postweave.sources.generated import open_store
 
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 32 << 20  # also what one task reads
+LEAST_TASKS = 64  # as many ranges may be read at once, however small they are
 _BLOCK = 1 << 20
+_AHEAD = 1 << 16  # read at a time behind a range
+_TOGETHER = 8 << 20  # bytes of objects handed on at once
 _QUOTE, _BACKSLASH, _COMMA = b'"\\,'
 _SPACE = np.isin(np.arange(256), list(b" \t\r\n"))
 _DEEPER = np.zeros(256, np.int8)
@@ -39,22 +44,51 @@ class State(NamedTuple):
 STARTS = (State(), State(True), State(True, True))
 
 
+def _quotes(data: np.ndarray, escaped: bool) -> tuple[np.ndarray, bool]:
+    """Which bytes are quotes that are not escaped, and whether the byte behind the block is escaped."""
+    slashes = np.flatnonzero(data == _BACKSLASH)
+    begins = slashes[np.diff(slashes, prepend=-2) > 1]
+    behind = slashes[np.diff(slashes, append=len(data) + 1) > 1] + 1  # the byte after each run of them
+    lengths = behind - begins
+    if escaped and len(begins) and begins[0] == 0:  # one that ran into the block counts along
+        lengths[0] += 1
+    elif escaped:
+        behind, lengths = np.concatenate(([0], behind)), np.concatenate(([1], lengths))
+    behind = behind[lengths % 2 == 1]
+    quotes = data == _QUOTE
+    quotes[behind[behind < len(data)]] = False
+    return quotes, bool(len(behind)) and int(behind[-1]) == len(data)
+
+
 def scan(block: bytes, state: State) -> tuple[np.ndarray, np.ndarray, State]:
     """For every byte: whether it is outside strings, and the depth after it; and the state at the end."""
     data = np.frombuffer(block, np.uint8)
-    places = np.arange(len(data))
-    slash = data == _BACKSLASH
-    # a byte is escaped behind an odd number of backslashes; one that ran into the block counts along
-    plain = np.maximum.accumulate(np.where(slash, -2 if state.escaped else -1, places))
-    run = places - plain  # backslashes up to and with this byte, in its run
-    odd = run % 2 == 1
-    escaped = np.concatenate(([state.escaped], odd[:-1]))
-    quotes = (data == _QUOTE) & ~escaped
-    after = (np.cumsum(quotes) + state.inside) % 2 == 1
+    quotes, escaped = _quotes(data, state.escaped)
+    after = (np.cumsum(quotes, dtype=np.uint8) + np.uint8(state.inside)) % 2 == 1  # only odd or even matters
     outside = ~(after | quotes)
     depth = state.depth + np.cumsum(np.where(outside, _DEEPER[data], 0), dtype=np.int64)
     inside = bool(after[-1])
-    return outside, depth, State(inside, bool(odd[-1]) and inside, int(depth[-1]))
+    return outside, depth, State(inside, escaped and inside, int(depth[-1]))
+
+
+def _ends(block: bytes, states: list[State]) -> list[State]:
+    """The states that :func:`scan` ends in. Where strings begin and end is worked out once: what is inside a string for one
+    state is outside for another."""
+    data = np.frombuffer(block, np.uint8)
+    marks = data[0] in (_QUOTE, _BACKSLASH)  # any other first byte is the same escaped or not
+    found = {}
+    for first in {s.escaped and marks for s in states}:
+        quotes, escaped = _quotes(data, first)
+        odd = np.cumsum(quotes, dtype=np.uint8) % 2 == 1
+        brackets = np.flatnonzero(_DEEPER[data])
+        deeper = _DEEPER[data[brackets]].astype(np.int64)
+        found[first] = bool(odd[-1]), escaped, [int(deeper[odd[brackets] == flip].sum()) for flip in (False, True)]
+    out = []
+    for s in states:
+        odd_end, escaped, depths = found[s.escaped and marks]
+        inside = odd_end != s.inside
+        out.append(State(inside, escaped and inside, s.depth + depths[s.inside]))
+    return out
 
 
 def _blocks(source, start: int, stop: int) -> Iterator[bytes]:
@@ -71,7 +105,7 @@ def summary(source, start: int, stop: int) -> list[State]:
     """The state at the end of a range for each of ``STARTS``, depths counted from its beginning."""
     states = list(STARTS)
     for block in _blocks(source, start, stop):
-        states = [scan(block, s)[2] for s in states]
+        states = _ends(block, states)
     return states
 
 
@@ -82,9 +116,9 @@ def objects(source, start: int, stop: int, size: int, state: State, first: int)
     own = state.depth <= 1  # false while in an object that began before the range
     if state.inside and own:
         raise ValueError(NOT_A_LIST)
+    source.seek(at)
     while at < size and (at < stop or parts):
-        source.seek(at)
-        block = source.read(min(_BLOCK, size - at))
+        block = source.read(min(_BLOCK, stop - at) if at < stop else min(_AHEAD, size - at))
         outside, depth, after = scan(block, state)
         data = np.frombuffer(block, np.uint8)
         before = np.concatenate(([state.depth], depth[:-1]))
@@ -137,53 +171,76 @@ def read_objects(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     A missing path is an error, and so is a file that holds anything but one list of objects.
     """
     files = _files(path)
-    ranges = [(i, name, at, min(at + range_bytes, size), size) for i, (name, size) in enumerate(files) for at in range(0, size, range_bytes)]
-    if len({r[0] for r in ranges}) < len(files):
+    sizes = np.array([size for _, size in files], np.int64)
+    if not sizes.all():
         raise ValueError(NOT_A_LIST)  # an empty file
-    columns = "file int, name string, start long, stop long, size long"
-    dealt = spark.createDataFrame(ranges, columns).repartition(max(1, len(ranges)), "file", "start")
+    counts = -(-sizes // range_bytes)
+    file = np.repeat(np.arange(len(files)), counts)
+    start = (np.arange(len(file)) - np.repeat(np.cumsum(counts) - counts, counts)) * range_bytes
+    stop, size = np.minimum(start + range_bytes, sizes[file]), sizes[file]
+    tasks = max(1, min(len(file), max(LEAST_TASKS, int(sizes.sum()) // RANGE_BYTES)))
+    task = np.arange(len(file)) * tasks // max(1, len(file))  # neighbours together
+    names = pa.array([name for name, _ in files], pa.string()).take(pa.array(file))
+    plain = {"task": pa.array(task, pa.int32()), "file": pa.array(file, pa.int32()), "name": names}
+    plain |= {n: pa.array(v, pa.int64()) for n, v in (("start", start), ("stop", stop), ("size", size))}
+
+    def deal(columns: dict[str, pa.Array]) -> DataFrame:
+        rows = spark.createDataFrame(pa.table(columns))
+        return rows.repartitionById(tasks, F.col("task")).sortWithinPartitions("file", "start")
 
     def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                store, place = open_store(row["name"])
-                with store.open_input_file(place) as source:
-                    states = summary(source, row["start"], row["stop"])
-                    first = first_byte(source, row["size"]) if row["start"] == 0 else None
-                ends = [{"inside": s.inside, "escaped": s.escaped, "depth": s.depth} for s in states]
-                yield pa.RecordBatch.from_pylist([{"file": row["file"], "start": row["start"], "first": first, "ends": ends}], schema=_SUMMARY)
-
-    summed = dealt.mapInArrow(sum_up, "file int, start long, first long, ends array<struct<inside: boolean, escaped: boolean, depth: long>>")
-    known, state, file, first = [], State(), -1, 0
+        for row, source in _opened(batches):
+            states = summary(source, row["start"], row["stop"])
+            first = first_byte(source, row["size"]) if row["start"] == 0 else None
+            ends = [{"inside": s.inside, "escaped": s.escaped, "depth": s.depth} for s in states]
+            yield pa.RecordBatch.from_pylist([{"file": row["file"], "start": row["start"], "first": first, "ends": ends}], schema=_SUMMARY)
+
+    summed = deal(plain).mapInArrow(sum_up, "file int, start long, first long, ends array<struct<inside: boolean, escaped: boolean, depth: long>>")
+    known, state, now, first = [], State(), -1, 0
     for row in sorted(summed.toArrow().to_pylist(), key=lambda r: (r["file"], r["start"])):  # some numbers a range
-        if row["file"] != file:
+        if row["file"] != now:
             if state != State():
                 raise ValueError(NOT_A_LIST)
-            file, state, first = row["file"], State(), row["first"]
+            now, state, first = row["file"], State(), row["first"]
         known.append((state.inside, state.escaped, state.depth, first))
         end = row["ends"][STARTS.index(State(state.inside, state.escaped))]
         state = State(end["inside"], end["escaped"], state.depth + end["depth"])
     if state != State():
         raise ValueError(NOT_A_LIST)
-    begun = [(*r, *k) for r, k in zip(ranges, known)]
-    placed = spark.createDataFrame(begun, columns + ", inside boolean, escaped boolean, depth long, first long")
-    placed = placed.repartition(max(1, len(ranges)), "file", "start")
+    kinds = {"inside": pa.bool_(), "escaped": pa.bool_(), "depth": pa.int64(), "first": pa.int64()}
+    begun = plain | {n: pa.array([k[i] for k in known], kind) for i, (n, kind) in enumerate(kinds.items())}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                store, place = open_store(row["name"])
-                with store.open_input_file(place) as source:
-                    some: list[str] = []
-                    state = State(row["inside"], row["escaped"], row["depth"])
-                    for found in objects(source, row["start"], row["stop"], row["size"], state, row["first"]):
-                        some.append(found.decode())
-                        if len(some) == 256:
-                            yield pa.RecordBatch.from_arrays([pa.array(some)], names=["value"])
-                            some = []
+        some: list[str] = []
+        held = 0
+        for row, source in _opened(batches):
+            state = State(row["inside"], row["escaped"], row["depth"])
+            for found in objects(source, row["start"], row["stop"], row["size"], state, row["first"]):
+                some.append(found.decode())
+                held += len(found)
+                if len(some) == 256 or held > _TOGETHER:
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["value"])
+                    some, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["value"])
+
+    return deal(begun).mapInArrow(read, "value string")
 
-    return placed.mapInArrow(read, "value string")
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, pa.NativeFile]]:
+    """The ranges, each with its file; neighbours in one file share it."""
+    name, source = None, None
+    try:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["name"] != name:
+                    if source is not None:
+                        source.close()
+                    store, place = open_store(row["name"])
+                    name, source = row["name"], store.open_input_file(place)
+                yield row, source
+    finally:
+        if source is not None:
+            source.close()
 
 
 def first_byte(source, size: int) -> int:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import json
+
 from pyspark.sql import functions as F
 
 from postweave.plans import all_queries  # noqa: F401
 from postweave.plans.registry import QUERIES
+from postweave.sources import json_lists
 from postweave.streaming import progress
 
 
@@ -24,3 +28,38 @@ def test_a_table_that_is_a_folder_is_followed(spark, tmp_path):
         progress.collect_available(stream, sink, marks, "doc_id", ["doc_id"])
         progress.collect_available(stream, sink, marks, "doc_id", ["doc_id"])
         assert spark.read.parquet(sink).count() == 25
+
+
+class Counted(io.BytesIO):
+    """Bytes that are handed out."""
+
+    given = 0
+
+    def read(self, n=-1):
+        found = super().read(n)
+        self.given += len(found)
+        return found
+
+
+def test_ranges_read_little_more_than_their_bytes():
+    """Before, each range of a list read a whole block, however small the range."""
+    jobs = [{"id": str(i), "details": {"a": "x\\\"[{" * 50}} for i in range(20_000)]
+    source = Counted(json.dumps(jobs).encode())
+    size, step = len(source.getvalue()), 1 << 16
+    state, found = json_lists.State(), []
+    for start in range(0, size, step):
+        stop = min(start + step, size)
+        found += json_lists.objects(source, start, stop, size, state, 0)
+        end = json_lists.summary(io.BytesIO(source.getvalue()), start, stop)[json_lists.STARTS.index(json_lists.State(state.inside, state.escaped))]
+        state = json_lists.State(end.inside, end.escaped, state.depth + end.depth)
+    assert [json.loads(x) for x in found] == jobs
+    assert source.given <= 2.1 * size
+
+
+def test_tasks_follow_the_bytes_not_the_ranges(spark, tmp_path):
+    jobs = [{"id": str(i)} for i in range(3000)]
+    for n in range(3):
+        (tmp_path / f"{n}.json").write_text(json.dumps(jobs[n::3]))
+    found = json_lists.read_objects(spark, str(tmp_path), range_bytes=50)  # some 1,000 ranges
+    assert found.rdd.getNumPartitions() == json_lists.LEAST_TASKS
+    assert sorted((json.loads(r.value) for r in found.collect()), key=lambda j: int(j["id"])) == jobs
