@@ -63,3 +63,18 @@ def test_tasks_follow_the_bytes_not_the_ranges(spark, tmp_path):
     found = json_lists.read_objects(spark, str(tmp_path), range_bytes=50)  # some 1,000 ranges
     assert found.rdd.getNumPartitions() == json_lists.LEAST_TASKS
     assert sorted((json.loads(r.value) for r in found.collect()), key=lambda j: int(j["id"])) == jobs
+
+
+def test_titles_and_skills_are_whole_texts(spark, tmp_path):
+    """Before, these queries had two short columns in place of the text."""
+    text = "first line\nmiddle line\nlast line"
+    rows = spark.createDataFrame([(1, text, "en", "src", len(text)), (2, None, "en", "src", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def found(name):
+        return [r for r in QUERIES[name](spark, str(tmp_path)).collect() if r["id"] == "1"]
+
+    assert found("falsy_coalesce")[0].title == text
+    assert found("posting_text")[0].text.split(" \n ") == [text, "src", text, text, "Org 1", "en", text]
+    letter = {r.kind: r.reply for r in found("offline_replies")}
+    assert f"{text} at src" in letter["resume"] and f"I know {text}." in letter["cover_letter"]
