@@ -100,8 +100,8 @@ def application_count(spark, sf_dir):
 _RECORD_SQL = "to_json({'id': id, 'title': title, 'company': company, 'city': city, 'summary': d_job_summary})"
 
 
-def _records(spark, sf_dir):
-    rows = fx.jobs(spark, sf_dir).select(
+def _records(jobs):
+    rows = jobs.select(
         "id", "title", "company", "city", flatten.detail(F.col("details"), "job_summary").alias("summary")
     )
     return rows.withColumn("record", docs.record_json(["id", "title", "company", "city", "summary"]))
@@ -109,7 +109,7 @@ def _records(spark, sf_dir):
 
 @query("record_json", f"WITH {fx.JOBS_SQL} SELECT id, CAST({_RECORD_SQL} AS VARCHAR) AS record FROM jobs")
 def record_json(spark, sf_dir):
-    return _records(spark, sf_dir).select("id", "record")
+    return _records(fx.jobs(spark, sf_dir)).select("id", "record")
 
 
 def _prompt_sql(record: str) -> str:
@@ -118,13 +118,14 @@ def _prompt_sql(record: str) -> str:
   || {_sql(docs.PROMPT_MIDDLE)} || {_BASE_SQL} || {_sql(docs.PROMPT_TAIL)}"""
 
 
-_PROMPTS_SQL = f"""WITH {fx.JOBS_SQL} SELECT id, kind, {_prompt_sql(f"CAST({_RECORD_SQL} AS VARCHAR)")} AS prompt
+def _prompts_sql(jobs: str) -> str:
+    return f"""WITH {jobs} SELECT id, kind, {_prompt_sql(f"CAST({_RECORD_SQL} AS VARCHAR)")} AS prompt
 FROM jobs CROSS JOIN {_KINDS_SQL}"""
 
 
-@query("build_prompts", _PROMPTS_SQL)
+@query("build_prompts", _prompts_sql(fx.JOBS_SQL))
 def build_prompts(spark, sf_dir):
-    prompts = docs.build_prompts(_records(spark, sf_dir), F.col("record"), _base())
+    prompts = docs.build_prompts(_records(fx.jobs(spark, sf_dir)), F.col("record"), _base())
     return prompts.select("id", "kind", "prompt")
 
 
@@ -144,10 +145,10 @@ def digest_generator(prompts: list[str], temperature: float, max_tokens: int) ->
     return [f"{md5(p.encode()).hexdigest()} {temperature} {max_tokens}" for p in prompts]
 
 
-@query("batch_generate", f"SELECT id, kind, md5(prompt) || ' 0 4000' AS reply FROM ({_PROMPTS_SQL})")
+@query("batch_generate", f"SELECT id, kind, md5(prompt) || ' 0 4000' AS reply FROM ({_prompts_sql(fx.WHOLE_JOBS_SQL)})")
 def batch_generate(spark, sf_dir):
     """The generator runs as a plug on batches of whole prompts."""
-    prompts = docs.build_prompts(_records(spark, sf_dir), F.col("record"), _base())
+    prompts = docs.build_prompts(_records(fx.whole_jobs(spark, sf_dir)), F.col("record"), _base())
     return docs.generate_replies(prompts, digest_generator).select("id", "kind", "reply")
 
 
