@@ -154,12 +154,12 @@ def batch_generate(spark, sf_dir):
 
 @query(
     "offline_replies",
-    f"""WITH {fx.JOBS_SQL}, j AS (SELECT id, kind, {_SHOWN_SQL} FROM jobs CROSS JOIN {_KINDS_SQL})
+    f"""WITH {fx.WHOLE_JOBS_SQL}, j AS (SELECT id, kind, {_SHOWN_SQL} FROM jobs CROSS JOIN {_KINDS_SQL})
 SELECT id, kind, {_filled_sql(_BASE_SQL)} AS reply FROM j""",
 )
 def offline_replies(spark, sf_dir):
     """Replies of the offline generator: the base template with its placeholders filled."""
-    shown = fx.jobs(spark, sf_dir).select(
+    shown = fx.whole_jobs(spark, sf_dir).select(
         "id",
         flatten.title_or_detail().alias("job_title"),
         flatten.company_or_detail().alias("company_name"),
@@ -282,7 +282,7 @@ _POSTING_SQL = f"""'{{' || chr(10) || {_members_sql({f: f for f in docs.FLAT_FIE
 
 @query(
     "prepare_documents",
-    f"""WITH {fx.JOBS_SQL}, {_SELECTION},
+    f"""WITH {fx.WHOLE_JOBS_SQL}, {_SELECTION},
 j AS (SELECT sel.job_id, rank, kind, coalesce(nullif(title, ''), d_job_title, '') AS t,
     coalesce(nullif(company, ''), d_organization, '') AS c, coalesce(d_job_summary, '') AS reason,
     coalesce(d_required_skills, '') AS skills, {_POSTING_SQL} AS posting
