@@ -292,7 +292,7 @@ SELECT job_id, rank, kind, {_prompt_sql("posting")} AS prompt, {_filled_sql(_BAS
 )
 def prepare_documents(spark, sf_dir):
     prepared = preparing.prepare_documents(
-        _selection(spark, sf_dir), fx.jobs(spark, sf_dir), ["seq"], BASES, OUT_DIR
+        _selection(spark, sf_dir), fx.whole_jobs(spark, sf_dir), ["seq"], BASES, OUT_DIR
     )
     return prepared.select("job_id", "rank", "kind", "prompt", "body", "path", "pdf")
 
