@@ -27,7 +27,9 @@ BROADCAST_LIMIT = 64 << 20  # bytes of query vectors that may be sent to every e
 PART_LIMIT = 256 << 20  # bytes of corpus vectors that meet one slice of the queries in one task
 CANDIDATE_LIMIT = 1 << 24  # rows (queries times k) that one task may hold
 BLOCK_BYTES = 1 << 20  # bytes of one packed block of vectors
-KNOWN_TOKENS = 1 << 20  # tokens whose places a worker remembers
+CANDIDATES_HELD = 1 << 18  # rows of candidates before a task cuts them back, or four times what stays
+SCORES_AT_ONCE = 1 << 20  # scores that a task holds
+KNOWN_TOKENS = 1 << 17  # tokens whose places a worker remembers
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -81,8 +83,8 @@ def encode(
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            parts = [_unit_rows(model(texts[i : i + batch_size])) for i in range(0, len(texts), batch_size)]
+            groups = (batch.slice(i, batch_size).to_pylist() for i in range(0, len(batch), batch_size))
+            parts = [_unit_rows(model([t or "" for t in group])) for group in groups]
             yield _list_array(np.concatenate(parts) if parts else np.zeros((0, 1)))
 
     # Called non-deterministic so that no filter or generator makes the optimizer run it twice.
@@ -244,13 +246,13 @@ class _Candidates:
     def __init__(self, k: int, names: list[str]):
         self.k, self.names = k, names
         self.parts: list[pd.DataFrame] = []
-        self.rows, self.limit = 0, 1 << 20
+        self.rows, self.limit = 0, CANDIDATES_HELD
 
     def add(self, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         """Score every query against every row, some queries at a time, and keep the best."""
         by_id = np.argsort(ids, kind="stable")
         ids, columns = ids[by_id], rows[by_id].T
-        tile = max(1, (1 << 22) // max(1, len(ids)))
+        tile = max(1, SCORES_AT_ONCE // max(1, len(ids)))
         for i in range(0, len(query_ids), tile):
             scores = np.round(queries[i : i + tile] @ columns, SCORE_DECIMALS)
             q, c = _best(scores, self.k)
