@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from postweave.operators import search
 from postweave.plans import all_queries  # noqa: F401
 from postweave.plans.registry import QUERIES
-from postweave.sources import json_lists
+from postweave.sources import json_lists, postings
 from postweave.streaming import progress
 
 
@@ -78,3 +80,34 @@ def test_titles_and_skills_are_whole_texts(spark, tmp_path):
     assert found("posting_text")[0].text.split(" \n ") == [text, "src", text, text, "Org 1", "en", text]
     letter = {r.kind: r.reply for r in found("offline_replies")}
     assert f"{text} at src" in letter["resume"] and f"I know {text}." in letter["cover_letter"]
+
+
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    """Before, 32 files made a task, so the tasks grew with the files."""
+    for n in range(300):
+        (tmp_path / f"{n}.txt").write_text(f"text {n}")
+    monkeypatch.setattr(postings, "_TASKS_A_CORE", 0)
+    monkeypatch.setattr(postings, "_JOINED", 4)
+    found = postings.read_documents(spark, str(tmp_path), pattern="*.txt")
+    plain = spark.read.format("binaryFile").load(str(tmp_path)).rdd.getNumPartitions()
+    assert plain >= 8 and found.rdd.getNumPartitions() == -(-plain // 4)
+    assert {r.text for r in found.collect()} == {f"text {n}" for n in range(300)}
+
+
+def test_a_task_holds_few_scores_at_a_time(spark, monkeypatch):
+    """Before, the scores of all queries against a batch, up to four million, were held several times over."""
+    found = search._Candidates(2, ["query", "key", "score"])
+    held = []
+    monkeypatch.setattr(search, "SCORES_AT_ONCE", 100)
+    monkeypatch.setattr(search, "_best", lambda scores, k, best=search._best: held.append(scores.size) or best(scores, k))
+    draw = np.random.default_rng(1)
+    queries, rows = draw.normal(size=(30, 4)), draw.normal(size=(50, 4))
+    found.add(np.arange(30), queries, np.arange(50), rows)
+    assert max(held) <= 100
+    kept = found.best()
+    wanted = np.argsort(-np.round(queries @ rows.T, 9), axis=1)[:, :2]
+    assert kept["key"].tolist() == wanted.ravel().tolist()
+    texts = spark.createDataFrame([(i, f"w{i} w{i % 7}") for i in range(500)], "id int, text string").coalesce(1)
+    vecs = {r.id: r.vec for r in search.encode(texts, "text", search.HashingEncoder(8), 3).collect()}
+    alone = search._unit_rows(search.HashingEncoder(8)([f"w{i} w{i % 7}" for i in range(500)]))
+    assert all(np.allclose(vecs[i], alone[i]) for i in range(500))
