@@ -12,11 +12,14 @@ names. A very long text is cut where its ids are made; its pieces are never copi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from postweave.llm.tokens import default_tokenizer, encoder
 from postweave.llm.words import slices
@@ -25,6 +28,8 @@ from postweave.session import scratch_path
 
 MAX_LENGTH = 2048
 END_ID = 1
+PIECE_COLUMNS = ["doc_id", "start", "length", "doc_tokens", "ids"]
+_HANDED_ON = 1 << 22
 
 
 def piece_spans(n_tokens: Column, max_length: int = MAX_LENGTH) -> Column:
@@ -49,27 +54,38 @@ def piece_spans(n_tokens: Column, max_length: int = MAX_LENGTH) -> Column:
     return F.concat(longest, F.array_compact(F.array(*digits))) if digits else longest
 
 
-def cut(ids: bytes, max_length: int = MAX_LENGTH) -> Iterator[bytes]:
-    """Pieces of 32-bit ids: the longest ones first, then the binary digits of the rest."""
-    at, left = 0, len(ids) // 4
-    while left:
-        length = min(max_length, 1 << (left.bit_length() - 1))
-        yield ids[4 * at : 4 * (at + length)]
-        at, left = at + length, left - length
-
-
-def pieces_udf(path: str, end_id: int, max_length: int = MAX_LENGTH) -> Callable[[Column], Column]:
-    """text -> its ids and the end id, cut into pieces (binaries of little-endian 32-bit integers)."""
-    if max_length < 1 or max_length & (max_length - 1):
-        raise ValueError("the longest length must be a power of two")
-    tail = end_id.to_bytes(4, "little")
-
-    @F.arrow_udf("array<binary>")
-    def pieces(texts: pa.Array) -> pa.Array:
-        encode = encoder(path).encode
-        return pa.array((list(cut(encode(text) + tail, max_length)) for part in slices(texts) for text in part), pa.list_(pa.binary()))
-
-    return pieces
+def piece_lengths(n_tokens: int, max_length: int = MAX_LENGTH) -> list[int]:
+    """Lengths of the pieces as in :func:`piece_spans`: the longest ones first, then the binary digits of the rest."""
+    whole, rest = divmod(n_tokens, max_length)
+    return [max_length] * whole + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
+
+
+def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_length: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> a row per piece; handed on whenever the ids of some texts fill ``_HANDED_ON`` bytes."""
+    encode, tail = encoder(path).encode, end_id.to_bytes(4, "little")
+
+    def rows(ids: pa.Array, encoded: list[bytes]) -> pa.RecordBatch:
+        sizes = [len(x) // 4 for x in encoded]
+        lengths = [piece_lengths(n, max_length) for n in sizes]
+        count = np.array([len(x) for x in lengths])
+        length = np.fromiter(chain.from_iterable(lengths), np.int64, int(count.sum()))
+        ends, before = np.cumsum(length), np.repeat(np.cumsum(sizes) - sizes, count)
+        offsets = np.concatenate(([0], 4 * ends)).astype(np.int32 if ends[-1] < 1 << 29 else np.int64)
+        kind = pa.binary() if offsets.dtype == np.int32 else pa.large_binary()
+        bodies = pa.Array.from_buffers(kind, len(length), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(encoded))])
+        columns = [ids.take(pa.array(np.repeat(np.arange(len(encoded)), count))), ends - length - before, length, np.repeat(sizes, count), bodies]
+        return pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=PIECE_COLUMNS)
+
+    for batch in batches:
+        first, encoded, size = 0, [], 0
+        for at, text in enumerate(text for part in slices(batch.column(1)) for text in part):
+            encoded.append(encode(text) + tail)
+            size += len(encoded[-1])
+            if size >= _HANDED_ON:
+                yield rows(batch.column(0).slice(first, len(encoded)), encoded)
+                first, encoded, size = at + 1, [], 0
+        if encoded:
+            yield rows(batch.column(0).slice(first, len(encoded)), encoded)
 
 
 def write_pieces(
@@ -79,16 +95,16 @@ def write_pieces(
     """Tokenize once, cut, and write one row per piece with its ids; the table is read back.
 
     Columns: doc_id, start, length, doc_tokens, ids (little-endian 32-bit binary).
+
+    The pieces come from a map over Arrow batches: of a function of the text the optimizer makes a filter as well
+    (no row for an empty array), and every text is tokenized a second time for that.
     """
-    pieces = pieces_udf(tokenizer or default_tokenizer(), end_id, max_length)
-    encoded = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col)).alias("pieces"))
-    sizes = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x))
-    each = encoded.select("doc_id", F.floor(sizes / 4).alias("doc_tokens"), F.posexplode("pieces").alias("at", "ids"))
-    each = each.withColumn("length", F.floor(F.octet_length("ids") / 4))
-    above = F.col("length") * 2  # as in piece_spans: a digit's piece begins where all digits above it end
-    digit = F.floor(F.col("doc_tokens") / above) * above
-    start = F.when(F.col("length") == max_length, F.col("at") * F.lit(max_length).cast("long")).otherwise(digit)
-    rows = each.select("doc_id", start.alias("start"), "length", "doc_tokens", "ids")
+    if max_length < 1 or max_length & (max_length - 1):
+        raise ValueError("the longest length must be a power of two")
+    tokenizer = tokenizer or default_tokenizer()
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = StructType([read.schema["doc_id"], *(StructField(c, LongType()) for c in PIECE_COLUMNS[1:4]), StructField("ids", BinaryType())])
+    rows = read.mapInArrow(lambda batches: _piece_rows(batches, tokenizer, end_id, max_length), schema)
     rows.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
