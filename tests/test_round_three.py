@@ -6,6 +6,7 @@ import io
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postweave.operators import search
@@ -111,3 +112,28 @@ def test_a_task_holds_few_scores_at_a_time(spark, monkeypatch):
     vecs = {r.id: r.vec for r in search.encode(texts, "text", search.HashingEncoder(8), 3).collect()}
     alone = search._unit_rows(search.HashingEncoder(8)([f"w{i} w{i % 7}" for i in range(500)]))
     assert all(np.allclose(vecs[i], alone[i]) for i in range(500))
+
+
+def test_written_documents_are_read_without_a_listing(spark, tmp_path):
+    """Before, the driver listed the folder: all files' records in its memory, in one thread."""
+    rows = [(i, f"text {i}", "en", "web", 6) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["sink_documents"](spark, str(tmp_path))
+    assert "binaryfile" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    expected = {(str(i), k, f"% {k}\nJob {i} in City {i % 23}") for i in range(40) for k in ("resume", "cover_letter")}
+    assert len(got := [tuple(r) for r in found.collect()]) == 80 and set(got) == expected
+
+
+def test_small_texts_travel_together_and_large_ones_alone(tmp_path, monkeypatch):
+    """Before, every file was a batch of its own."""
+    monkeypatch.setattr(postings, "_TEXTS_TOGETHER", 100, raising=False)
+    texts = ["", "a\r\nb", "x" * 500, "é" * 60, "y" * 60, "end"]
+    places = [str(tmp_path / f"{i}.txt") for i in range(len(texts))]
+    for place, text in zip(places, texts):
+        with open(place, "w", newline="") as out:
+            out.write(text)
+    asked = pa.RecordBatch.from_arrays([pa.array([*places, None, str(tmp_path / "none")], pa.string())], names=["path"])
+    batches = list(postings._read_wanted(True)(iter([asked, asked.slice(0, 0)])))
+    assert [b.num_rows for b in batches] == [3, 2, 3]
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert rows == [(p, t.replace("\r\n", "\n")) for p, t in zip(places, texts)] + [(None, ""), (str(tmp_path / "none"), "")]
