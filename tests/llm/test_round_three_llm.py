@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
-from postweave.llm import packing, tokens
+from postweave.llm import packing, phrases, tokens
 
 
 def test_packing_tokenizes_every_text_once(spark, tmp_path, monkeypatch):
@@ -36,3 +37,36 @@ def test_pieces_of_many_and_long_texts(spark, tmp_path):
         assert list(mine["length"]) == [64] * (n // 64) + [1 << b for b in range(5, -1, -1) if n >> b & 1]
         assert list(mine["start"]) == list(np.cumsum(mine["length"]) - mine["length"])
         assert [len(x) for x in mine["ids"]] == list(4 * mine["length"])
+
+
+def test_phrases_split_every_text_once(spark, monkeypatch):
+    """Before, each of the scans split the texts into words again and sent phrases as strings."""
+    plans, plain = [], DataFrameWriter.parquet
+
+    def parquet(writer, path, **options):
+        plans.append(writer._df._jdf.queryExecution().executedPlan().toString())
+        plain(writer, path, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    docs = spark.createDataFrame([("en", "one two three four five")] * 7, "lang string, text string")
+    found = phrases.count_phrases(docs, least=5, map_bits=1 << 15)
+    assert sum("text#" in p for p in plans) == 1
+    assert sorted(r["n"] for r in found.collect()) == [7] * 14 + [35]
+
+
+def test_hashes_of_keys_are_those_of_spark(spark):
+    keys = [[1, -5, 1 << 62, 0], [7, 0, -(1 << 63), (1 << 63) - 1]]
+    rows = spark.createDataFrame(list(zip(*keys)), "a long, b long").coalesce(1)
+    one, both = zip(*rows.select(F.xxhash64("a", F.lit(None).cast("long")), F.xxhash64("a", "b")).collect())
+    arrays = [np.array(k) for k in keys]
+    assert list(phrases.key_hashes(arrays[:1]).view(np.int64)) == list(one)
+    assert list(phrases.key_hashes(arrays).view(np.int64)) == list(both)
+
+
+def test_chunks_of_words_and_borders():
+    """Empty words go, empty pieces and shards without texts are borders only."""
+    batch = phrases._chunk("en", [[b"a  b ", b"b\n\n c"], [], [b" "], [b"a"]]).to_pylist()[0]
+    assert batch["words"] == ["a", "b", "c"] and batch["counts"] == [2, 2, 1]
+    line, cuts = np.frombuffer(batch["line"], np.int32).tolist(), batch["cuts"]
+    assert [line[a:b] for a, b in zip(cuts, cuts[1:])] == [[1, 2, 0, 2, 0, 0, 3, 0, 0], [0], [0, 0], [1, 0, 0]]
+    assert phrases._chunk("en", [[b" "]]).to_pylist()[0]["words"] == []
