@@ -70,3 +70,27 @@ def test_chunks_of_words_and_borders():
     line, cuts = np.frombuffer(batch["line"], np.int32).tolist(), batch["cuts"]
     assert [line[a:b] for a, b in zip(cuts, cuts[1:])] == [[1, 2, 0, 2, 0, 0, 3, 0, 0], [0], [0, 0], [1, 0, 0]]
     assert phrases._chunk("en", [[b" "]]).to_pylist()[0]["words"] == []
+
+
+def test_stretches_met_once_take_no_place(monkeypatch):
+    """Before, every new stretch was kept, and words with marks or behind a newline were cut by the pattern."""
+    encoder = tokens.CachedEncoder(tokens.default_tokenizer())
+    merged, merge = [], encoder._merge
+    monkeypatch.setattr(encoder, "_merge", lambda stretch: merged.append(stretch) or merge(stretch))
+    once = [f"{a}{b}ing" for a in "abcdefghij" for b in "klmnopqrst"]
+    text = "It " + " ".join(once) + " twice twice!! twice!!\nTwice, twice.\nonce"
+    whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole
+        assert ("twice" in encoder.young) and len(encoder.young) < 10 or _
+    assert set(once) < set(encoder.young) and not [x for x in merged if len(x) > 2]
+
+
+def test_ids_of_words_with_marks_and_newlines():
+    draw = np.random.default_rng(4)
+    parts = ["word", "Über", "don't", "x", "中文", "5", "\n", " ", " ", " ", "  ", ",", ".", "!!", "'", "_", "\"", "***", "<|endoftext|>", "|>", "é", "\r", "'s"]
+    encoder = tokens.CachedEncoder(tokens.default_tokenizer(), cache_entries=20)
+    for _ in range(6000):
+        text = "".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(0, 14)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(encoder.tails) <= 33**3
