@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from postweave.llm.tokens import default_tokenizer, encoder
-from postweave.llm.words import slices
 from postweave.operators.ordering import dense_ids
 from postweave.session import scratch_path
 
@@ -62,7 +61,7 @@ def piece_lengths(n_tokens: int, max_length: int = MAX_LENGTH) -> list[int]:
 
 def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_length: int) -> Iterator[pa.RecordBatch]:
     """(id, text) -> a row per piece; handed on whenever the ids of some texts fill ``_HANDED_ON`` bytes."""
-    encode, tail = encoder(path).encode, end_id.to_bytes(4, "little")
+    encode, tail = encoder(path).encode_all, end_id.to_bytes(4, "little")
 
     def rows(ids: pa.Array, encoded: list[bytes]) -> pa.RecordBatch:
         sizes = [len(x) // 4 for x in encoded]
@@ -78,8 +77,8 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_l
 
     for batch in batches:
         first, encoded, size = 0, [], 0
-        for at, text in enumerate(text for part in slices(batch.column(1)) for text in part):
-            encoded.append(encode(text) + tail)
+        for at, found in enumerate(encode(batch.column(1))):
+            encoded.append(found + tail)
             size += len(encoded[-1])
             if size >= _HANDED_ON:
                 yield rows(batch.column(0).slice(first, len(encoded)), encoded)

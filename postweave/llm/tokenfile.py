@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postweave.llm.tokens import default_tokenizer, encoder
-from postweave.llm.words import slices
 from postweave.session import scratch_path
 
 MAGIC = b"PWTOKEN1"
@@ -161,18 +160,16 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode = encoder(path)
+        encode, tail = encoder(path), end_id.to_bytes(4, "little")
         store, place = _open(f"{folder}/files")
         writer = None
         for batch in batches:
-            texts = (text for part in slices(batch.column(1)) for text in part)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1))):
                 if writer is None:
                     store.create_dir(place, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
                     writer = TokenFileWriter(store.open_output_stream(f"{place}/{name}"), width_of(encode.vocabulary), block_ids)
-                ids = encode.encode(text) + end_id.to_bytes(4, "little")
-                writer.add(doc_id, np.frombuffer(ids, "<u4"))
+                writer.add(doc_id, np.frombuffer(ids + tail, "<u4"))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.readwriter import DataFrameWriter
 
@@ -94,3 +96,41 @@ def test_ids_of_words_with_marks_and_newlines():
         text = "".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(0, 14)))
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
     assert len(encoder.tails) <= 33**3
+
+
+def test_a_stretch_is_looked_up_once_for_many_texts(monkeypatch):
+    """Before, every occurrence was looked up, a word with a mark was a stretch of its own and a new one was merged twice."""
+    encoder = tokens.CachedEncoder(tokens.default_tokenizer())
+    looked, merged, known, word = [], [], encoder._known, encoder._word
+    monkeypatch.setattr(encoder, "_known", lambda stretches, times: looked.extend(stretches) or known(stretches, times))
+    monkeypatch.setattr(encoder, "_word", lambda x: merged.append(x) or word(x))
+    texts = ["so many words, many words. many", None, "", "so 5, words? many"] * 50
+    found = list(encoder.encode_all(pa.array(texts)))
+    assert found == [x.tobytes() for x in (np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts)]
+    assert sorted(looked) == sorted(["so", " many", " words", ",", ".", " 5", "?"]) and sorted(merged) == ["many", "words"]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_ids_of_columns_of_texts(monkeypatch, kind):
+    """Texts are cut into groups anywhere; odd ones among them go through the tokenizer whole."""
+    monkeypatch.setattr(tokens, "TEXT_BYTES", 40)
+    draw = np.random.default_rng(7)
+    parts = ["word", "Über", "don't", "x", "中文", "5", "\n", " ", " ", " ", "  ", ",", ".", "!!", "'", "_", "***", "<|endoftext|>", "é", "\r", "'s", " ", "\t", "\0"]
+    texts = ["".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(0, 14))) for _ in range(3000)]
+    texts[5:8], texts[20], texts[-2:] = [None, "", None], "many words " * 30, ["", None]
+    encoder = tokens.CachedEncoder(tokens.default_tokenizer(), cache_entries=30)
+    ids = [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    column = pa.array(texts, kind)
+    for first, n in ((0, 3000), (6, 2994), (7, 1), (3000, 0), (2998, 2), (17, 900)):
+        assert list(encoder.encode_all(column.slice(first, n))) == ids[first : first + n]
+
+
+def test_an_added_token_that_ends_in_a_mark_stays_one(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    plain.add_tokens([AddedToken("end.", normalized=False), AddedToken("!", normalized=False)])
+    plain.save(str(tmp_path / "added.json"))
+    encoder = tokens.CachedEncoder(str(tmp_path / "added.json"))
+    for text in ("the end.", "the end. It", "end. x", "wow! so", "a !", "the end, it"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
