@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from hashlib import md5
 
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from postweave.functions.text import WHITESPACE
 from postweave.operators import documents as docs
 from postweave.operators import flatten, generation, manifest
 from postweave.plans import fixtures as fx
-from postweave.plans import preparing
+from postweave.plans import collecting, preparing
 from postweave.plans.registry import query, table
 from postweave.plans.source_queries import presence_table
 from postweave.session import scratch_path
@@ -140,16 +141,48 @@ def _filled_sql(template: str) -> str:
     return template
 
 
-def digest_generator(prompts: list[str], temperature: float, max_tokens: int) -> list[str]:
-    """A generator whose replies SQL can give as well: the digest of the prompt and the settings."""
-    return [f"{md5(p.encode()).hexdigest()} {temperature} {max_tokens}" for p in prompts]
+def template_generator(prompts: list[str], temperature: float, max_tokens: int) -> list[str]:
+    """A model whose replies SQL can give as well: the template in the prompt, filled from the posting in the prompt.
+
+    A last line holds the digest of the whole prompt and the settings, as a comment.
+    """
+    replies = []
+    for prompt in prompts:
+        record, reply = prompt.partition("\n\nJob: ")[2].removesuffix(docs.PROMPT_TAIL).split(docs.PROMPT_MIDDLE, 1)
+        posting = json.loads(record)
+        details = {d["key"]: d["value"] for d in posting["details"]}
+        values = {
+            "job_title": posting["title"] or details.get("job_title"),
+            "company_name": posting["company"] or details.get("organization"),
+            "company_reason": f"of {posting['city']}",
+            "relevant_skills": details.get("required_skills"),
+        }
+        for placeholder, name in docs.PLACEHOLDERS.items():
+            reply = reply.replace(placeholder, values[name] or "")
+        replies.append(f"{reply}\n% {md5(prompt.encode()).hexdigest()} {temperature} {max_tokens}")
+    return replies
+
+
+# The whole posting, as the prompt holds it: of a failed one the message stands in the details.
+_PAIRS_SQL = ", ".join(
+    f"{{'key': '{k}', 'value': d_{k}}}" for k in ("job_title", "organization", "level", "job_summary", "required_skills", "notes")
+)
+_WHOLE_RECORD_SQL = f"""CAST(to_json({{{", ".join(f"'{f}': {f}" for f in docs.FLAT_FIELDS)},
+  'details': CASE WHEN error IS NULL THEN [{_PAIRS_SQL}] ELSE [{{'key': 'error', 'value': error}}] END,
+  'status_tags': CASE WHEN error IS NULL THEN [level, division] END, 'error': error}}) AS VARCHAR)"""
 
 
-@query("batch_generate", f"SELECT id, kind, md5(prompt) || ' 0 4000' AS reply FROM ({_prompts_sql(fx.WHOLE_JOBS_SQL)})")
+@query(
+    "batch_generate",
+    f"""WITH {fx.WHOLE_JOBS_SQL}, p AS (
+  SELECT id, kind, {_prompt_sql(_WHOLE_RECORD_SQL)} AS prompt, {_SHOWN_SQL} FROM jobs CROSS JOIN {_KINDS_SQL})
+SELECT id, kind, {_filled_sql(_BASE_SQL)} || chr(10) || '% ' || md5(prompt) || ' 0 4000' AS reply FROM p""",
+)
 def batch_generate(spark, sf_dir):
-    """The generator runs as a plug on batches of whole prompts."""
-    prompts = docs.build_prompts(_records(fx.whole_jobs(spark, sf_dir)), F.col("record"), _base())
-    return docs.generate_replies(prompts, digest_generator).select("id", "kind", "reply")
+    """The generator runs as a plug on batches of whole prompts, each with the whole posting; its replies are whole too."""
+    postings = fx.whole_jobs(spark, sf_dir).withColumn("record", docs.record_json(collecting.POSTING_COLUMNS))
+    prompts = docs.build_prompts(postings.select("id", "record"), F.col("record"), _base())
+    return docs.generate_replies(prompts, template_generator).select("id", "kind", "reply")
 
 
 @query(
